@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from tessera.llm.decontamination import OP9_SQL, op9_decontamination
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tessera.llm.html import op10_html_extraction
 from tessera.llm.langid import op1_language_id
 from tessera.llm.licenses import OP2_SQL, op2_license_scan
+from tessera.llm.line_dedup import op4_line_dedup
 from tessera.llm.mixing import OP7_SQL, op7_mixing
+from tessera.llm.secrets import op3_secret_scan
 from tessera.llm.simhash import op5_simhash
 from tessera.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
