@@ -16,9 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a learned language that fills enough of the text; the rest go."""
     model = langid.train(docs)
-    found = langid.identify(docs.select("doc_id", "text"), model, with_spans=False)
-    keep = found.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    return langid.keep_identified(docs.select(*COLUMNS), model, MIN_LANGUAGE_SCORE)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
