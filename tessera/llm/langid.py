@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -56,11 +55,29 @@ def script_of(word: str) -> int:
     return len(SCRIPTS) - 1
 
 
-def features(word: str) -> list[int]:
-    """Buckets of the word itself and of its 1- to 4-letter pieces with its ends marked."""
-    w = f"<{word.lower()[:40]}>"
-    pieces = [w] + [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in pieces]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, words' places): hash buckets of each word and of its 1- to 4-letter pieces, ends marked."""
+    marked = [f"<{w.lower()[:40]}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) for w in marked])
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))  # letters up to the word's end
+    place = (np.arange(len(codes)) - np.repeat(starts, lengths)).astype(np.uint64)
+    whole = np.add.reduceat(codes * np.power(np.uint64(0x9E3779B1), place), starts)
+    hashes, owners = [whole * np.uint64(7)], [np.arange(len(words))]
+    h = np.zeros(len(codes), dtype=np.uint64)
+    for n in range(1, 5):
+        h = h[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
+        ok = left[: len(h)] >= n
+        hashes.append(h[ok])
+        owners.append(word[: len(h)][ok])
+    mixed = np.concatenate(hashes) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.concatenate(owners)
+
+
+#: Words whose scores a worker keeps; beyond that it starts anew.
+CACHE_WORDS = 200_000
 
 
 @dataclass
@@ -71,27 +88,46 @@ class Model:
     weights: np.ndarray  # (BUCKETS, langs)
     allowed: np.ndarray  # (SCRIPTS, langs)
     cache: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+    table: np.ndarray | None = None
 
-    def score(self, word: str) -> np.ndarray:
-        s = self.weights[features(word)].sum(axis=0) / 4
-        ok = self.allowed[script_of(word)]
-        return np.where(ok, s, s.min() - 20) if ok.any() else s
+    def score(self, words: list[str]) -> np.ndarray:
+        """(words, langs): sums over a word's pieces; languages that don't use its script fall far behind."""
+        buckets, owner = features(words)
+        s = np.stack([np.bincount(owner, weights=self.weights[buckets, k], minlength=len(words)) for k in range(len(self.langs))], axis=1) / 4
+        ok = self.allowed[[script_of(w) for w in words]]
+        ok |= ~ok.any(axis=1, keepdims=True)
+        return np.where(ok, s, s.min(axis=1, keepdims=True) - 20).astype(np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """(words, langs); the scores of frequent words stay in a cache of bounded size."""
-        cache, rows = self.cache, self.rows
-        if len(cache) > 200_000:
+        """The same through a cache of bounded size."""
+        cache, unique = self.cache, set(words)
+        missing = [w for w in unique if w not in cache]
+        if self.table is None or len(cache) + len(missing) > CACHE_WORDS:
             cache.clear()
-            rows.clear()
-        out = []
-        for w in words:
-            at = cache.get(w)
-            if at is None:
-                at = cache[w] = len(rows)
-                rows.append(self.score(w).astype(np.float32))
-            out.append(at)
-        return np.array([rows[i] for i in out], dtype=np.float32)
+            missing = list(unique)
+        if self.table is None or len(self.table) < len(cache) + len(missing):
+            grown = np.zeros((max(CACHE_WORDS, len(missing)), len(self.langs)), dtype=np.float32)
+            if cache:
+                grown[: len(cache)] = self.table[: len(cache)]
+            self.table = grown
+        for at in range(0, len(missing), 20_000):
+            part = missing[at : at + 20_000]
+            self.table[len(cache) : len(cache) + len(part)] = self.score(part)
+            cache.update(zip(part, range(len(cache), len(cache) + len(part)), strict=True))
+        return self.table[np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))]
+
+
+def constant_is_best(scores: np.ndarray, penalty: float) -> int:
+    """The language that surely labels the whole text, or -1.
+
+    If no stretch gains more than the penalty from any one other language, no path with changes is
+    better: k stretches in other languages cost k changes at least.
+    """
+    top = int(scores.sum(axis=0, dtype=np.float64).argmax())
+    gain = np.cumsum(scores - scores[:, top : top + 1], axis=0, dtype=np.float64)
+    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
+    low = np.concatenate((np.zeros((1, scores.shape[1])), low[:-1]))
+    return top if (gain - low).max() <= penalty else -1
 
 
 def viterbi(scores: list[np.ndarray], penalty: float = SWITCH_PENALTY) -> list[np.ndarray]:
@@ -153,9 +189,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
             letters: dict[tuple[str, int], int] = Counter()
             for lang, found in words.items():
                 sums[lang] = np.zeros(BUCKETS, dtype=np.int64)
-                for w, times in found.items():
-                    np.add.at(sums[lang], features(w), times)
-                    letters[lang, script_of(w)] += times * len(w)
+                each, times = list(found), np.array(list(found.values()))
+                for at in range(0, len(each), 20_000):
+                    buckets, owner = features(each[at : at + 20_000])
+                    sums[lang] += np.bincount(buckets, weights=times[at + owner], minlength=BUCKETS).astype(np.int64)
+                for w, n in found.items():
+                    letters[lang, script_of(w)] += n * len(w)
             words.clear()
             rows = [(lang, int(b), int(v[b])) for lang, v in sums.items() for b in np.flatnonzero(v)]
             rows += [(lang, -1 - s, v) for (lang, s), v in letters.items()]
@@ -206,44 +245,73 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                words = [_WORD.findall(t) if m.langs else [] for t in texts]
-                scores = [m.scores(w) if w else np.zeros((0, max(1, len(m.langs))), dtype=np.float32) for w in words]
-                langs, values, spans = [], [], []
-                for text, ws, path in zip(texts, words, viterbi(scores, penalty), strict=True):
-                    if not ws:
-                        langs.append(UND), values.append(0.0), spans.append([])
-                        continue
-                    letters = np.bincount(path, weights=[len(w) for w in ws], minlength=len(m.langs))
-                    top = int(letters.argmax())
-                    langs.append(m.langs[top]), values.append(float(letters[top] / letters.sum()))
-                    spans.append(_spans(text, path, m.langs) if with_spans else None)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id"),
-                        pa.array(langs, pa.string()),
-                        pa.array(values, pa.float64()),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))),
-                    ],
-                    names=["id", "lang_pred", "score", "spans"],
-                )
+        for batch in batches:
+            langs, values, spans = _identify_batch(m, batch.column("text"), penalty, with_spans)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array(langs, pa.string()),
+                    pa.array(values, pa.float64()),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))),
+                ],
+                names=["id", "lang_pred", "score", "spans"],
+            )
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     return base.mapInArrow(scan, f"id {kind}, lang_pred string, score double, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
+def _identify_batch(m: Model, texts: pa.Array, penalty: float, with_spans: bool) -> tuple[list, list, list]:
+    """Languages, scores and spans of a batch; texts that may change language go through Viterbi together."""
+    n = len(texts)
+    langs, values, spans, pending = [UND] * n, [0.0] * n, [[] for _ in range(n)], []
+    for i, text in enumerate(texts):
+        text = text.as_py() or ""
+        words = _WORD.findall(text) if m.langs else []
+        if not words:
+            continue
+        s = m.scores(words)
+        top = constant_is_best(s, penalty)
+        if top < 0:
+            pending.append((i, s, np.fromiter(map(len, words), dtype=np.int64, count=len(words))))
+            continue
+        langs[i], values[i] = m.langs[top], 1.0
+        if with_spans:
+            spans[i] = [{"start": _WORD.search(text).start(), "end": _last_letter(text), "lang": m.langs[top]}]
+    for (i, _, sizes), path in zip(pending, viterbi([s for _, s, _ in pending], penalty), strict=True):
+        letters = np.bincount(path, weights=sizes, minlength=len(m.langs))
+        top = int(letters.argmax())
+        langs[i], values[i] = m.langs[top], float(letters[top] / letters.sum())
+        if with_spans:
+            spans[i] = _spans(texts[i].as_py(), path, m.langs)
+    return langs, values, spans
+
+
+def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a learned language with at least that score; a map, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = _identify_batch(shared.value, batch.column(column), penalty, with_spans=False)
+            keep = [lang != UND and value >= min_score for lang, value in zip(got[0], got[1], strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def _last_letter(text: str) -> int:
+    """End of the last word."""
+    at = len(text)
+    while not _WORD.match(text, at - 1):
+        at -= 1
+    return at
+
+
 def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
-    cuts = np.flatnonzero(np.diff(path)) + 1
-    edges = [0, *cuts.tolist(), len(path)]
-    if len(edges) == 2:
-        first = _WORD.search(text).start()
-        tail = re.search(r"[^\W\d_](?=(?:[\W\d_])*\Z)", text[-200:]) if len(text) > 200 else None
-        last = len(text) - 200 + tail.end() if tail else max(m.end() for m in _WORD.finditer(text))
-        return [{"start": first, "end": last, "lang": langs[path[0]]}]
+    edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     at = [m.span() for m in _WORD.finditer(text)]
     return [{"start": at[a][0], "end": at[b - 1][1], "lang": langs[path[a]]} for a, b in zip(edges, edges[1:], strict=False)]
 
