@@ -13,15 +13,21 @@ MAX_EDITS = 1
 #: Shorter lines (after normalising) are left alone: they are list marks, braces, headings.
 MIN_CHARS = 20
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Letter classes whose counts screen pairs; each count takes 12 bits.
-_CLASSES = ("e", "tn", "ai", "hrs", "odlu")
+#: Letters whose counts screen pairs, five to a long; each count takes 12 bits.
+_LETTERS = ("etnai", "oshrl")
 _COUNT_BITS, _COUNT_MAX = 12, 4095
 
 
 def normal_line(line: Column) -> Column:
-    """A line as it is compared: ASCII lower case, white space folded and trimmed."""
-    return F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), r"[\x09-\x0D\x20]+", " "))
+    """A line as it is compared: lower case, blanks, tabs and carriage returns folded and trimmed."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r")
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, "[\\t\\r ]+", " ")).otherwise(line)))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no, s) of all lines, normalised before they are exploded, so that each is once."""
+    lines = F.transform(F.split(text_col, "\n", -1), normal_line)
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(lines).alias("line_no", "s"))
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -57,23 +63,26 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return keys
 
 
-def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of the letter classes, packed into one long."""
-    packed = F.lit(0).cast("long")
-    for letters in _CLASSES:
-        n = F.least(F.lit(_COUNT_MAX), length - F.length(F.translate(line, letters, "")))
-        packed = F.shiftleft(packed, _COUNT_BITS).bitwiseOR(n.cast("long"))
-    return packed
+def letter_counts(line: Column, length: Column) -> list[Column]:
+    """Counts of some letters, packed into longs."""
+    out = []
+    for letters in _LETTERS:
+        packed = F.lit(0).cast("long")
+        for letter in letters:
+            n = F.least(F.lit(_COUNT_MAX), length - F.length(F.replace(line, F.lit(letter), F.lit(""))))
+            packed = F.shiftleft(packed, _COUNT_BITS).bitwiseOR(n.cast("long"))
+        out.append(packed)
+    return out
 
 
-def counts_allow(a: Column, b: Column, edits: int) -> Column:
-    """Whether the class counts of two lines allow that distance: an edit changes two counts by one at most."""
+def counts_allow(a: list[Column], b: list[Column], edits: int) -> Column:
+    """Whether the letter counts of two lines allow that distance: an edit changes two counts by one at most."""
     gaps = []
-    for k in range(len(_CLASSES)):
-        own = [F.shiftright(x, k * _COUNT_BITS).bitwiseAND(F.lit(_COUNT_MAX).cast("long")) for x in (a, b)]
-        gaps.append(F.abs(own[0] - own[1]))
-    total = sum(gaps[1:], gaps[0])
-    return (total <= 2 * edits) & (F.greatest(*gaps) <= edits)
+    for own, other, letters in zip(a, b, _LETTERS, strict=True):
+        for k in range(len(letters)):
+            x, y = (F.shiftright(c, k * _COUNT_BITS).bitwiseAND(F.lit(_COUNT_MAX).cast("long")) for c in (own, other))
+            gaps.append(F.abs(x - y))
+    return (sum(gaps[1:], gaps[0]) <= 2 * edits) & (F.greatest(*gaps) <= edits)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -86,44 +95,45 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     mask = F.lit((1 << width) - 1).cast("long")
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    rows, columns = F.split(a, ""), F.split(b, "")
     m, n = F.length(a), F.length(b)
+    # The characters of a are bound once as a variable; a column would be split again at every step.
+    bound = F.struct(F.split(a, "").alias("rows"), m.alias("m"))
     inverse = lambda x: F.bitwise_not(x).bitwiseAND(mask)
-    state = F.struct(
-        F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("vp"), zero.alias("vn"), F.least(F.lit(edits), m).alias("d"), F.lit(0).alias("j")
-    )
 
-    def step(s: Column, ch: Column) -> Column:
-        j, vp, vn = s["j"], s["vp"], s["vn"]  # j columns are done; bit k is row j + 1 - edits + k
-        x = zero
-        for k in range(width):
-            x = x.bitwiseOR(F.when(F.get(rows, j - edits + k).eqNullSafe(ch), F.lit(1 << k).cast("long")).otherwise(zero))
-        return F.struct(vp.alias("vp"), vn.alias("vn"), s["d"].alias("d"), j.alias("j"), x.alias("x"))
-
-    def update(s: Column) -> Column:
-        vp, vn, x, j = s["vp"], s["vn"], s["x"], s["j"]
-        d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask)
-        with_d0 = F.struct(vp.alias("vp"), vn.alias("vn"), s["d"].alias("d"), j.alias("j"), d0.alias("d0"))
-        return _let(with_d0, finish)
-
-    def finish(s: Column) -> Column:
-        vp, vn, d0, j = s["vp"], s["vn"], s["d0"], s["j"]
-        hp = vn.bitwiseOR(inverse(d0.bitwiseOR(vp)))
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftright(d0, 1)
-        # Along the lowest diagonal until it meets the last row, then along that row.
-        last_row = m + edits - 1 - j  # bit of row m in this column
-        bit = F.call_function("shiftleft", one, F.greatest(F.lit(0), F.least(last_row, F.lit(width - 1))))
-        on_diagonal = j + edits + 1 <= m
-        gain = F.when(on_diagonal, F.when(d0.bitwiseAND(F.lit(1 << (width - 1)).cast("long")) == 0, 1).otherwise(0)).otherwise(
-            F.when(hp.bitwiseAND(bit) != 0, 1).when(hn.bitwiseAND(bit) != 0, -1).otherwise(0)
-        )
-        return F.struct(
-            hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["d"] + gain).alias("d"), (j + 1).alias("j")
-        )
-
-    folded = F.aggregate(columns, state, lambda s, ch: _let(step(s, ch), update), lambda s: s["d"] <= edits)
-    return (F.abs(m - n) <= edits) & F.when((m == 0) | (n == 0), F.greatest(m, n) <= edits).otherwise(folded)
+    def start(x: Column) -> Column:
+        vp = F.lit(((1 << (edits + 1)) - 1) << edits).cast("long")
+        return F.struct(vp.alias("vp"), zero.alias("vn"), F.least(F.lit(edits), x["m"]).alias("d"), F.lit(0).alias("j"))
+
+    def fold(ab: Column) -> Column:
+        rows, m = ab["rows"], ab["m"]
+
+        def step(s: Column, ch: Column) -> Column:
+            # j columns are done; bit k stands for row j + 1 - edits + k
+            j, vp, vn = s["j"], s["vp"], s["vn"]
+            x = zero
+            for k in range(width):
+                x = x.bitwiseOR(F.when(F.get(rows, j - edits + k).eqNullSafe(ch), F.lit(1 << k).cast("long")).otherwise(zero))
+            return _let(x, lambda x: _let(((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask), lambda d0: finish(s, d0)))
+
+        def finish(s: Column, d0: Column) -> Column:
+            vp, vn, j = s["vp"], s["vn"], s["j"]
+            hp = vn.bitwiseOR(inverse(d0.bitwiseOR(vp)))
+            hn = d0.bitwiseAND(vp)
+            down = F.shiftright(d0, 1)
+            # Along the lowest diagonal until it meets the last row, then along that row.
+            last_row = m + edits - 1 - j
+            bit = F.call_function("shiftleft", one, F.greatest(F.lit(0), F.least(last_row, F.lit(width - 1))))
+            gain = F.when(j + edits + 1 <= m, F.when(d0.bitwiseAND(F.lit(1 << (width - 1)).cast("long")) == 0, 1).otherwise(0)).otherwise(
+                F.when(hp.bitwiseAND(bit) != 0, 1).when(hn.bitwiseAND(bit) != 0, -1).otherwise(0)
+            )
+            return F.struct(
+                hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["d"] + gain).alias("d"), (j + 1).alias("j")
+            )
+
+        return F.aggregate(F.split(b, ""), start(ab), step, lambda s: s["d"] <= edits)
+
+    short = F.when((m == 0) | (n == 0), F.greatest(m, n) <= edits)
+    return F.when(F.abs(m - n) > edits, False).otherwise(F.coalesce(short, _let(bound, fold)))
 
 
 def _let(value: Column, body) -> Column:
@@ -132,18 +142,16 @@ def _let(value: Column, body) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """(id, line_no, digest, keys, probes, counts) for each line of at least `min_chars` characters."""
-    base = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "s"))
-    base = base.select("id", "line_no", normal_line(F.col("s")).alias("s")).withColumn("n", F.length("s"))
-    base = base.filter(F.col("n") >= max(min_chars, edits + 1))
+    """(id, line_no, digest, k0.., p0.., c0..) for each line of at least `min_chars` characters."""
+    base = _lines(docs, id_col, text_col).withColumn("n", F.length("s")).filter(F.col("n") >= max(min_chars, edits + 1))
     s, n = F.col("s"), F.col("n")
     return base.select(
         "id",
         "line_no",
         F.unhex(F.md5("s")).alias("digest"),
-        F.array(*index_keys(s, n, edits)).alias("keys"),
-        F.array(*probe_keys(s, n, edits)).alias("probes"),
-        letter_counts(s, n).alias("counts"),
+        *[k.alias(f"k{i}") for i, k in enumerate(index_keys(s, n, edits))],
+        *[k.alias(f"p{i}") for i, k in enumerate(probe_keys(s, n, edits))],
+        *[c.alias(f"c{i}") for i, c in enumerate(letter_counts(s, n))],
     )
 
 
@@ -161,39 +169,34 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are a skewed join, which adaptive execution splits.
     """
     lines = materialize(line_table(docs, id_col, text_col, edits, min_chars), "lines")
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("line_no").alias("line_no"))
+    keys = [c for c in lines.columns if c[0] == "k"]
+    probes = [c for c in lines.columns if c[0] == "p"]
+    counts = [f"c{i}" for i in range(len(_LETTERS))]
     groups = lines.groupBy("digest").agg(
-        F.min(place).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("keys", "probes", "counts")]
-    )
-    index = groups.select(F.explode("keys").alias("key"), "first", "counts")
-    probes = groups.select(F.explode(F.concat("keys", "probes")).alias("key"), "first", "counts").filter("key is not null")
-    a, b = index.alias("a"), probes.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.first") != F.col("b.first")) & counts_allow(F.col("a.counts"), F.col("b.counts"), edits),
-    ).select(F.least("a.first", "b.first").alias("early"), F.greatest("a.first", "b.first").alias("late"))
-    pairs = materialize(pairs.distinct(), "pairs")
-
-    ends = pairs.select(F.explode(F.array("early", "late")).alias("first")).select("first.*").drop("none").distinct()
-    near = maybe_in(
-        docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "s")),
-        survivor_filter(ends, "id", "line_no"),
-        "wanted",
-        "id",
-        "line_no",
+        F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*keys, *probes, *counts)]
     )
-    near = near.filter("wanted").select(place.alias("first"), normal_line(F.col("s")).alias("s"))
-    near = near.join(ends.select(place.alias("first")), "first", "left_semi").groupBy("first").agg(F.min("s").alias("s"))
-    texts = pairs.join(near.select(F.col("first").alias("early"), F.col("s").alias("s1")), "early")
-    texts = texts.join(near.select(F.col("first").alias("late"), F.col("s").alias("s2")), "late")
-    near_dup = texts.filter(within_edits(F.col("s1"), F.col("s2"), edits)).select(F.col("late").alias("first")).distinct()
-    near_dup = materialize(near_dup, "near")
-
-    firsts = lines.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    firsts = firsts.join(near_dup.withColumn("near", F.lit(True)), "first", "left").filter("n > 1 or near")
-    firsts = materialize(firsts.select("digest", "first", "near"), "repeated")
-    found = maybe_in(lines.select("id", "line_no", "digest"), survivor_filter(firsts, "digest"), "wanted", "digest").filter("wanted")
-    found = found.join(firsts, "digest").filter(F.col("near").isNotNull() | (F.col("first") != place))
+    groups = materialize(groups.select("digest", "first.*", "n", *keys, *probes, *counts), "groups")
+    index = groups.select(F.explode(F.array(*keys)).alias("key"), "id", "line_no", *counts)
+    probe = groups.select(F.explode(F.array(*keys, *probes)).alias("key"), "id", "line_no", *counts).filter("key is not null")
+    a, b = index.alias("a"), probe.alias("b")
+    other = (F.col("a.id") != F.col("b.id")) | (F.col("a.line_no") != F.col("b.line_no"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & other & counts_allow(*([F.col(f"{x}.{c}") for c in counts] for x in "ab"), edits))
+    ends = [F.struct(F.col(f"{x}.id").alias("id"), F.col(f"{x}.line_no").alias("line_no")) for x in "ab"]
+    pairs = materialize(pairs.select(F.least(*ends).alias("early"), F.greatest(*ends).alias("late")).distinct(), "pairs")
+
+    wanted = pairs.select(F.explode(F.array("early", "late")).alias("e")).select("e.*").distinct()
+    near = maybe_in(_lines(docs, id_col, text_col), survivor_filter(wanted, "id", "line_no"), "wanted", "id", "line_no")
+    near = near.filter("wanted").drop("wanted").join(wanted, ["id", "line_no"], "left_semi")
+    near = near.groupBy(F.struct("id", "line_no").alias("place")).agg(F.min("s").alias("s"))
+    texts = pairs.join(near.select(F.col("place").alias("early"), F.col("s").alias("s1")), "early")
+    texts = texts.join(near.select(F.col("place").alias("late"), F.col("s").alias("s2")), "late")
+    near_dup = texts.filter(within_edits(F.col("s1"), F.col("s2"), edits)).select("late.*").distinct()
+    near_dup = materialize(near_dup.withColumn("near", F.lit(True)), "near")
+
+    repeated = groups.select("digest", "id", "line_no", "n").join(near_dup, ["id", "line_no"], "left").filter("n > 1 or near")
+    repeated = materialize(repeated.select("digest", F.struct("id", "line_no").alias("first"), "near"), "repeated")
+    found = maybe_in(lines.select("id", "line_no", "digest"), survivor_filter(repeated, "digest"), "wanted", "digest").filter("wanted")
+    found = found.join(repeated, "digest").filter(F.col("near").isNotNull() | (F.col("first") != F.struct("id", "line_no")))
     return found.select(F.col("id").alias(id_col), "line_no").distinct()
 
 
@@ -202,16 +205,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns of `docs` stay; the text is joined anew from the lines that stay.
     Cases: null texts stay null, empty texts empty; a text all of whose lines go is empty; rows that
-    share an id are one document: their lines at the same number fare alike; null ids come last, and
-    their documents lose a line only if all null-id rows do; extra columns may have any name; an empty
-    table gives an empty result. Documents surely without duplicates skip the join: a bitmap of fixed
-    size tells them.
+    share an id are one document: their lines at the same number fare alike; rows with a null id can't
+    be told apart and stay as they are; extra columns may have any name; an empty table gives an empty
+    result. Documents surely without duplicates skip the join: a bitmap of fixed size tells them. The
+    join of the others is a sort-merge join at every size, as the list of removed lines has no bound.
     """
     gone = duplicate_lines(docs, id_col, text_col, edits, min_chars)
-    gone = gone.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list("line_no")).alias("__gone"))
+    gone = gone.groupBy(F.col(id_col).alias("__key")).agg(F.array_sort(F.collect_list("line_no")).alias("__gone"))
     gone = materialize(gone, "gone")
-    hit = maybe_in(docs.withColumn("__id", F.col(id_col)), survivor_filter(gone, "__id"), "__hit", "__id")
-    joined = hit.filter("__hit").join(gone.withColumnRenamed("__id", "__key"), F.col("__id").eqNullSafe(F.col("__key")), "left").drop("__key")
+    hit = maybe_in(docs.withColumn("__key", F.col(id_col)), survivor_filter(gone, "__key"), "__hit", "__key")
+    joined = hit.filter("__hit").join(gone.hint("merge"), "__key", "left")
     out = hit.filter("not __hit").withColumn("__gone", F.expr("cast(null as array<int>)")).unionByName(joined)
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
@@ -231,3 +234,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("text").cast("long").alias("n_chars_left"),
         F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+#: For one edit: of two near lines the shorter one's first or second half stands at the same end of the other.
+OP4_SQL = r"""
+with l as (select doc_id, unnest(range(len(p)))::int as line_no, unnest(p) as raw from (select doc_id, string_split(text, chr(10)) as p from documents)),
+n as (select doc_id, line_no, lower(trim(case when contains(raw, '  ') or contains(raw, chr(9)) or contains(raw, chr(13))
+        then regexp_replace(raw, '[\t\r ]+', ' ', 'g') else raw end, ' ')) as s from l),
+e as (select *, len(s) as n from n where len(s) >= 20),
+g as (select s, any_value(n) as n, min(struct_pack(d := doc_id, l := line_no)) as f from e group by s),
+ix as (select s, n, f, n as m, unnest(['a' || left(s, n // 2), 'b' || right(s, n - n // 2)]) as k from g),
+pb as (select s, n, f, m, unnest(['a' || left(s, m // 2), 'b' || right(s, m - m // 2)]) as k from (select *, unnest([n, n - 1]) as m from g)),
+near as (select distinct case when ix.f > pb.f then ix.s else pb.s end as s from ix join pb on ix.m = pb.m and ix.k = pb.k and ix.s <> pb.s
+         where levenshtein(ix.s, pb.s) <= 1),
+gone as (select e.doc_id, list(e.line_no order by e.line_no) as r from e join g using (s) left join near on near.s = e.s
+         where near.s is not null or g.f <> struct_pack(d := e.doc_id, l := e.line_no) group by 1),
+o as (select doc_id, coalesce(r, []) as r, case when r is null then text else
+        array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(r, (i - 1)::int)), chr(10)) end as t
+      from documents left join gone using (doc_id))
+select doc_id, len(r)::bigint as n_removed, sha256(array_to_string(r, ',')) as removed_sha256, len(t)::bigint as n_chars_left, sha256(t) as text_sha256 from o
+"""

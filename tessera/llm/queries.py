@@ -7,7 +7,7 @@ from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.html import op10_html_extraction
 from tessera.llm.langid import op1_language_id
 from tessera.llm.licenses import OP2_SQL, op2_license_scan
-from tessera.llm.line_dedup import op4_line_dedup
+from tessera.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.secrets import op3_secret_scan
 from tessera.llm.simhash import op5_simhash
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op9_decontamination": OP9_SQL,
