@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.exact_dedup import maybe_in, survivor_filter
 from tessera.plans.session import materialize
 
 #: A subtree is template if it comes with so many different articles of a host, and with that share of them.
@@ -135,8 +136,8 @@ def _marks(attributes: str) -> str:
     return " ".join(out)
 
 
-def digests(node: Node) -> Iterator[int]:
-    """Hash each subtree from its tag, marks, text and children; yields those of block elements that hold text."""
+def digest(node: Node) -> int:
+    """Hash each subtree from its tag, marks, text and children; 0 if it holds no text."""
     h = hashlib.blake2b(f"{node.tag}\0{node.marks}".encode("utf-8", "surrogatepass"), digest_size=8)
     full = False
     for child in node.children:
@@ -145,12 +146,10 @@ def digests(node: Node) -> Iterator[int]:
             full |= bool(text)
             h.update(b"\1" + text.encode("utf-8", "surrogatepass"))
         else:
-            yield from digests(child)
-            full |= child.digest != 0
+            full |= digest(child) != 0
             h.update(b"\2" + child.digest.to_bytes(8, "little"))
     node.digest = int.from_bytes(h.digest(), "little") | 1 if full else 0
-    if full and node.tag in BLOCK and node.tag not in ("html", "body"):
-        yield node.digest
+    return node.digest
 
 
 def _dropped(node: Node, template: frozenset[int] | set[int], marked: bool) -> bool:
@@ -224,10 +223,26 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+def removable(root: Node) -> set[int]:
+    """Hashes of the subtrees whose removal as template would change the page's text."""
+    article = _article(root)
+    marked, found = article is not root, set()
+
+    def walk(node: Node) -> None:
+        for child in node.children:
+            if not isinstance(child, str) and not _dropped(child, frozenset(), marked):
+                if child.digest and child.tag in BLOCK and child.tag not in ("html", "body") and not (marked and child.tag in PROSE):
+                    found.add(child.digest)
+                walk(child)
+
+    walk(article)
+    return found
+
+
 def site_templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page, template) from (page, host, html): the page's subtrees that recur across its host's articles.
 
-    Each page gives each of its subtree hashes once, with the hash of its article; Spark counts per
+    Each page gives once the hash of each subtree that could go, with the hash of its article; Spark counts per
     host the different articles a subtree comes with, so copies of one page don't make it a template.
     The counts are summed before the shuffle, in which a host with many pages is split by subtree.
     """
@@ -237,7 +252,8 @@ def site_templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share
             own, articles = [], []
             for page in batch.column("html").to_pylist():
                 root = parse(page or "")
-                own.append(sorted({_signed(d) for d in digests(root)}))
+                digest(root)
+                own.append(sorted(_signed(d) for d in removable(root)))
                 articles.append(_signed(_article(root).digest))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page"), batch.column("host"), pa.array(articles, pa.int64()), pa.array(own, pa.list_(pa.int64()))],
@@ -257,8 +273,8 @@ def site_templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:
     """(id, url, text): the article's text of every page, without the templates of its site.
 
-    Two passes over the pages: the first hashes every element subtree and lets Spark find, per host,
-    those that recur (with at least `min_articles` articles and `min_share` of the host's); the
+    Two passes over the pages: the first hashes every element subtree and lets Spark count, per host,
+    those that could go and find the ones that recur (with at least `min_articles` articles and `min_share` of the host's); the
     second takes the article out of each page, without these subtrees and without elements that are
     not the article by name (nav, aside, form ...), class, id or role.
 
@@ -277,14 +293,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
                 root = parse(page or "")
                 if template:
-                    for _ in digests(root):
-                        pass
+                    digest(root)
                 found = {d & 0xFFFFFFFFFFFFFFFF for d in template or ()}
                 out.append(main_text(root, found) or (main_text(root) if found else ""))
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(out, pa.string())], names=["page", "url", "text"])
 
     kind = base.schema["page"].dataType.simpleString()
-    both = base.join(hits, "page", "left").select("page", "url", "html", "template")
+    # Pages surely without a template, told by a bitmap of fixed size, are not shuffled.
+    hits = materialize(hits, "hits")
+    flagged = maybe_in(base.drop("host"), survivor_filter(hits, "page"), "hit", "page")
+    none = F.lit(None).cast("array<long>").alias("template")
+    both = flagged.filter("not hit").select("page", "url", "html", none)
+    both = both.unionByName(flagged.filter("hit").join(hits, "page", "left").select("page", "url", "html", "template"))
     return both.mapInArrow(texts, f"page {kind}, url string, text string").withColumnRenamed("page", id_col)
 
 
