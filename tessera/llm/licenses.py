@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +61,13 @@ EQUIVALENT = [
     ("organisation", "organization"),
 ]
 
-# The same rules in both dialects: lower case (ASCII), copyright lines out, punctuation to blanks, spellings.
+# The same rules in both dialects: lower case, copyright lines out, punctuation to blanks, spellings.
 _COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*[0-9<][^\n]*$"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical(text: Column) -> Column:
     """Licence text without differences that don't matter; null stays null."""
-    x = F.translate(text, _UPPER, _LOWER)
+    x = F.lower(text)
     x = F.regexp_replace(x, _COPYRIGHT_LINE, " ")
     x = F.concat(F.lit(" "), F.regexp_replace(x, r"[^a-z0-9\x{80}-\x{10FFFF}]+", "  "), F.lit(" "))
     for old, new in EQUIVALENT:
@@ -73,6 +75,22 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, " +", " "))
 
 
+def anchors(texts: list[tuple[str, str]]) -> list[str]:
+    """Words such that each known text has one of them, in any spelling: a unit without any of them is none of the texts.
+
+    Of each text the longest word outside its copyright lines that no equivalent spelling touches.
+    """
+    touched = {w for pair in EQUIVALENT for side in pair for w in side.split()}
+    found = set()
+    for _, text in texts:
+        lines = [x for x in text.lower().split("\n") if not re.search(r"copyright|\(c\)|©", x)]
+        words = [w for w in re.findall("[a-z0-9]+", "\n".join(lines)) if w not in touched]
+        if not words:
+            return []
+        found.add(max(words, key=len))
+    return sorted(w for w in found if not any(o != w and o in w for o in found))
+
+
 def license_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """(digest, license) of the known texts, one row per digest."""
     known = spark.createDataFrame(texts, "license string, license_text string")
@@ -96,6 +114,7 @@ def license_scan(
     match several licences; an empty table gives an empty result; other columns are not read.
     """
     known = license_digests(docs.sparkSession, texts or LICENSE_TEXTS)
+    words = anchors(texts or LICENSE_TEXTS)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text <> ''")
     # Both kinds of unit come out of one scan of the text.
     lines = F.transform(
@@ -105,6 +124,9 @@ def license_scan(
         F.struct(F.lit("document").alias("unit"), F.lit(None).cast("int").alias("line"), F.col("text").alias("s"))
     )
     units = base.select("id", F.explode(F.concat(whole, lines)).alias("u")).select("id", "u.*")
+    if words:  # only a unit with such a word can be a known text, so the others are not rewritten
+        low = F.lower("s")
+        units = units.filter(reduce(Column.__or__, [low.contains(w) for w in words]))
     units = units.withColumn("c", canonical(F.col("s"))).filter("c <> ''")
     units = units.select("id", "unit", "line", F.sha2("c", 256).alias("digest"))
     return units.join(F.broadcast(known), "digest").select(F.col("id").alias(id_col), "unit", "line", "license")
@@ -117,7 +139,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op2_sql() -> str:
     def canonical_sql(x: str) -> str:
-        x = f"translate({x}, '{_UPPER}', '{_LOWER}')"
+        x = f"lower({x})"
         x = f"regexp_replace({x}, '{_COPYRIGHT_LINE.replace('(?md)', '(?m)')}', ' ', 'g')"
         x = f"concat(' ', regexp_replace({x}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', '  ', 'g'), ' ')"
         for old, new in EQUIVALENT:
