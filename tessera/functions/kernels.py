@@ -230,20 +230,24 @@ def robust_weights(r: np.ndarray, norm: str = "bisquare") -> np.ndarray:
 
 def irls(x: np.ndarray, y: np.ndarray, norm: str = "bisquare", steps: int = 50) -> dict:
     """Robust fit: scale is the median absolute residual / .6745, anew in each step."""
-    fit = ols(x, y)
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    root = np.ones(len(y))
     for _ in range(steps):
-        scale = np.median(np.abs(fit["resid"])) / 0.6745
+        resid = y - x @ beta
+        scale = np.median(np.abs(resid)) / 0.6745
         if scale < 1e-12:
             break
-        w = robust_weights(fit["resid"] / scale, norm)
-        root = np.sqrt(w)
-        new = ols(x * root[:, None], y * root)
-        done = np.max(np.abs(new["beta"] - fit["beta"])) < 1e-8
-        new["resid"] = y - x @ new["beta"]
-        fit = new | {"weights": w}
+        root = np.sqrt(robust_weights(resid / scale, norm))
+        xw = x * root[:, None]
+        gram = xw.T @ xw
+        # Normal equations are enough for a step; a singular one falls back to the minimum-norm solution.
+        new = np.linalg.solve(gram, xw.T @ (y * root)) if np.linalg.cond(gram) < 1e10 else np.linalg.lstsq(xw, y * root, rcond=None)[0]
+        done = np.max(np.abs(new - beta)) < 1e-8
+        beta = new
         if done:
             break
-    return fit
+    fit = ols(x * root[:, None], y * root)
+    return fit | {"resid": y - x @ fit["beta"], "weights": root**2}
 
 
 def ar_fit(r: np.ndarray, pmax: int) -> np.ndarray:
