@@ -211,16 +211,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     join of the others is a sort-merge join at every size, as the list of removed lines has no bound.
     """
     gone = duplicate_lines(docs, id_col, text_col, edits, min_chars)
-    gone = gone.groupBy(F.col(id_col).alias("__key")).agg(F.array_sort(F.collect_list("line_no")).alias("__gone"))
+    gone = gone.groupBy(F.col(id_col).alias("key")).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     gone = materialize(gone, "gone")
-    hit = maybe_in(docs.withColumn("__key", F.col(id_col)), survivor_filter(gone, "__key"), "__hit", "__key")
-    joined = hit.filter("__hit").join(gone.hint("merge"), "__key", "left")
-    out = hit.filter("not __hit").withColumn("__gone", F.expr("cast(null as array<int>)")).unionByName(joined)
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.size("__gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    removed = F.coalesce("__gone", F.expr("cast(array() as array<int>)"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], removed.alias("removed"))
+    # The caller's columns travel in a struct, so their names meet none of the names used here.
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("key"))
+    hit = maybe_in(packed, survivor_filter(gone, "key"), "hit", "key")
+    joined = hit.filter("hit").join(gone.hint("merge"), "key", "left")
+    out = hit.filter("not hit").withColumn("gone", F.expr("cast(null as array<int>)")).unionByName(joined)
+    own = F.col("row").getField(text_col)
+    # Set difference of line numbers, linear however many lines go; the split text is bound once.
+    both = F.struct(F.split(own, "\n", -1).alias("lines"), F.col("gone").alias("gone"))
+    kept = _let(both, lambda z: F.transform(F.array_except(F.sequence(F.lit(0), F.size(z["lines"]) - 1), z["gone"]), lambda i: F.get(z["lines"], i)))
+    text = F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(own)
+    removed = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
+    return out.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], removed.alias("removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
