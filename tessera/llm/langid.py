@@ -77,7 +77,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Words whose scores a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 @dataclass
@@ -110,8 +110,8 @@ class Model:
             if cache:
                 grown[: len(cache)] = self.table[: len(cache)]
             self.table = grown
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
+        for at in range(0, len(missing), 10_000):
+            part = missing[at : at + 10_000]
             self.table[len(cache) : len(cache) + len(part)] = self.score(part)
             cache.update(zip(part, range(len(cache), len(cache) + len(part)), strict=True))
         return self.table[np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))]
@@ -266,6 +266,17 @@ def _identify_batch(m: Model, texts: pa.Array, penalty: float, with_spans: bool)
     """Languages, scores and spans of a batch; texts that may change language go through Viterbi together."""
     n = len(texts)
     langs, values, spans, pending = [UND] * n, [0.0] * n, [[] for _ in range(n)], []
+
+    def decode() -> None:
+        for (i, _, sizes), path in zip(pending, viterbi([s for _, s, _ in pending], penalty), strict=True):
+            letters = np.bincount(path, weights=sizes, minlength=len(m.langs))
+            top = int(letters.argmax())
+            langs[i], values[i] = m.langs[top], float(letters[top] / letters.sum())
+            if with_spans:
+                spans[i] = _spans(texts[i].as_py(), path, m.langs)
+        pending.clear()
+
+    waiting = 0
     for i, text in enumerate(texts):
         text = text.as_py() or ""
         words = _WORD.findall(text) if m.langs else []
@@ -274,17 +285,16 @@ def _identify_batch(m: Model, texts: pa.Array, penalty: float, with_spans: bool)
         s = m.scores(words)
         top = constant_is_best(s, penalty)
         if top < 0:
-            pending.append((i, s, np.fromiter(map(len, words), dtype=np.int64, count=len(words))))
+            pending.append((i, s, np.fromiter(map(len, words), dtype=np.int32, count=len(words))))
+            waiting += len(words)
+            if waiting > 1_000_000:  # bounds what is held
+                decode()
+                waiting = 0
             continue
         langs[i], values[i] = m.langs[top], 1.0
         if with_spans:
             spans[i] = [{"start": _WORD.search(text).start(), "end": _last_letter(text), "lang": m.langs[top]}]
-    for (i, _, sizes), path in zip(pending, viterbi([s for _, s, _ in pending], penalty), strict=True):
-        letters = np.bincount(path, weights=sizes, minlength=len(m.langs))
-        top = int(letters.argmax())
-        langs[i], values[i] = m.langs[top], float(letters[top] / letters.sum())
-        if with_spans:
-            spans[i] = _spans(texts[i].as_py(), path, m.langs)
+    decode()
     return langs, values, spans
 
 
