@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Bits of the survivor filter: 2**23 bits are 256 rows of 4 KB, 1 MB whatever the corpus.
 FILTER_BITS = 1 << 23
 PREFIX_CHARS = 256
+#: Groups with more than this part of all rows are joined by broadcast; there are fewer than that many.
+HOT_SHARE = 200
 
 
 def _slot(*cols: str) -> Column:
@@ -15,20 +17,20 @@ def _slot(*cols: str) -> Column:
 
 
 def survivor_filter(groups: DataFrame, *cols: str) -> DataFrame:
-    """Bitmap rows (filter_row, bits) with the slots of the keys in `groups`; at most 1 MB in all."""
-    slots = groups.select(_slot(*cols).alias("slot"))
-    return slots.groupBy(F.shiftright("slot", 15).alias("filter_row")).agg(
-        F.bitmap_construct_agg(F.expr("slot & 32767")).alias("bits")
+    """Bitmap rows (__filter_row, __bits) with the slots of the keys in `groups`; at most 1 MB in all."""
+    slots = groups.select(_slot(*cols).alias("__slot"))
+    return slots.groupBy(F.shiftright("__slot", 15).alias("__filter_row")).agg(
+        F.bitmap_construct_agg(F.expr("__slot & 32767")).alias("__bits")
     )
 
 
 def maybe_in(df: DataFrame, bitmap: DataFrame, flag: str, *cols: str) -> DataFrame:
     """Add `flag`: false only if the key is surely not in the filter. The bitmap has a proven size, so it is broadcast."""
-    slot = df.withColumn("slot", _slot(*cols)).withColumn("filter_row", F.shiftright("slot", 15))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast((slot & 32767) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    bit = F.expr("cast(slot & 7 as int)")
+    slot = df.withColumn("__slot", _slot(*cols)).withColumn("__filter_row", F.shiftright("__slot", 15))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast((__slot & 32767) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(__slot & 7 as int)")
     hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit)) != 0, F.lit(False))
-    return slot.join(F.broadcast(bitmap), "filter_row", "left").withColumn(flag, hit).drop("slot", "filter_row", "bits")
+    return slot.join(F.broadcast(bitmap), "__filter_row", "left").withColumn(flag, hit).drop("__slot", "__filter_row", "__bits")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -43,8 +45,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Cases: a null text counts as empty, and empty texts are one group. Rows that share text and id
     are counted one by one and are all kept if their id is. Null ids group like others; the largest
     non-null id stays. An empty table gives an empty result. Other columns are not read.
-    A hot group meets no single task: counts are pre-aggregated, and in the last join its rows are
-    the large side, which adaptive execution splits.
+    A hot group meets no single task: counts are pre-aggregated, and the last join broadcasts the fewer
+    than 200 groups that hold over a 200th of the rows each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).alias("len"))
@@ -66,9 +68,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = (
         step3.filter("hot").groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("n")).filter("n > 1")
     )
-    # Rows settled early join on nothing: a random negative-free key spreads them instead of one null group.
-    key = F.when(F.col("hot"), F.col("digest")).otherwise(F.encode(F.col("r").cast("string"), "utf-8"))
-    out = step3.withColumn("k", key).join(groups.withColumnRenamed("digest", "k"), "k", "left")
+    # A group with over a 200th of all rows would burden one task of the join. There are fewer than 200 of
+    # them, so they are broadcast; their rows and those settled early then go to random keys that match nothing.
+    share = max(1, docs.count() // HOT_SHARE)
+    hot = groups.filter(F.col("n") > share).select("digest", F.col("keep").alias("hot_keep"), F.col("n").alias("hot_n"))
+    out = step3.join(F.broadcast(hot), "digest", "left")
+    open_row = F.col("hot") & F.col("hot_n").isNull()
+    out = out.withColumn("k", F.when(open_row, F.col("digest")).otherwise(F.encode(F.col("r").cast("string"), "utf-8")))
+    rest = groups.filter(F.col("n") <= share).withColumnRenamed("digest", "k")
+    out = out.join(rest, "k", "left")
+    out = out.withColumn("keep", F.coalesce("hot_keep", "keep")).withColumn("n", F.coalesce("hot_n", "n"))
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("keep", "id").alias("keep_id"),
