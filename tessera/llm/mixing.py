@@ -12,7 +12,7 @@ from tessera.plans.session import materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 
 
 def word_count(text: Column) -> Column:
