@@ -444,10 +444,10 @@ def _(spark, d):
 def paths(spark, d):
     p = table(spark, d, "pages").select("page_id", "url")
     k = F.col("page_id")
-    return p.select(k, F.concat(F.lit("/data/sub-"), k % 14, F.lit("_task-gradcpt_run-0"), k % 3 + 1, F.lit("_v"), k % 4, F.when(k % 2 == 0, "_clean.tsv").otherwise("_raw.tsv")).alias("path"))
+    return p.select(k, F.concat(F.lit("/data/sub-"), k % 14, F.lit("_task-watch_run-0"), k % 3 + 1, F.lit("_v"), k % 4, F.when(k % 2 == 0, "_clean.tsv").otherwise("_raw.tsv")).alias("path"))
 
 
-PATHS = "pa as (select page_id, '/data/sub-' || (page_id % 14) || '_task-gradcpt_run-0' || (page_id % 3 + 1) || '_v' || (page_id % 4) || case when page_id % 2 = 0 then '_clean.tsv' else '_raw.tsv' end as path from pages) "
+PATHS = "pa as (select page_id, '/data/sub-' || (page_id % 14) || '_task-watch_run-0' || (page_id % 3 + 1) || '_v' || (page_id % 4) || case when page_id % 2 = 0 then '_clean.tsv' else '_raw.tsv' end as path from pages) "
 
 
 @query("s4_pick_latest", "select subject, run, arg_min(path, k || path) as path from (select path, regexp_extract(path, 'sub-([^_/]+)', 1) as subject, regexp_extract(path, 'run-0*(\\d+)', 1)::int as run, case when path like '%v3_raw.tsv' then '0' when path like '%clean.tsv' then '1' end as k from pa) where k is not null group by 1, 2", PATHS)

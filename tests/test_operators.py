@@ -134,8 +134,8 @@ def test_amplifier_file(spark, tmp_path):
 
 
 def test_notes_and_gaze(spark, tmp_path):
-    notes = spark.createDataFrame([("n", "text\n2024-01-02-10-11-12 gradcpt Run 2\nmore")], "path string, text string")
-    assert [tuple(r) for r in IO.parse_folder_notes(notes).collect()] == [("n", "2024-01-02-10-11-12", "gradcpt", 2)]
+    notes = spark.createDataFrame([("n", "text\n2024-01-02-10-11-12 watch Run 2\nmore")], "path string, text string")
+    assert [tuple(r) for r in IO.parse_folder_notes(notes).collect()] == [("n", "2024-01-02-10-11-12", "watch", 2)]
     (tmp_path / "sub-1_run-2_gaze.tsv").write_text("timestamps\ttimestamps_neon\ttime\teyeleft_pupilDiameter\teyeright_pupilDiameter\n1\t1\t1\t2\t4\n2\t2\t2\tnan\t4\n")
     both = [r["pupil"] for r in IO.read_gaze(spark, str(tmp_path)).orderBy("time").collect()]
     either = [r["pupil"] for r in IO.read_gaze(spark, str(tmp_path), "any").orderBy("time").collect()]
