@@ -167,8 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = base.join(F.broadcast(known), "id").select(F.col("y").cast("int").alias("y"), "text")
     table = rows.mapInArrow(terms, "y int, ids array<int>").toArrow()
-    ids = [np.array(v, dtype=np.int32) for v in table["ids"].to_pylist()]
-    return fit(ids, table["y"].to_numpy())
+    lists = table["ids"].combine_chunks()
+    values, at = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    return fit([values[a:b] for a, b in zip(at, at[1:], strict=False)], table["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
