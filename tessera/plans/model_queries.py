@@ -165,8 +165,8 @@ def _(spark, d):
 
 @query("r15_bspline_compress")
 def _(spark, d):
-    taps = long_epochs(spark, d).filter("pos < 20").withColumnRenamed("pos", "delay").withColumnRenamed("v", "x")
-    return R.bspline_compress(taps, EP, 20, 6).select(*EP, "spline", *r("x"))
+    taps = long_epochs(spark, d).withColumnRenamed("pos", "delay").withColumnRenamed("v", "x")
+    return R.bspline_compress(taps, EP, 64, 6).select(*EP, "spline", *r("x"))
 
 
 @query("r16_combine_designs", "select subject, regressor, round(sum(x), 5) as x from (select subject, 'vtc' as regressor, vtc as x from vt union all select subject, 'rt', reaction_time from vt) group by 1, 2")
@@ -349,7 +349,7 @@ def _(spark, d):
 
 @query("g14_band_power_at")
 def _(spark, d):
-    e = v_epochs(spark, d).filter("trial_idx < 200")
+    e = v_epochs(spark, d)
     at = e.select("subject", "trial_idx").distinct().withColumn("sample", F.explode(F.expr("sequence(8L, 56L, 16L)")))
     return S.band_power_at(e, at, ["subject", "trial_idx"], FS, (8.0, 12.0), 8).select("subject", "trial_idx", "channel", "sample", *r("power", digits=8))
 
