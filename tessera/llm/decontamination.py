@@ -8,13 +8,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+from tessera.plans.session import materialize
 
 WINDOW = 10
 #: Words of items in one automaton (about 40 MB in a Python worker); more items go in further passes.
 MAX_AUTOMATON_WORDS = 100_000
-#: A span that is removed has at least as many words; a document over this covered share is dropped.
+#: A span that is removed has at least as many words or is a whole shorter item; a document over this covered share is dropped.
 MIN_SPAN_WORDS = WINDOW
 MAX_COVERAGE = 0.5
 
@@ -172,48 +176,82 @@ def _cut(text: str, spans: list[tuple[int, int]], ranges: list[tuple[int, int]])
     return "".join([*out, text[last:]])
 
 
-def _scan_batches(shared, min_span: int, with_text: bool):
-    """mapInArrow body over (id, text): counts, hit ranges, items, and the cleaned text where words are hit."""
+RANGES = "array<struct<start:long,end:long>>"
+FOUND = pa.struct(
+    [("n_words", pa.int64())]
+    + [(k, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))) for k in ("hits", "short")]
+    + [("items", pa.list_(pa.string()))]
+)
+
+
+def _scan_batches(shared, text_at: tuple[str, ...], first: bool):
+    """mapInArrow body: adds what one automaton finds in a row's text to the column `found`.
+
+    `hits` are the merged ranges of full windows, `short` those of whole items shorter than a window.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: Automaton = shared.value
-        get = automaton.vocabulary.get
+        get, window = automaton.vocabulary.get, automaton.window
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("n_words", "hits", "items", "clean")}
-            for text in batch.column("text"):
-                text = text.as_py()
-                words = words_of(text)
+            texts = batch.column(text_at[0])
+            for name in text_at[1:]:
+                texts = pc.struct_field(texts, [name])
+            before = [None] * batch.num_rows if first else batch.column("found").to_pylist()
+            found = []
+            for text, old in zip(texts, before, strict=True):
+                words = words_of(text.as_py())
                 hits, items = [], set()
                 if words:
                     ids = np.array([get(w, -1) for w in words], dtype=np.int64)
                     for a, b in _runs(ids, automaton):
-                        found, keys = automaton.scan(ids[a:b].tolist())
-                        hits += [(a + x, a + y) for x, y in found]
+                        ranges, keys = automaton.scan(ids[a:b].tolist())
+                        hits += [(a + x, a + y) for x, y in ranges]
                         items |= keys
-                hits = _merge(hits)
-                clean = None
-                if with_text and hits:
-                    spans = [m.span() for m in _WORD.finditer(text.translate(_UPPER))]
-                    clean = _cut(text, spans, [(a, b) for a, b in hits if b - a >= min_span])
-                for k, v in (("n_words", len(words)), ("hits", hits), ("items", sorted(items)), ("clean", clean)):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(rows["n_words"], pa.int64()),
-                    pa.array(
-                        [[{"start": a, "end": b} for a, b in h] for h in rows["hits"]],
-                        pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-                    ),
-                    pa.array(rows["items"], pa.list_(pa.string())),
-                    pa.array(rows["clean"], pa.string()),
-                ],
-                names=["id", "n_words", "hits", "items", "clean"],
-            )
+                long, short = [h for h in hits if h[1] - h[0] >= window], [h for h in hits if h[1] - h[0] < window]
+                if old:
+                    long += [(h["start"], h["end"]) for h in old["hits"]]
+                    short += [(h["start"], h["end"]) for h in old["short"]]
+                    items |= set(old["items"])
+                sides = {k: [{"start": a, "end": b} for a, b in _merge(v)] for k, v in (("hits", long), ("short", short))}
+                found.append({"n_words": len(words), **sides, "items": sorted(items)})
+            kept = [k for k in batch.schema.names if k != "found"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(found, FOUND)], names=[*kept, "found"])
 
     return scan
 
 
+#: Passes that run in one stage, each in a Python worker with its automaton; then the rows are written.
+PASSES_A_STAGE = 4
+
+
+def _all_hits(rows: DataFrame, found: Iterable[Automaton], window: int, text_at: tuple[str, ...]) -> DataFrame:
+    """`rows` with a column `found`: every automaton reads the same text of each row, and its hits join those before.
+
+    A map without a shuffle or a key, so rows with equal or null ids stay apart.
+    """
+    sc = rows.sparkSession.sparkContext
+    schema = StructType([*rows.schema.fields, StructField("found", _parse_datatype_string(f"n_words long, hits {RANGES}, short {RANGES}, items array<string>"))])
+    n = 0
+    for automaton in found:
+        if n and n % PASSES_A_STAGE == 0:
+            rows = materialize(rows, "hits")
+        rows = rows.mapInArrow(_scan_batches(sc.broadcast(automaton), text_at, not n), schema)
+        n += 1
+    return rows if n else rows.mapInArrow(_scan_batches(sc.broadcast(Automaton([], window)), text_at, True), schema)
+
+
+def _ranges(found: dict, min_span: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """All hit ranges of a row, and those to cut: of `min_span` words or more, or a whole short item."""
+    short = [(h["start"], h["end"]) for h in found["short"]]
+    hits = _merge([(h["start"], h["end"]) for h in found["hits"]] + short)
+    return hits, _merge([(a, b) for a, b in hits if b - a >= min_span] + short)
+
+
+def _without(text: str, ranges: list[tuple[int, int]]) -> str:
+    return _cut(text, [m.span() for m in _WORD.finditer(text.translate(_UPPER))], ranges)
+
+
 def automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_words: int) -> Iterator[Automaton]:
     """Automata over all items, each of at most `max_words` words (an item longer than that is cut with overlap).
 
@@ -263,82 +301,70 @@ def find_contamination(
     Words are streamed through a suffix automaton of the items; wherever the longest match reaches the
     window (or all of a shorter item), the matched words are hit. `hits` are merged word ranges
     [start, end), `items` the sorted ids of the items with an occurring window; with `with_text`,
-    `clean` is the text without the hit ranges of `min_span` words or more (null: nothing hit).
+    `clean` is the text without the hit ranges of `min_span` words or more and without whole items
+    shorter than the window (null: nothing hit).
     A filter on word pairs, which loses no match, keeps most text out of the automaton.
 
-    The scan is a map over documents without a shuffle. A benchmark over `max_words` words is scanned
-    in blocks; per document the blocks are then put together by id, in which case the ids must be
-    unique and `clean` is not available.
+    The scan is a map over documents without a shuffle. A benchmark over half of `max_words` words is
+    scanned in blocks, each over the whole text of every row; ids are not used and may repeat or be null.
 
     Cases: null texts have no words; items without words match nothing; null items are left out;
     repeated items count once per id; an empty benchmark hits nothing; other columns are not read.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = []
+    rows = _all_hits(base, automata(benchmark, item_col, item_text_col, window, max_words), window, ("text",))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, clean = batch.column("found").to_pylist(), []
+            ranges = [_ranges(f, min_span) for f in found]
+            for text, (hits, cut) in zip(batch.column("text"), ranges, strict=True):
+                clean.append(_without(text.as_py(), cut) if with_text and hits else None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array([f["n_words"] for f in found], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in hits] for hits, _ in ranges], FOUND.field("hits").type),
+                    pa.array([f["items"] for f in found], pa.list_(pa.string())),
+                    pa.array(clean, pa.string()),
+                ],
+                names=["id", "n_words", "hits", "items", "clean"],
+            )
+
     kind = base.schema["id"].dataType.simpleString()
-    for automaton in automata(benchmark, item_col, item_text_col, window, max_words):
-        shared = spark.sparkContext.broadcast(automaton)
-        parts.append(base.mapInArrow(_scan_batches(shared, min_span, with_text), f"id {kind}, {HITS}"))
-    if not parts:
-        shared = spark.sparkContext.broadcast(Automaton([], window))
-        parts.append(base.mapInArrow(_scan_batches(shared, min_span, with_text), f"id {kind}, {HITS}"))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    if with_text:
-        raise ValueError("the benchmark needs several passes; clean the text in one pass per block")
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    out = out.groupBy("id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.lit(None).cast("string").alias("clean"),
-    )
-    # Ranges of different blocks can overlap: fold them into disjoint ones.
-    merged = F.expr(
-        "aggregate(hits, cast(array() as array<struct<start:long,end:long>>), (a, h) -> "
-        "if(size(a) > 0 and h.start <= element_at(a, -1).end, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, h.end)))), "
-        "concat(a, array(h))))"
-    )
-    return out.withColumn("hits", merged).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(finish, f"id {kind}, {HITS}").withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVERAGE, **kwargs) -> DataFrame:
     """The documents with benchmark passages cut out of `text`; a document covered beyond `max_coverage` goes.
 
     The columns are those of `docs`; untouched documents keep their text to the letter. A row's text
-    is cleaned where it is read, so nothing is joined back and repeated ids do no harm.
-    Cases as in `find_contamination`; the benchmark must fit one automaton per pass: with several, the
-    passes run one after the other over the text that is left.
+    is cleaned where it is read, so nothing is joined back and repeated ids do no harm. Coverage and
+    cuts are judged once, by the hits of all blocks of the benchmark on the text as it came.
+    Cases as in `find_contamination`.
     """
-    spark = docs.sparkSession
-    names = docs.columns
     window, min_span = kwargs.get("window", WINDOW), kwargs.get("min_span", MIN_SPAN_WORDS)
     found = automata(benchmark, "item_id", "text", window, kwargs.get("max_words", MAX_AUTOMATON_WORDS))
-    for automaton in found:
-        shared = spark.sparkContext.broadcast(automaton)
-        docs = docs.mapInArrow(_clean_batches(shared, min_span, max_coverage), docs.schema)
-    return docs.select(*names)
+    # The caller's columns travel in a struct, so their names do not meet `found`.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = _all_hits(rows, found, window, ("row", "text"))
+    return rows.mapInArrow(_clean_batches(min_span, max_coverage), docs.schema)
 
 
-def _clean_batches(shared, min_span: int, max_coverage: float):
+def _clean_batches(min_span: int, max_coverage: float):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _scan_batches(shared, min_span, True)
         for batch in batches:
-            ids = pa.array(np.arange(batch.num_rows))
-            pair = pa.RecordBatch.from_arrays([ids, batch.column("text")], names=["id", "text"])
-            got = next(scan(iter([pair])))
-            texts, keep = batch.column("text").to_pylist(), []
-            for i, (n, hits, cut) in enumerate(zip(*(got.column(k).to_pylist() for k in ("n_words", "hits", "clean")), strict=True)):
-                keep.append(not n or sum(h["end"] - h["start"] for h in hits) <= max_coverage * n)
-                if cut is not None:
-                    texts[i] = cut
-            at = batch.schema.get_field_index("text")
-            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield out.filter(pa.array(keep))
+            row = batch.column("row")
+            out = pa.RecordBatch.from_arrays(row.flatten(), schema=pa.schema(list(row.type)))
+            at = out.schema.get_field_index("text")
+            texts, keep = out.column(at).to_pylist(), []
+            for i, found in enumerate(batch.column("found").to_pylist()):
+                hits, cut = _ranges(found, min_span)
+                keep.append(sum(b - a for a, b in hits) <= max_coverage * found["n_words"])
+                if cut:
+                    texts[i] = _without(texts[i], cut)
+            out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     return clean
 
