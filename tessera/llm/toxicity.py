@@ -12,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.session import materialize
+
 #: Expected number of labelled documents that the model is fitted on, and the most that come to the driver.
 MAX_TRAIN_DOCS = 20_000
-#: Distinct terms of a training document that are used, in bucket order; scoring uses all.
-MAX_TRAIN_TERMS = 2_000
+#: Most terms of all training documents together that come to the driver (4 bytes each); beyond that whole documents
+#: stay out, by a hash of their id in so many slots.
+MAX_TRAIN_TERMS = 40_000_000
+SLOTS = 1024
 BUCKETS = 1 << 18
 FACTORS = 8
 EPOCHS = 8
@@ -146,11 +150,12 @@ def _calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_TRAIN_DOCS) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_TRAIN_DOCS, max_terms: int = MAX_TRAIN_TERMS) -> FactorizationMachine:
     """Fit on about `max_docs` labelled documents, taken by a hash of their id.
 
-    Of several labels of an id the largest holds; null labels and texts are left out. What comes to
-    the driver is bounded: `max_docs` rows of at most MAX_TRAIN_TERMS term buckets.
+    Of several labels of an id the largest holds; null labels and texts are left out. Each of these
+    documents is used with all of its terms. What comes to the driver is bounded: about `max_docs`
+    rows of at most `max_terms` term buckets together; if there are more, fewer documents are taken.
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     n = known.count()
@@ -162,11 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            ids = [term_ids(t.as_py(), cache)[:MAX_TRAIN_TERMS].tolist() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(ids, pa.list_(pa.int32()))], names=["y", "ids"])
-
-    rows = base.join(F.broadcast(known), "id").select(F.col("y").cast("int").alias("y"), "text")
-    table = rows.mapInArrow(terms, "y int, ids array<int>").toArrow()
+            ids = [term_ids(t.as_py(), cache).tolist() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("y"), pa.array(ids, pa.list_(pa.int32()))], names=["slot", "y", "ids"])
+
+    slot = F.pmod(F.xxhash64(F.lit("slot"), "id"), F.lit(SLOTS)).cast("int").alias("slot")
+    rows = base.join(F.broadcast(known), "id").select(slot, F.col("y").cast("int").alias("y"), "text")
+    rows = materialize(rows.mapInArrow(terms, "slot int, y int, ids array<int>"), "terms")
+    sizes = np.zeros(SLOTS, dtype=np.int64)
+    for r in rows.groupBy("slot").agg(F.sum(F.size("ids")).alias("n")).collect():
+        sizes[r["slot"]] = r["n"]
+    table = rows.filter(F.col("slot") < int((np.cumsum(sizes) <= max_terms).sum())).select("y", "ids").toArrow()
     lists = table["ids"].combine_chunks()
     values, at = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
     return fit([values[a:b] for a, b in zip(at, at[1:], strict=False)], table["y"].to_numpy())

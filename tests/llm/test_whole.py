@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination
+from tessera.llm import decontamination, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -15,6 +15,23 @@ def passage(name, n):
     return " ".join(f"{name}{i}" for i in range(n))
 
 
+# 8 toxicity
+
+
+def test_training_uses_all_terms_of_long_documents(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y: seen.update(rows=rows, y=y))
+    texts = [" ".join(a + b + c for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop"[: 12 + i % 4]) for i in range(20)]
+    docs = table(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    want = sorted(toxicity.term_ids(t, {}).tolist() for t in texts)
+    assert min(map(len, want)) > 2_000 and sorted(r.tolist() for r in seen["rows"]) == want
+    toxicity.train(docs, labels, max_terms=40_000)
+    got = [r.tolist() for r in seen["rows"]]
+    assert 0 < len(got) < 20 and sum(map(len, got)) <= 40_000 and all(r in want for r in got)  # whole documents only
+
+
 # 9 decontamination
 
 
