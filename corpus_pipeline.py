@@ -20,8 +20,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; a document left without any letter or digit goes."""
-    out = line_dedup.dedup_lines(docs)
+    """Takes repeated lines out of the texts, equal ones of any length; a document left without any letter or digit goes."""
+    out = line_dedup.dedup_lines(docs, exact_chars=1)
     left = F.col("text").rlike(r"[\p{L}\p{N}]")
     return _with_length(out.filter(left | (F.size("removed") == 0)))
 

@@ -141,21 +141,26 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """(id, line_no, digest, k0.., p0.., c0..) for each line of at least `min_chars` characters."""
-    base = _lines(docs, id_col, text_col).withColumn("n", F.length("s")).filter(F.col("n") >= max(min_chars, edits + 1))
+def line_table(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """(id, line_no, digest, k0.., p0.., c0..) for each line of at least `min_chars` characters.
+
+    With `exact_chars`, lines of so many characters and more are there too, without keys (null).
+    """
+    least = max(min_chars, edits + 1)
+    base = _lines(docs, id_col, text_col).withColumn("n", F.length("s")).filter(F.col("n") >= min(least, exact_chars or least))
     s, n = F.col("s"), F.col("n")
+    near = (lambda key: F.when(n >= least, key)) if exact_chars else (lambda key: key)
     return base.select(
         "id",
         "line_no",
         F.unhex(F.md5("s")).alias("digest"),
-        *[k.alias(f"k{i}") for i, k in enumerate(index_keys(s, n, edits))],
-        *[k.alias(f"p{i}") for i, k in enumerate(probe_keys(s, n, edits))],
+        *[near(k).alias(f"k{i}") for i, k in enumerate(index_keys(s, n, edits))],
+        *[near(k).alias(f"p{i}") for i, k in enumerate(probe_keys(s, n, edits))],
         *[c.alias(f"c{i}") for i, c in enumerate(letter_counts(s, n))],
     )
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(id, line_no) of the lines that are duplicates.
 
     Lines are compared after normalising. Equal lines are one group, which stands where it first
@@ -168,7 +173,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs that remain are fetched and verified. Very frequent lines count once; very frequent segments
     are a skewed join, which adaptive execution splits.
     """
-    lines = materialize(line_table(docs, id_col, text_col, edits, min_chars), "lines")
+    lines = materialize(line_table(docs, id_col, text_col, edits, min_chars, exact_chars), "lines")
     keys = [c for c in lines.columns if c[0] == "k"]
     probes = [c for c in lines.columns if c[0] == "p"]
     counts = [f"c{i}" for i in range(len(_LETTERS))]
@@ -176,7 +181,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*keys, *probes, *counts)]
     )
     groups = materialize(groups.select("digest", "first.*", "n", *keys, *probes, *counts), "groups")
-    index = groups.select(F.explode(F.array(*keys)).alias("key"), "id", "line_no", *counts)
+    index = groups.select(F.explode(F.array(*keys)).alias("key"), "id", "line_no", *counts).filter("key is not null")
     probe = groups.select(F.explode(F.array(*keys, *probes)).alias("key"), "id", "line_no", *counts).filter("key is not null")
     a, b = index.alias("a"), probe.alias("b")
     other = (F.col("a.id") != F.col("b.id")) | (F.col("a.line_no") != F.col("b.line_no"))
@@ -200,7 +205,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), "line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The documents without their duplicate lines, with `removed`, the numbers of the lines taken out (from 0).
 
     All columns of `docs` stay; the text is joined anew from the lines that stay.
@@ -210,7 +215,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result. Documents surely without duplicates skip the join: a bitmap of fixed size tells them. The
     join of the others is a sort-merge join at every size, as the list of removed lines has no bound.
     """
-    gone = duplicate_lines(docs, id_col, text_col, edits, min_chars)
+    gone = duplicate_lines(docs, id_col, text_col, edits, min_chars, exact_chars)
     gone = gone.groupBy(F.col(id_col).alias("key")).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     gone = materialize(gone, "gone")
     # The caller's columns travel in a struct, so their names meet none of the names used here.

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, toxicity
+import corpus_pipeline
+from tessera.llm import decontamination, line_dedup, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -15,6 +16,18 @@ def passage(name, n):
     return " ".join(f"{name}{i}" for i in range(n))
 
 
+# 4 line dedup
+
+
+def test_equal_short_lines(spark):
+    rows = [(1, "short\n\n}\nshorts\nSHORT "), (2, "}\n\nshort\nown"), (3, None), (4, ""), (None, "short")]
+    want = {1: "short\n\n}\nshorts", 2: "\nown", 3: None, 4: "", None: "short"}
+    out = line_dedup.dedup_lines(table(spark, rows), exact_chars=1)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    staged = corpus_pipeline.line_stage(spark, table(spark, rows), "")
+    assert {r["doc_id"]: r["text"] for r in staged.collect()}[2] == "\nown"
+
+
 # 8 toxicity
 
 
