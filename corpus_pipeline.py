@@ -27,10 +27,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component, the one with the smallest id."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one row of each near-duplicate component, the one with the smallest id (null ids last)."""
+    # Written, so that the number of a row is the same in both reads.
+    rows = materialize(docs.select(*COLUMNS).withColumn("row_no", F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
+    found = simhash.near_duplicates(rows.select(place.alias("place"), "text"), id_col="place")
+    keep = found.filter("place = component_id").select(F.col("place.row_no").alias("row_no"))
+    return rows.join(keep, "row_no", "left_semi").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

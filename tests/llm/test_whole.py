@@ -71,3 +71,14 @@ def test_blocks_of_a_benchmark_read_the_same_text(spark):
         assert {i for i, _ in texts} == {2, 3, 4, None} and {(None, "clean"), (2, "clean too"), (4, None)} < texts
         assert (2, f"{passage('own', 60)}  c3  then a  here") in texts
         assert (3, f"{passage('own', 60)} d0 d1 d2 d3 d4  d5 d6 d7 d8 d9") in texts
+
+
+# pipeline
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    same, other = passage("same", 30), passage("other", 30)
+    rows = [(7, same), (7, same), (None, same), (None, other), (None, passage("third", 30)), (8, other), (None, passage("fourth", 30)), (None, passage("fourth", 30))]
+    out = corpus_pipeline.near_duplicate_stage(spark, table(spark, rows).repartition(3), "")
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(7, same), (8, other), (None, passage("third", 30)), (None, passage("fourth", 30))], key=str)
