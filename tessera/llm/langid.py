@@ -55,9 +55,37 @@ def script_of(word: str) -> int:
     return len(SCRIPTS) - 1
 
 
+#: A run of letters longer than that (as in scripts without blanks) is scored in units; they overlap, so that no piece is lost.
+MAX_UNIT, OVERLAP = 40, 3
+
+
+def _unit_spans(run: str) -> list[tuple[int, int, int]]:
+    """(start, end, end of what is scored) of the units of a run: cut where the script changes, then at a fixed length."""
+    codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    script = np.full(len(codes), len(SCRIPTS) - 1)
+    for first, last, name in reversed(SCRIPT_RANGES):
+        script[(codes >= first) & (codes <= last)] = SCRIPTS.index(name)
+    edges = [0, *(np.flatnonzero(np.diff(script)) + 1).tolist(), len(run)]
+    return [(i, min(i + MAX_UNIT, b), min(i + MAX_UNIT + OVERLAP, b)) for a, b in zip(edges, edges[1:], strict=False) for i in range(a, b, MAX_UNIT)]
+
+
+def units(text: str) -> tuple[list[str], list[tuple[int, int]] | None]:
+    """The words of a text, long runs in units; and all their spans if there is such a run."""
+    words = _WORD.findall(text)
+    if not words or max(map(len, words)) <= MAX_UNIT:
+        return words, None
+    out, spans = [], []
+    for m in _WORD.finditer(text):
+        run, at = m[0], m.start()
+        cuts = [(0, len(run), len(run))] if len(run) <= MAX_UNIT else _unit_spans(run)
+        out += [run[a:c] for a, _, c in cuts]
+        spans += [(at + a, at + b) for a, b, _ in cuts]
+    return out, spans
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, words' places): hash buckets of each word and of its 1- to 4-letter pieces, ends marked."""
-    marked = [f"<{w.lower()[:40]}>" for w in words]
+    marked = [f"<{w.lower()}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.array([len(w) for w in marked])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
@@ -120,14 +148,15 @@ class Model:
 def constant_is_best(scores: np.ndarray, penalty: float) -> int:
     """The language that surely labels the whole text, or -1.
 
-    If no stretch gains more than the penalty from any one other language, no path with changes is
-    better: k stretches in other languages cost k changes at least.
+    If no stretch gains more than half of the penalty from any one other language, no path with changes
+    is better: k stretches in other languages cost k - 1 changes at least, and one change if k is 1; for
+    k of 2 or more, k - 1 is half of k at least.
     """
     top = int(scores.sum(axis=0, dtype=np.float64).argmax())
     gain = np.cumsum(scores - scores[:, top : top + 1], axis=0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
     low = np.concatenate((np.zeros((1, scores.shape[1])), low[:-1]))
-    return top if (gain - low).max() <= penalty else -1
+    return top if (gain - low).max() <= penalty / 2 else -1
 
 
 def viterbi(scores: list[np.ndarray], penalty: float = SWITCH_PENALTY) -> list[np.ndarray]:
@@ -206,7 +235,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
-                words[lang.as_py()].update(_WORD.findall(text.as_py()))
+                words[lang.as_py()].update(units(text.as_py())[0])
             if sum(map(len, words.values())) > 300_000:
                 yield flush()
         yield flush()
@@ -279,13 +308,14 @@ def _identify_batch(m: Model, texts: pa.Array, penalty: float, with_spans: bool)
     waiting = 0
     for i, text in enumerate(texts):
         text = text.as_py() or ""
-        words = _WORD.findall(text) if m.langs else []
+        words, cuts = units(text) if m.langs else ([], None)
         if not words:
             continue
         s = m.scores(words)
         top = constant_is_best(s, penalty)
         if top < 0:
-            pending.append((i, s, np.fromiter(map(len, words), dtype=np.int32, count=len(words))))
+            sizes = (b - a for a, b in cuts) if cuts else map(len, words)
+            pending.append((i, s, np.fromiter(sizes, dtype=np.int32, count=len(words))))
             waiting += len(words)
             if waiting > 1_000_000:  # bounds what is held
                 decode()
@@ -322,7 +352,7 @@ def _last_letter(text: str) -> int:
 
 def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
     edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = units(text)[1] or [m.span() for m in _WORD.finditer(text)]
     return [{"start": at[a][0], "end": at[b - 1][1], "lang": langs[path[a]]} for a, b in zip(edges, edges[1:], strict=False)]
 
 

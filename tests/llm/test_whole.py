@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline
-from tessera.llm import decontamination, line_dedup, toxicity
+from tessera.llm import decontamination, langid, line_dedup, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -16,6 +18,34 @@ def passage(name, n):
     return " ".join(f"{name}{i}" for i in range(n))
 
 
+# 1 language ID
+
+
+def test_two_languages_with_a_third_close_to_both():
+    half = np.array([[7, -20, 0]], dtype=np.float32) / 4
+    s = np.concatenate([np.repeat(half, 4, axis=0), np.repeat(half[:, [1, 0, 2]], 4, axis=0)])
+    assert s.sum(axis=0).argmax() == 2 and langid.constant_is_best(s, 8.0) == -1
+    assert langid.viterbi([s], 8.0)[0].tolist() == [0] * 4 + [1] * 4
+
+
+def test_long_runs_are_scored_to_their_end():
+    run = "a" * 100 + "я" * 50
+    words, spans = langid.units(f"one {run} two")
+    assert spans == [(0, 3), (4, 44), (44, 84), (84, 104), (104, 144), (144, 154), (155, 158)]
+    assert words == ["one", "a" * 43, "a" * 43, "a" * 20, "я" * 43, "я" * 10, "two"]
+    assert langid.units("one two") == (["one", "two"], None)
+    assert len(langid.features(["a" * 60])[0]) > len(langid.features(["a" * 40])[0])
+
+
+def test_language_of_a_run_without_blanks(spark):
+    rows = [(i, w, k) for i, (w, k) in enumerate([("alpha beta gamma delta", "x"), ("zorro quux wyvern jinx", "z")] * 20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "alphabetagamma" * 4 + "zorroquuxwyvern" * 20
+    got = langid.identify(table(spark, [(1, text)]), model).first()
+    assert got["lang_pred"] == "z" and [s["lang"] for s in got["spans"]] == ["x", "z"]
+    assert (got["spans"][0]["start"], got["spans"][-1]["end"]) == (0, len(text))
+
+
 # 4 line dedup
 
 
