@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 def _neighbours(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, value: str) -> DataFrame:
     """left with __p and __n, the right points (t, v) at or before and at or after each left time.
 
-    Both sides go through one sort per key (union and windows), never a theta join.
+    Both sides go through two sorts per key (union and windows), never a theta join. Both windows grow
+    from one end, so a key of n rows costs n steps: what follows is what came before in falling time.
+    Of right points with one time, the one with the largest value is taken; left rows without a time
+    have no neighbours.
     """
-    a = left.select(*keys, F.col(lt).alias("__t"), F.lit(None).cast("struct<t:double,v:double>").alias("__r"), F.struct(*left.columns).alias("__l"))
-    point = F.struct(F.col(rt).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
-    b = right.filter(F.col(rt).isNotNull()).select(*keys, F.col(rt).alias("__t"), point.alias("__r"))
+    a = left.select(*keys, F.col(lt).cast("double").alias("__t"), F.lit(None).cast("double").alias("__v"), F.struct(*left.columns).alias("__l"))
+    b = right.filter(F.col(rt).isNotNull()).select(*keys, F.col(rt).cast("double").alias("__t"), F.col(value).cast("double").alias("__v"), F.lit(True).alias("__r"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy(F.col("__t").cast("double"))
-    # Equal times are peers of a range frame: a point at the left's own time counts on both sides.
-    both = both.withColumns(
-        {
-            "__p": F.last("__r", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0)),
-            "__n": F.first("__r", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing)),
-        }
-    )
+
+    def seen(sign: int) -> Column:
+        t = sign * F.col("__t")
+        # Equal times are peers of a range frame: a point at the left's own time counts on both sides.
+        w = W.partitionBy(*keys).orderBy(t).rangeBetween(W.unboundedPreceding, 0)
+        most = F.max(F.when(F.col("__r"), F.struct(t.alias("t"), F.col("__v").alias("v")))).over(w)
+        return F.when(F.col("__t").isNotNull() & most.isNotNull(), F.struct((sign * most["t"]).alias("t"), most["v"].alias("v")))
+
+    both = both.withColumns({"__p": seen(1), "__n": seen(-1)})
     return both.filter("__l is not null").select("__l.*", "__p", "__n")
 
 

@@ -51,12 +51,13 @@ def filter_in_range(marks: DataFrame, recordings: DataFrame, tmin: float, tmax:
 
 
 def _around(col: str, keys: list[str], order: str) -> tuple[Column, Column]:
+    """The last point (i, x) with a value up to each row, and the first from it on.
+
+    Both windows grow from one end: one that ends at the last row would be evaluated anew for every row.
+    """
     point = F.when(F.col(col).isNotNull(), F.struct(F.col(order).alias("i"), F.col(col).alias("x")))
-    w = W.partitionBy(*keys).orderBy(order)
-    return (
-        F.last(point, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        F.first(point, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)),
-    )
+    w = W.partitionBy(*keys)
+    return tuple(F.last(point, ignorenulls=True).over(w.orderBy(o).rowsBetween(W.unboundedPreceding, 0)) for o in (order, F.desc(order)))
 
 
 def fill(df: DataFrame, col: str, keys: list[str], order: str, method: str = "linear", out: str | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def fill(df: DataFrame, col: str, keys: list[str], order: str, method: str = "li
         every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         # Only the two points at each end are needed; null-skipping ranks find them without gathering the run.
         rank = F.when(F.col(col).isNotNull(), F.count(col).over(w.rowsBetween(W.unboundedPreceding, 0)))
-        back = F.when(F.col(col).isNotNull(), F.count(col).over(w.rowsBetween(0, W.unboundedFollowing)))
+        back = F.when(F.col(col).isNotNull(), F.count(col).over(W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)))
         df = df.withColumns({"__r": rank, "__b": back})
         df = df.withColumns(
             {f"__{name}{k}": F.max(F.when(F.col(c) == k, F.struct(F.col(order).alias("i"), F.col(col).alias("x")))).over(every) for name, c in (("s", "__r"), ("e", "__b")) for k in (1, 2)}

@@ -150,3 +150,37 @@ def test_results_are_written_by_subject(spark, tmp_path):
 def test_materialize_reads_back(spark):
     df = spark.range(5).withColumn("a", F.array(F.col("id")))
     assert materialize(df, "t").orderBy("id").collect() == df.orderBy("id").collect()
+
+
+def test_neighbours_and_fill_of_one_long_run(spark):
+    """A run of 200,000 samples takes seconds; results equal numpy's."""
+    import time
+
+    n = 200_000
+    rng = np.random.default_rng(4)
+    x = spark.range(n).selectExpr("1 as k", "id as i", "case when id % 7 = 3 then cast(id * 37 % 1001 as double) end as x", "id / 4.0d as t")
+    began = time.perf_counter()
+    filled = np.array([r[0] for r in T.fill(x, "x", ["k"], "i").orderBy("i").select("x_filled").collect()])
+    at = np.arange(3, n, 7)
+    assert filled == pytest.approx(np.interp(np.arange(n), at, at * 37 % 1001))
+    left = spark.createDataFrame([(1, float(t)) for t in rng.uniform(-5, n / 4 + 5, 2000)], "k int, lt double")
+    right = x.filter("x is not null")
+    ts, vs = at / 4.0, (at * 37 % 1001).astype(float)
+    near = J.asof_nearest(left, right, ["k"], "lt", "t", "x").collect()
+    for r in near:
+        d = np.abs(ts - r["lt"])
+        assert r["near_v"] == vs[int(np.argmin(d))]
+    lin = J.interp_join(left, right, ["k"], "lt", "t", "x").collect()
+    assert [r["interp"] for r in lin] == pytest.approx([float(np.interp(r["lt"], ts, vs)) for r in lin])
+    forward = J.asof_forward(left, right, ["k"], "lt", "t", "x").collect()
+    for r in forward:
+        j = int(np.searchsorted(ts, r["lt"]))
+        assert r["next_v"] == (vs[j] if j < len(ts) else None)
+    assert time.perf_counter() - began < 60
+
+
+def test_neighbours_without_times_and_with_ties(spark):
+    left = spark.createDataFrame([(1, 2.0), (1, None), (2, 1.0), (None, 1.0)], "k int, t double")
+    right = spark.createDataFrame([(1, 2.0, 5.0), (1, 2.0, 7.0), (1, None, 9.0), (1, 3.0, None)], "k int, ts double, v double")
+    got = {(r["k"], r["t"]): (r["near_t"], r["near_v"]) for r in J.asof_nearest(left, right, ["k"], "t", "ts", "v").collect()}
+    assert got == {(1, 2.0): (2.0, 7.0), (1, None): (None, None), (2, 1.0): (None, None), (None, 1.0): (None, None)}
