@@ -122,12 +122,12 @@ def _(spark, d):
 
 def series_and_marks(spark, d):
     """Embeddings as 64-sample series, with a marker every 9 samples from 3 on."""
-    e = v_epochs(spark, d).filter("trial_idx < 30").withColumn("sfreq", F.lit(10.0)).withColumnRenamed("trial_idx", "series")
+    e = v_epochs(spark, d).withColumn("sfreq", F.lit(10.0)).withColumnRenamed("trial_idx", "series")
     marks = e.select("subject", "run", "series").distinct().withColumn("sample", F.explode(F.expr("sequence(3L, 63L, 9L)")))
     return e.drop("event"), marks
 
 
-CUT = ", s as (select *, unnest(range(3, 64, 9)) as sample from ep where trial_idx < 30) "
+CUT = ", s as (select *, unnest(range(3, 64, 9)) as sample from ep) "
 
 
 @query("j13_epoch", CUT + "select subject, run, trial_idx as series, channel, sample::bigint as sample, 11 as n, round(list_sum(v[sample - 2 + 1:sample + 8 + 1]), 4) as total from s where sample - 2 >= 0 and sample - 2 + 11 <= 64", V_EPOCHS)

@@ -130,13 +130,13 @@ def _(spark, d):
 
 def design(spark, d):
     """Trials on a clock of seconds, one every 0.8 s, and 2 Hz times; the value is the VTC or its mean."""
-    t = days(spark, d).filter("subject <= 20").withColumn("onset", F.col("trial_idx") * 0.8).withColumnRenamed("condition", "event")
+    t = days(spark, d).withColumn("onset", F.col("trial_idx") * 0.8).withColumnRenamed("condition", "event")
     t = R.scaled_trials(t, "VTC", RUN)
     times = t.groupBy(*RUN).agg(F.max("onset").alias("b")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("b") * 2)))).select(*RUN, "i", (F.col("i") / 2).alias("t"))
     return t, times
 
 
-DESIGN = ", t as (select subject, run, condition as event, trial_idx * 0.8::double as onset, coalesce(vtc, avg(vtc) over (partition by subject, run, condition)) as value from vt where subject <= 20), ti as (select subject, run, unnest(range(0, floor(max(onset) * 2)::bigint + 1)) / 2 as t from t group by 1, 2) "
+DESIGN = ", t as (select subject, run, condition as event, trial_idx * 0.8::double as onset, coalesce(vtc, avg(vtc) over (partition by subject, run, condition)) as value from vt), ti as (select subject, run, unnest(range(0, floor(max(onset) * 2)::bigint + 1)) / 2 as t from t group by 1, 2) "
 
 
 @query("r11_hrf_design", DESIGN + "select subject, run, event, k::int as kernel, round(sum(value * exp(-((ti.t - onset + 2 - k) ** 2) / 2)), 4) as x from t join ti using (subject, run), range(1, 13) g(k) where ti.t >= onset - 2 and ti.t <= onset + 10 group by 1, 2, 3, 4")
@@ -157,7 +157,7 @@ def _(spark, d):
     return R.impulse_design(t, RUN, FS).select(*RUN, "i", *r("x", digits=6))
 
 
-@query("r14_drift_legendre", ", s as (select subject, run, trial_idx, case when max(trial_idx) over w > min(trial_idx) over w then 2 * (trial_idx - min(trial_idx) over w) / (max(trial_idx) over w - min(trial_idx) over w) - 1 else 0 end as s from tr window w as (partition by subject, run)) select subject, run, trial_idx::double as t, 1.0::double as drift0, round(s, 6) as drift1, round((3 * s * s - 1) / 2, 6) as drift2, round((5 * s ** 3 - 3 * s) / 2, 6) as drift3 from s")
+@query("r14_drift_legendre", ", s as (select subject, run, trial_idx, case when max(trial_idx) over w > min(trial_idx) over w then 2 * (trial_idx - min(trial_idx) over w) / (max(trial_idx) over w - min(trial_idx) over w) - 1 else 0 end as s from tr window w as (partition by subject, run)) select subject, run, trial_idx::double as t, 1.0::double as drift0, round(s, 6) as drift1, round((3 * s * s - 1.0) / 2, 6) as drift2, round((5 * s * ((3 * s * s - 1.0) / 2) - 2 * s) / 3, 6) as drift3 from s")
 def _(spark, d):
     t = v_trials(spark, d).withColumn("t", F.col("trial_idx").cast("double"))
     return R.drift_design(t, RUN, 3, "legendre").select(*RUN, "t", "drift0", *r("drift1", "drift2", "drift3", digits=6))
@@ -214,9 +214,9 @@ def _(spark, d):
 BASIS = ", ba as (select k as kernel, t, exp(-((t + 2 - k) ** 2) / 2)::double as b from range(1, 5) g(k), (select unnest(range(-4, 9)) / 2 as t)), be as (select subject, k as kernel, avg(vtc) filter (trial_idx % 4 = k - 1) as beta from vt, range(1, 5) g(k) group by 1, 2) "
 
 
-def basis(spark, d):
-    t = table(spark, d, "region").select(F.explode(F.sequence(F.lit(-4), F.lit(8))).alias("i")).distinct().select((F.col("i") / 2).alias("t"))
-    b = t.withColumn("kernel", F.explode(F.sequence(F.lit(1), F.lit(4))))
+def basis(spark):
+    """Four kernels at 13 times; fixed by the design, not by the data."""
+    b = spark.range(-4, 9).select((F.col("id") / 2).alias("t")).withColumn("kernel", F.explode(F.sequence(F.lit(1), F.lit(4))))
     u = F.col("t") + 2 - F.col("kernel")
     return b.withColumn("b", F.exp(-u * u / 2))
 
@@ -227,14 +227,14 @@ def betas(spark, d):
 
 @query("r21_hrf_from_beta", BASIS + ", h as (select subject, t, sum(beta * b) as h from be join ba using (kernel) group by 1, 2) select subject, t, round(h - avg(h) filter (t < 0) over (partition by subject), 5) as h from h")
 def _(spark, d):
-    return R.hrf_from_beta(betas(spark, d), basis(spark, d), ["subject"]).select("subject", "t", *r("h"))
+    return R.hrf_from_beta(betas(spark, d), basis(spark), ["subject"]).select("subject", "t", *r("h"))
 
 
 @query("r22_hrf_variance", BASIS + ", co as (select a.subject, a.kernel as k1, b.kernel as k2, a.beta * b.beta as c from be a join be b using (subject)) select subject, x.t, round(sum(x.b * c * y.b), 4) as var from co join ba x on x.kernel = k1 join ba y on y.kernel = k2 and y.t = x.t group by 1, 2")
 def _(spark, d):
     b = betas(spark, d)
     cov = b.withColumnRenamed("kernel", "k1").join(b.select("subject", F.col("kernel").alias("k2"), F.col("beta").alias("b2")), "subject").select("subject", "k1", "k2", (F.col("beta") * F.col("b2")).alias("c"))
-    return R.hrf_variance(cov, basis(spark, d), ["subject"]).select("subject", "t", *r("var", digits=4))
+    return R.hrf_variance(cov, basis(spark), ["subject"]).select("subject", "t", *r("var", digits=4))
 
 
 FITTED = DAYS + ", f as (select subject, regr_slope(vtc, day) as s, regr_intercept(vtc, day) as c from da group by 1), y as (select subject, run, trial_idx, vtc as y, c + s * day as h from da join f using (subject)) "
@@ -287,10 +287,10 @@ def _(spark, d):
     return R.residualize(days(spark, d), "VTC", {"const": F.lit(1.0), "day": F.col("day")}, ["subject"]).select(*RUN, "trial_idx", *r("resid", digits=4))
 
 
-@query("r30_trial_hrf", BASIS + "select vt.subject, vt.run, vt.trial_idx, ba.t, round(sum(be.beta * b * (1 + vt.vtc)), 4) as h from vt join be using (subject) join ba using (kernel) where vt.subject <= 10 group by 1, 2, 3, 4")
+@query("r30_trial_hrf", BASIS + "select vt.subject, vt.run, vt.trial_idx, ba.t, round(sum(be.beta * b * (1 + vt.vtc)), 4) as h from vt join be using (subject) join ba using (kernel) group by 1, 2, 3, 4")
 def _(spark, d):
-    t = days(spark, d).filter("subject <= 10").select("subject", "run", "trial_idx", "VTC")
-    x = t.join(betas(spark, d), "subject").join(basis(spark, d), "kernel")
+    t = days(spark, d).select("subject", "run", "trial_idx", "VTC")
+    x = t.join(betas(spark, d), "subject").join(basis(spark), "kernel")
     return x.groupBy(*RUN, "trial_idx", "t").agg(F.round(F.sum(F.col("beta") * F.col("b") * (1 + F.col("VTC"))), 4).alias("h"))
 
 
@@ -314,10 +314,10 @@ def _(spark, d):
     return S.find_peaks(series(spark, d), 3).select("subject", F.explode("peaks").alias("i"))
 
 
-@query("g8_epoch_spectrum", ", dft as (select trial_idx, channel, f, sum(x * cos(2 * pi() * f * i / 64)) as re, sum(x * sin(2 * pi() * f * i / 64)) as im from (select trial_idx, channel, unnest(range(64)) as i, unnest(v) as x from ep), range(0, 5) g(f) group by 1, 2, 3) select trial_idx, channel, f::int as f, round(log10(re * re + im * im + 1e-30), 4) as power from dft", V_EPOCHS)
+@query("g8_epoch_spectrum", ", dft as (select trial_idx, channel, f, sum(x * cos(2 * pi() * f * i / 64)) as re, sum(x * sin(2 * pi() * f * i / 64)) as im from (select trial_idx, channel, unnest(range(64)) as i, unnest(v) as x from ep), range(0, 33) g(f) group by 1, 2, 3) select trial_idx, channel, f::int as f, round(log10(re * re + im * im + 1e-30), 4) as power from dft", V_EPOCHS)
 def _(spark, d):
     x = S.epoch_spectrum(v_epochs(spark, d)).select("trial_idx", "channel", F.posexplode("v").alias("f", "p"))
-    return x.filter("f < 5").select("trial_idx", "channel", "f", F.round("p", 4).alias("power"))
+    return x.select("trial_idx", "channel", "f", F.round("p", 4).alias("power"))
 
 
 @query("g9_hann_psd")
