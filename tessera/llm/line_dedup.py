@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import let
 from tessera.llm.exact_dedup import maybe_in, survivor_filter
 from tessera.plans.session import materialize
 
@@ -113,7 +114,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             x = zero
             for k in range(width):
                 x = x.bitwiseOR(F.when(F.get(rows, j - edits + k).eqNullSafe(ch), F.lit(1 << k).cast("long")).otherwise(zero))
-            return _let(x, lambda x: _let(((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask), lambda d0: finish(s, d0)))
+            return let(x, lambda x: let(((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask), lambda d0: finish(s, d0)))
 
         def finish(s: Column, d0: Column) -> Column:
             vp, vn, j = s["vp"], s["vn"], s["j"]
@@ -133,12 +134,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
         return F.aggregate(F.split(b, ""), start(ab), step, lambda s: s["d"] <= edits)
 
     short = F.when((m == 0) | (n == 0), F.greatest(m, n) <= edits)
-    return F.when(F.abs(m - n) > edits, False).otherwise(F.coalesce(short, _let(bound, fold)))
-
-
-def _let(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.when(F.abs(m - n) > edits, False).otherwise(F.coalesce(short, let(bound, fold)))
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, exact_chars: int | None = None) -> DataFrame:
@@ -226,7 +222,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.col("row").getField(text_col)
     # Set difference of line numbers, linear however many lines go; the split text is bound once.
     both = F.struct(F.split(own, "\n", -1).alias("lines"), F.col("gone").alias("gone"))
-    kept = _let(both, lambda z: F.transform(F.array_except(F.sequence(F.lit(0), F.size(z["lines"]) - 1), z["gone"]), lambda i: F.get(z["lines"], i)))
+    kept = let(both, lambda z: F.transform(F.array_except(F.sequence(F.lit(0), F.size(z["lines"]) - 1), z["gone"]), lambda i: F.get(z["lines"], i)))
     text = F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(own)
     removed = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
     return out.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], removed.alias("removed"))

@@ -114,8 +114,32 @@ def test_randomness_battery(spark):
     alphabet = secrets.ENCODINGS[4][1]
     rows = [("".join(rng.choice(list(alphabet), 64)), True) for _ in range(50)] + [(alphabet[:32] * 2, False), ("ab1" * 22, False), ("a" * 40 + "1" * 24, False)]
     x = spark.createDataFrame(rows, "token string, random boolean")
-    p = x.select("random", secrets.randomness(F.col("token"), secrets.encoding_of(F.col("token"))).alias("p")).collect()
+    p = x.select("token", "random", secrets.randomness(F.col("token"), secrets.encoding_of(F.col("token"))).alias("p")).select("token", "random", "p.*").collect()
     assert sum(r["p"] < 0.01 for r in p if r["random"]) <= 4 and all(r["p"] < 1e-3 for r in p if not r["random"])
+    for r in p:
+        want = plain_battery(r["token"])
+        assert (r["p"], r["p_text"]) == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def plain_battery(token):
+    from math import erfc, sqrt
+
+    tail = lambda z: 0.5 * erfc(z / sqrt(2))
+    encoding = next(e for e in secrets.ENCODINGS if set(token) <= set(e[1]))
+    n, k = len(token), len(encoding[1])
+    v = np.array([encoding[1].index(c) for c in token], float)
+    squares = sum(token.count(c) ** 2 for c in set(token))
+    chi2, df = squares * k / n - n, k - 1
+    p = [tail(((max(chi2 / df, 0)) ** (1 / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df)))]
+    high = v >= k / 2
+    n1 = high.sum()
+    runs, mean = 1 + (high[1:] != high[:-1]).sum(), 2 * n1 * (n - n1) / n + 1
+    p.append(2 ** (1 - n) if n1 in (0, n) else 2 * tail(abs(runs - mean) / sqrt((mean - 1) * (mean - 2) / (n - 1))))
+    c = v - v.mean()
+    p.append(2 * tail(abs((c[1:] * c[:-1]).sum() / (c * c).sum() + 1 / n) * sqrt(n)))
+    q, r = encoding[2], encoding[3] - encoding[2] ** 2
+    sd = sqrt(4 * n * (n - 1) * (n - 2) * r + 2 * n * (n - 1) * (q - q * q))
+    return min(1, 3 * min(p)), tail((n * (n - 1) * q - (squares - n)) / sd)
 
 
 # 4 line dedup

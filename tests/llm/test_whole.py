@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import decontamination, langid, line_dedup, toxicity
+from tessera.llm import decontamination, langid, line_dedup, secrets, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,6 +46,72 @@ def test_language_of_a_run_without_blanks(spark):
     assert (got["spans"][0]["start"], got["spans"][-1]["end"]) == (0, len(text))
 
 
+# 3 secrets
+
+
+def tokens_and_lookalikes(rng, n, length):
+    """n random tokens of five encodings and n look-alikes of that length: identifiers, paths, UUIDs, dated file names, repeated parts."""
+    alphabets = [secrets.ENCODINGS[1][1], secrets.ENCODINGS[2][1], secrets.ENCODINGS[3][1], secrets.ENCODINGS[4][1], "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"]
+    words = "get user name from request context handler value config default stream parser index table column local share library python module service account update delete session result buffer message system process network".split()
+    real, fake = [], []
+    for i in range(n):
+        real.append("".join(rng.choice(list(alphabets[i % 5]), length)))
+        w = [str(x) for x in rng.choice(words, length)]
+        kind = i % 5
+        hexa = "".join(rng.choice(list("0123456789abcdef"), 4 * length))
+        text = (
+            "".join(x.capitalize() for x in w) if kind == 0 else "/".join(w) if kind == 1
+            else "-".join(hexa[a : a + 8] + "-" + hexa[a + 8 : a + 12] for a in range(0, length, 12)) if kind == 2
+            else "_".join(w) if kind == 3 else "20240" + "1230" * length
+        )
+        fake.append(text[: length - 1] + "7" if kind < 4 else "A" + text[: length - 1])
+    return real, fake
+
+
+def test_reports_of_random_tokens(spark):
+    """False reports stay rare at every length, and long tokens are found (figures by length are in the README)."""
+    rng = np.random.default_rng(11)
+    rows, truth = [], {}
+    for length in (20, 24, 32, 48, 64, 128):
+        for real, group in zip((True, False), tokens_and_lookalikes(rng, 200, length), strict=True):
+            for t in group:
+                truth[len(rows)] = (length, real)
+                rows.append((len(rows), f"see {t} there"))
+    got = {r["doc_id"] for r in secrets.scan_secrets(table(spark, rows)).filter("exists(spans, s -> s.kind = 3)").collect()}
+    found = {n: (sum(truth[i] == (n, True) for i in got), sum(truth[i] == (n, False) for i in got)) for n in (20, 24, 32, 48, 64, 128)}
+    print(found)
+    assert all(f <= 0.1 * max(r, 1) for r, f in found.values()), found
+    assert found[32][0] > 120 and all(found[n][0] > 180 for n in (48, 64, 128)), found
+
+
+def test_report_rule_against_sorted_values(spark):
+    rng = np.random.default_rng(3)
+    p = np.concatenate((10 ** -rng.uniform(0, 8, 40), rng.uniform(0, 1, 200)))
+    length = rng.choice([20, 40, 41, 100], len(p))
+    rows = [([(0, 3, int(n), float(x)) for n, x in zip(length[i::9], p[i::9], strict=True)],) for i in range(9)]
+    bins = secrets.report_bins(spark.createDataFrame(rows, "candidates array<struct<start:long,kind:int,end:long,p:double>>"), 0.05)
+    for band in (4, 5, 6):
+        own = np.sort(p[np.floor(np.log2(length)).astype(int) == band])
+        up = 10 ** (-np.floor(-np.log10(own) * 50) / 50)  # the bin's largest value stands for all of it
+        ok = np.flatnonzero(up <= 0.05 * (np.searchsorted(up, up, side="right")) / len(own))
+        want = own[: ok.max() + 1].tolist() if len(ok) else []
+        assert [x for x in own if np.floor(-np.log10(x) * 50) >= bins.get(band, 10**6)] == want
+
+
+def test_a_long_token_and_many_matches(spark):
+    """Linear in the text: a token of 100,000 characters, and 20,000 matches in one text."""
+    import time
+
+    rng = np.random.default_rng(0)
+    token = "".join(rng.choice(list(secrets.ENCODINGS[4][1]), 100_000))
+    many = "token=abcdef1 " * 20_000
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(table(spark, [(1, f"see {token}. "), (2, many)])).collect()}
+    assert [tuple(s) for s in got[1]] == [(4, 3, 100_004)]
+    assert len(got[2]) == 20_000 and tuple(got[2][-1]) == (14 * 19_999, 0, 14 * 19_999 + 13)
+    assert time.perf_counter() - began < 60
+
+
 # 4 line dedup
 
 
