@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ SWITCH_PENALTY = 8.0
 MIN_SCRIPT_SHARE = 0.001
 UND = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_PLAIN, _ALNUM = re.compile(r"[A-Za-z]+"), re.compile(r"[^\W\d_]+")
+#: A letter, then letters and the marks on them; needed where a text has marks, or numerals such as ½ that are no digits.
+_LETTERS, _RARE = regex.compile(r"\p{L}[\p{L}\p{M}]*"), regex.compile(r"[\p{M}\p{Nl}\p{No}]")
 #: First and last code point of the main letter ranges of scripts.
 SCRIPT_RANGES = [
     (0x0041, 0x024F, "Latin"),
@@ -46,6 +49,11 @@ SCRIPT_RANGES = [
 SCRIPTS = sorted({s for _, _, s in SCRIPT_RANGES}) + ["Other"]
 
 
+def _word_pattern(text: str):
+    """The fastest pattern that finds the words of this text: runs of letters (category L) with their marks."""
+    return _PLAIN if text.isascii() else _LETTERS if _RARE.search(text) else _ALNUM
+
+
 def script_of(word: str) -> int:
     """Index in SCRIPTS of the word's first letter."""
     point = ord(word[0])
@@ -71,11 +79,12 @@ def _unit_spans(run: str) -> list[tuple[int, int, int]]:
 
 def units(text: str) -> tuple[list[str], list[tuple[int, int]] | None]:
     """The words of a text, long runs in units; and all their spans if there is such a run."""
-    words = _WORD.findall(text)
+    pattern = _word_pattern(text)
+    words = pattern.findall(text)
     if not words or max(map(len, words)) <= MAX_UNIT:
         return words, None
     out, spans = [], []
-    for m in _WORD.finditer(text):
+    for m in pattern.finditer(text):
         run, at = m[0], m.start()
         cuts = [(0, len(run), len(run))] if len(run) <= MAX_UNIT else _unit_spans(run)
         out += [run[a:c] for a, _, c in cuts]
@@ -266,8 +275,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     path (ties: first in code-point order), `score` its share of the letters, `spans` the stretches
     of one language as [start, end) in code points.
 
-    Cases: a null or empty text, or one without letters, is `und` with score 0 and no spans; so is
-    every text if nothing was learned; repeated rows repeat; an empty table gives an empty result;
+    Cases: a null or empty text, or one without letters (Unicode category L; numerals such as ½, ② or Ⅻ
+    are none), is `und` with score 0 and no spans; so is every text if nothing was learned; repeated rows repeat; an empty table gives an empty result;
     other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -323,7 +332,8 @@ def _identify_batch(m: Model, texts: pa.Array, penalty: float, with_spans: bool)
             continue
         langs[i], values[i] = m.langs[top], 1.0
         if with_spans:
-            spans[i] = [{"start": _WORD.search(text).start(), "end": _last_letter(text), "lang": m.langs[top]}]
+            first, last = _ends(text)
+            spans[i] = [{"start": first, "end": last, "lang": m.langs[top]}]
     decode()
     return langs, values, spans
 
@@ -342,17 +352,20 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float, text_col: s
     return docs.mapInArrow(scan, docs.schema)
 
 
-def _last_letter(text: str) -> int:
-    """End of the last word."""
-    at = len(text)
-    while not _WORD.match(text, at - 1):
+def _ends(text: str) -> tuple[int, int]:
+    """Start of the first word and end of the last; marks after a letter belong to its word."""
+    pattern = _word_pattern(text)
+    start, at = pattern.search(text).start(), len(text)
+    while not pattern.match(text, at - 1):
         at -= 1
-    return at
+    if pattern is _LETTERS:  # the last letter's word runs on over its marks
+        at = pattern.match(text, at - 1).end()
+    return start, at
 
 
 def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
     edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-    at = units(text)[1] or [m.span() for m in _WORD.finditer(text)]
+    at = units(text)[1] or [m.span() for m in _word_pattern(text).finditer(text)]
     return [{"start": at[a][0], "end": at[b - 1][1], "lang": langs[path[a]]} for a, b in zip(edges, edges[1:], strict=False)]
 
 

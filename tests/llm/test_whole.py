@@ -46,6 +46,33 @@ def test_language_of_a_run_without_blanks(spark):
     assert (got["spans"][0]["start"], got["spans"][-1]["end"]) == (0, len(text))
 
 
+def test_words_are_letters_with_their_marks():
+    import unicodedata
+
+    cases = ["½ ² ① Ⅻ 12", "हिन्दी में लिखा 2½", "e\u0301te\u0301 x²y", "plain words, 3 of them_now", "été à la", "ไทยไม่มีช่องว่าง ①", "\u0301 a"]
+    for text in cases:
+        want, open_word = [], False
+        for c in text:
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or kind == "M" and open_word:
+                want = [*want[:-1], want[-1] + c] if open_word else [*want, c]
+                open_word = True
+            else:
+                open_word = False
+        assert langid.units(text)[0] == want, text
+        if want:
+            first, last = langid._ends(text)
+            assert text[first:].startswith(want[0]) and text[:last].endswith(want[-1])
+    assert langid.units(cases[0])[0] == []
+
+
+def test_numerals_are_no_letters(spark):
+    model = langid.train(spark.createDataFrame([(i, w, k) for i, (w, k) in enumerate([("alpha beta", "x"), ("हिन्दी में", "h")] * 9)], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in langid.identify(table(spark, [(1, "½ ² ①"), (2, "Ⅻ"), (3, "हिन्दी में"), (4, "alpha ½")]), model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und", "und", "h", "x"] and got[1]["score"] == 0
+    assert [tuple(s) for s in got[3]["spans"]] == [(0, 10, "h")]
+
+
 # 3 secrets
 
 
