@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontamination, langid, line_dedup, secrets, toxicity
+from tessera.llm import decontamination, html, langid, line_dedup, secrets, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -196,6 +200,89 @@ def test_blocks_of_a_benchmark_read_the_same_text(spark):
         assert (3, f"{passage('own', 60)} d0 d1 d2 d3 d4  d5 d6 d7 d8 d9") in texts
 
 
+# 10 HTML
+
+
+def plain_templates(pages):
+    """digest -> level per host, by dictionaries over all pages."""
+    articles = {}
+    for host, page in pages:
+        nodes = html.parse(page or "")
+        html.digest(nodes)
+        articles.setdefault(host, {})[nodes[html._article(nodes)].digest] = {n.digest for n in nodes if html._may_go(n)}
+    out = {}
+    for host, own in articles.items():
+        counts = Counter(d for digests in own.values() for d in digests)
+        levels = {}
+        for d, n in counts.items():
+            for level, (least, share) in enumerate((html.CHROME, html.PART, html.PROSE_PART)):
+                if n >= least and n >= share * len(own) and len(own) >= html.CHROME[0]:
+                    levels[d] = level
+        out[host] = levels
+    return out
+
+
+def generated_pages(rng):
+    """Sites with menus, boxes and lines of their own, marked and unmarked articles, passages that some articles share."""
+    rows = []
+    for host, n in (("big.org", 60), ("small.org", 3), ("plain.org", 25), (None, 6)):
+        for i in range(n):
+            own = "".join(f"<p>{passage(f'{host}{i}x{k}y', 6)}</p>" for k in range(int(rng.integers(1, 4))))
+            shared = f"<p>{passage('shared', 55)}</p>" if i % 4 == 0 else ""
+            line = "<p>Sign our letter of the week today</p>" if i % 10 else ""  # a notice set as prose on nine of ten pages
+            box = '<div class="x9">Follow this site every day</div>' if i % 3 else ""
+            kind = i % (7 if host == "big.org" else 3)
+            menu = f"<div class='q{kind}'><ul><li>One {kind}</li><li>Two</li></ul></div>"
+            article = f"{own}{shared}{box}{line}"
+            body = f"{menu}<article>{article}</article>" if host != "plain.org" else f"{menu}<div class='z'>{article}</div>"
+            rows.append((len(rows), None if host is None else f"http://{host}/{i}", f"<html><body>{body}<div>Ltd {i % 5}</div></body></html>"))
+    return rows + [(900, "http://big.org/copy", rows[1][2])] * 30 + [(None, "http://big.org/null", rows[2][2]), (901, None, None)]
+
+
+@pytest.mark.parametrize("max_shared", [1_000_000, 0])
+def test_templates_against_dictionaries(spark, max_shared):
+    rows = generated_pages(np.random.default_rng(6))
+    host = lambda url: url.split("/")[2] if url else ""
+    levels = plain_templates([(host(u), h) for _, u, h in rows])
+    assert {0, 1, 2} == set(levels["big.org"].values()) and not levels["small.org"]
+    want = sorted(((i, u, *html.page_text(h, levels[host(u)])) for i, u, h in rows), key=str)
+    x = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, host int, key string").repartition(5)
+    got = [tuple(r) for r in html.extract(x, max_shared=max_shared).collect()]
+    assert sorted(got, key=str) == want
+    text = {i: t for i, _, t, _ in want if i is not None}
+    assert "shared0" in text[0] and "letter of the week" not in text[1] and "Follow this site" not in text[1]  # by counts alone
+    assert "Ltd" not in text[70] and "One" not in text[70] and "plain.org7x0y0" in text[70]
+    assert sum(n for *_, n in want) > 0
+
+
+def test_templates_of_the_given_pages(spark):
+    """At sf0.1 the large hosts repeat menus, adverts and footers often enough."""
+    got = html.extract(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).agg(F.sum((F.col("n_template") > 0).cast("int")), F.sum("n_template"), F.count("*")).first()
+    print(got)
+    assert got[0] > 100 and got[1] > 10_000 and got[2] == 2500
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div>" * 100_000 + "deep", "deep"), ("<b>" * 100_000 + "x" + "</b>" * 100_000, "x"), ("a<b " * 300_000, "a"), ("<a title=\"" * 100_000 + ">q", ""),
+    ("<b><div>" + "<i>" * 50_000 + "</b>" * 50_000 + "z", "z"), ("<script>" + "</script" * 100_000, ""), ("</div>" * 200_000 + "k", "k"), ("<!--" * 200_000, ""),
+])
+def test_pages_of_any_depth_are_linear(page, text):
+    import time
+
+    began = time.perf_counter()
+    nodes = html.parse(page)
+    html.digest(nodes)
+    html.delete_templates(nodes, {1: 2})
+    got = html.main_text(html.parse(page))
+    assert (got == text or not text and "<" not in got[:1]) and time.perf_counter() - began < 15
+
+
+def test_deep_pages_in_a_job(spark):
+    rows = [(i, "http://h.org/", "<b>" * 20_000 + f"text {i}") for i in range(6)] + [(9, "http://h.org/", "<a " * 350_000)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" for i in range(6)} | {9: ""}
+
+
 # pipeline
 
 
