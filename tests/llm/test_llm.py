@@ -84,6 +84,40 @@ def test_license_variants(spark):
     assert licenses.license_scan(x.limit(0)).count() == 0
 
 
+def changed(text, rng):
+    """Another case, indent, punctuation and spelling; the words and lines stay."""
+    word = lambda w: w.upper() if rng.random() < 0.3 else w + ("," if rng.random() < 0.1 else "")
+    return "\n".join("   " + "  ".join(word(w) for w in line.replace("license", "licence").replace('"', "''").split()) for line in text.split("\n"))
+
+
+def test_license_long_texts_and_blocks(spark):
+    from pathlib import Path
+
+    rng = np.random.default_rng(1)
+    folder, texts, want = Path("/usr/share/common-licenses"), [], set()
+    for name, lic in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-3", "LGPL-3.0")):
+        if (folder / name).exists():
+            text = (folder / name).read_text()
+            want.add((len(texts), "document", None, lic))
+            # Owners stand in lines of their own, which are left out.
+            lines = text.split("\n")
+            own = [x for x in lines if "opyright (C)" in x and any(c.isdigit() for c in x)]
+            texts.append("Copyright (C) 1999-2024 Somebody Else\n" + changed("\n".join(x for x in lines if x not in own), rng))
+            texts.append(text + " and more")
+    for lic in ("BSD-3-Clause", "BSD-2-Clause"):
+        text = max((t for k, t in licenses.LICENSE_TEXTS if k == lic), key=len)
+        want.add((len(texts), "document", None, lic))
+        texts.append(text.replace("<year>, <owner>", "2001, 2003 Jane Roe Ltd.").upper().replace("\n\n", "\n\n\n"))
+    notice = next(t for k, t in licenses.LICENSE_TEXTS if k == "MPL-2.0" and len(t) > 100)
+    words = notice.split()
+    comment = "\n".join("# " + " ".join(words[i : i + 8]) for i in range(0, len(words), 8))
+    want.add((len(texts), "block", 1, "MPL-2.0"))
+    texts.append(f"#!/bin/sh\nset -e\n#\n{comment}\n#\n\necho ok\n")
+    got = {(r["doc_id"], r["unit"], r["line"], r["license"]) for r in licenses.license_scan(docs(spark, texts)).collect()}
+    assert {g for g in got if g[1] == "document"} | (want & got) == want
+    assert {g[3] for g in got - want} <= {"Proprietary", "MPL-2.0"}  # one line, and the notice that the MPL shows in an exhibit
+
+
 # 3 secrets
 
 
