@@ -80,6 +80,7 @@ LICENSE_DIGESTS = [
 #: Spellings that licence guidelines call equivalent; the right one is used.
 EQUIVALENT = [
     ("licence", "license"),
+    ("licences", "licenses"),
     ("licenced", "licensed"),
     ("sub license", "sublicense"),
     ("non commercial", "noncommercial"),

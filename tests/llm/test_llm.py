@@ -87,7 +87,7 @@ def test_license_variants(spark):
 def changed(text, rng):
     """Another case, indent, punctuation and spelling; the words and lines stay."""
     word = lambda w: w.upper() if rng.random() < 0.3 else w + ("," if rng.random() < 0.1 else "")
-    return "\n".join("   " + "  ".join(word(w) for w in line.replace("license", "licence").replace('"', "''").split()) for line in text.split("\n"))
+    return "\n".join("   " + "  ".join(word(w) for w in re.sub(r"\blicense(s?)\b", r"licence\1", line).replace('"', "''").split()) for line in text.split("\n"))
 
 
 def test_license_long_texts_and_blocks(spark):
