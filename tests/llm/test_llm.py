@@ -101,7 +101,7 @@ def test_license_long_texts_and_blocks(spark):
             want.add((len(texts), "document", None, lic))
             # Owners stand in lines of their own, which are left out.
             lines = text.split("\n")
-            own = [x for x in lines if "opyright (C)" in x and any(c.isdigit() for c in x)]
+            own = [x for x in lines if x.lstrip().startswith("Copyright (C)") and any(c.isdigit() for c in x)]
             texts.append("Copyright (C) 1999-2024 Somebody Else\n" + changed("\n".join(x for x in lines if x not in own), rng))
             texts.append(text + " and more")
     for lic in ("BSD-3-Clause", "BSD-2-Clause"):
