@@ -27,11 +27,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each near-duplicate component, the one with the smallest id (null ids last)."""
+    """Keeps one row of each near-duplicate component (shingles of 5 words, similarity 0.8), the one with the smallest id.
+
+    Null ids come last, and rows that share an id or have none are told apart by a row number.
+    """
     # Written, so that the number of a row is the same in both reads.
     rows = materialize(docs.select(*COLUMNS).withColumn("row_no", F.monotonically_increasing_id()), "rows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
-    found = simhash.near_duplicates(rows.select(place.alias("place"), "text"), id_col="place")
+    found = simhash.similar_documents(rows.select(place.alias("place"), "text"), id_col="place")
     keep = found.filter("place = component_id").select(F.col("place.row_no").alias("row_no"))
     return rows.join(keep, "row_no", "left_semi").select(*COLUMNS)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontamination, html, langid, line_dedup, secrets, toxicity
+from tessera.llm import decontamination, html, langid, line_dedup, secrets, simhash, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -155,6 +155,62 @@ def test_equal_short_lines(spark):
     assert {r["doc_id"]: r["text"] for r in staged.collect()}[2] == "\nown"
 
 
+# 5 SimHash
+
+
+def near_copies(rng, n_base, copies):
+    """Texts of 40 to 300 words, and copies of them with a few words changed, taken out or put in."""
+    texts = []
+    for b in range(n_base):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(40, 300)))]
+        texts.append(words)
+        for _ in range(copies):
+            w = list(words)
+            for _ in range(int(rng.integers(1, 2 + len(w) // 45))):
+                k, op = int(rng.integers(len(w))), rng.integers(3)
+                w[k : k + 1] = [] if op == 0 else [w[k], f"n{rng.integers(3000)}"] if op == 1 else [f"n{rng.integers(3000)}"]
+            texts.append(w)
+    return [" ".join(w) for w in texts]
+
+
+def components_of(n, links):
+    part = list(range(n))
+
+    def find(i):
+        while part[i] != i:
+            part[i] = part[part[i]]
+            i = part[i]
+        return i
+
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        part[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_similar_documents_against_all_pairs(spark):
+    """Components are those of all pairs that share a key and differ in few enough bits; near copies are found."""
+    rng = np.random.default_rng(8)
+    texts = near_copies(rng, 60, 3) + near_copies(rng, 1, 150) + [None, "", " ", "one", "One", passage("alone", 30)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, enumerate(texts))).collect()}
+    fps = [simhash.wide_fingerprint(t, 5) for t in texts]
+    some = [i for i, f in enumerate(fps) if f]
+    rows, keys, screens = simhash._wide_keys(np.frombuffer(b"".join(fps[i] for i in some), dtype="<u8").reshape(-1, 4))
+    by_key, links = {}, [(i, j) for i in range(len(fps)) for j in range(i) if fps[i] == fps[j]]
+    for r, k, s in zip(rows.tolist(), keys.tolist(), screens.tolist(), strict=True):
+        by_key.setdefault(k, []).append((some[r], s))
+    distance = lambda i, j: (int.from_bytes(fps[i], "little") ^ int.from_bytes(fps[j], "little")).bit_count()
+    for group in by_key.values():
+        for a, (i, s) in enumerate(group):
+            links += [(i, j) for j, z in group[:a] if (s ^ z).bit_count() <= simhash.SCREEN_BITS and distance(i, j) <= simhash.bits_at(0.8)]
+    assert [got[i] for i in range(len(texts))] == components_of(len(texts), links)
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t and t.strip() else set() for t in texts]
+    near = [(i, j) for i in some for j in some if j < i and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    found = np.mean([got[i] == got[j] for i, j in near])
+    print(len(near), found)
+    assert found >= 0.9 and len({got[i * 4] for i in range(60)}) == 60
+
+
 # 8 toxicity
 
 
