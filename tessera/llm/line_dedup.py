@@ -11,7 +11,7 @@ from tessera.plans.session import materialize
 
 #: Edits that a line may differ by from an earlier one and still be its duplicate.
 MAX_EDITS = 1
-#: Shorter lines (after normalising) are left alone: they are list marks, braces, headings.
+#: Shorter lines (after normalising) are compared for equality only: one edit makes another word of them.
 MIN_CHARS = 20
 
 #: Letters whose counts screen pairs, five to a long; each count takes 12 bits.
@@ -176,26 +176,31 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = lines.groupBy("digest").agg(
         F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*keys, *probes, *counts)]
     )
-    groups = materialize(groups.select("digest", "first.*", "n", *keys, *probes, *counts), "groups")
-    index = groups.select(F.explode(F.array(*keys)).alias("key"), "id", "line_no", *counts).filter("key is not null")
-    probe = groups.select(F.explode(F.array(*keys, *probes)).alias("key"), "id", "line_no", *counts).filter("key is not null")
+    # Written, so that the number of a group is the same in every read.
+    groups = materialize(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
+    index = groups.select(F.explode(F.array(*keys)).alias("key"), "group", *counts).filter("key is not null")
+    probe = groups.select(F.explode(F.array(*keys, *probes)).alias("key"), "group", *counts).filter("key is not null")
     a, b = index.alias("a"), probe.alias("b")
-    other = (F.col("a.id") != F.col("b.id")) | (F.col("a.line_no") != F.col("b.line_no"))
+    other = F.col("a.group") != F.col("b.group")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & other & counts_allow(*([F.col(f"{x}.{c}") for c in counts] for x in "ab"), edits))
-    ends = [F.struct(F.col(f"{x}.id").alias("id"), F.col(f"{x}.line_no").alias("line_no")) for x in "ab"]
-    pairs = materialize(pairs.select(F.least(*ends).alias("early"), F.greatest(*ends).alias("late")).distinct(), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("early", "late")).alias("e")).select("e.*").distinct()
-    near = maybe_in(_lines(docs, id_col, text_col), survivor_filter(wanted, "id", "line_no"), "wanted", "id", "line_no")
-    near = near.filter("wanted").drop("wanted").join(wanted, ["id", "line_no"], "left_semi")
-    near = near.groupBy(F.struct("id", "line_no").alias("place")).agg(F.min("s").alias("s"))
-    texts = pairs.join(near.select(F.col("place").alias("early"), F.col("s").alias("s1")), "early")
-    texts = texts.join(near.select(F.col("place").alias("late"), F.col("s").alias("s2")), "late")
-    near_dup = texts.filter(within_edits(F.col("s1"), F.col("s2"), edits)).select("late.*").distinct()
+    pairs = pairs.select(F.least("a.group", "b.group").alias("one"), F.greatest("a.group", "b.group").alias("two")).distinct()
+    pairs = materialize(pairs, "pairs")
+
+    ends = pairs.select(F.explode(F.array("one", "two")).alias("group")).distinct()
+    ends = materialize(groups.select("group", "digest", "first").join(ends, "group", "left_semi"), "ends")
+    # Texts are fetched at the groups' first places and told by their digest, as rows that share an id may differ there.
+    place = ends.select("first.*").distinct()
+    near = maybe_in(_lines(docs, id_col, text_col), survivor_filter(place, "id", "line_no"), "wanted", "id", "line_no")
+    near = near.filter("wanted").drop("wanted").join(place, ["id", "line_no"], "left_semi").select(F.unhex(F.md5("s")).alias("digest"), "s")
+    texts = ends.join(near.groupBy("digest").agg(F.first("s").alias("s")), "digest")
+    side = lambda c: texts.select(F.col("group").alias(c), F.struct("first", "digest").alias(f"{c}_at"), F.col("s").alias(f"{c}_s"))
+    texts = pairs.join(side("one"), "one").join(side("two"), "two")
+    late = F.when(F.col("one_at") < F.col("two_at"), F.col("two_at.digest")).otherwise(F.col("one_at.digest"))
+    near_dup = texts.filter(within_edits(F.col("one_s"), F.col("two_s"), edits)).select(late.alias("digest")).distinct()
     near_dup = materialize(near_dup.withColumn("near", F.lit(True)), "near")
 
-    repeated = groups.select("digest", "id", "line_no", "n").join(near_dup, ["id", "line_no"], "left").filter("n > 1 or near")
-    repeated = materialize(repeated.select("digest", F.struct("id", "line_no").alias("first"), "near"), "repeated")
+    repeated = groups.select("digest", "first", "n").join(near_dup, "digest", "left").filter("n > 1 or near")
+    repeated = materialize(repeated.select("digest", "first", "near"), "repeated")
     found = maybe_in(lines.select("id", "line_no", "digest"), survivor_filter(repeated, "digest"), "wanted", "digest").filter("wanted")
     found = found.join(repeated, "digest").filter(F.col("near").isNotNull() | (F.col("first") != F.struct("id", "line_no")))
     return found.select(F.col("id").alias(id_col), "line_no").distinct()
@@ -204,7 +209,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The documents without their duplicate lines, with `removed`, the numbers of the lines taken out (from 0).
 
-    All columns of `docs` stay; the text is joined anew from the lines that stay.
+    All columns of `docs` stay but one of that name, which is replaced; the text is joined anew from the lines that stay.
     Cases: null texts stay null, empty texts empty; a text all of whose lines go is empty; rows that
     share an id are one document: their lines at the same number fare alike; rows with a null id can't
     be told apart and stay as they are; extra columns may have any name; an empty table gives an empty
@@ -225,13 +230,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = let(both, lambda z: F.transform(F.array_except(F.sequence(F.lit(0), F.size(z["lines"]) - 1), z["gone"]), lambda i: F.get(z["lines"], i)))
     text = F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(own)
     removed = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
-    return out.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], removed.alias("removed"))
+    return out.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != "removed"], removed.alias("removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents after line deduplication: what was removed, and the digest of what is left."""
+    """All documents after line deduplication: what was removed, and the digest of what is left.
+
+    Equal lines are duplicates at any length but 0, near lines from MIN_CHARS on.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, exact_chars=1)
     return out.select(
         "doc_id",
         F.size("removed").cast("long").alias("n_removed"),
@@ -246,10 +254,10 @@ OP4_SQL = r"""
 with l as (select doc_id, unnest(range(len(p)))::int as line_no, unnest(p) as raw from (select doc_id, string_split(text, chr(10)) as p from documents)),
 n as (select doc_id, line_no, lower(trim(case when contains(raw, '  ') or contains(raw, chr(9)) or contains(raw, chr(13))
         then regexp_replace(raw, '[\t\r ]+', ' ', 'g') else raw end, ' ')) as s from l),
-e as (select *, len(s) as n from n where len(s) >= 20),
+e as (select *, len(s) as n from n where len(s) >= 1),
 g as (select s, any_value(n) as n, min(struct_pack(d := doc_id, l := line_no)) as f from e group by s),
-ix as (select s, n, f, n as m, unnest(['a' || left(s, n // 2), 'b' || right(s, n - n // 2)]) as k from g),
-pb as (select s, n, f, m, unnest(['a' || left(s, m // 2), 'b' || right(s, m - m // 2)]) as k from (select *, unnest([n, n - 1]) as m from g)),
+ix as (select s, n, f, n as m, unnest(['a' || left(s, n // 2), 'b' || right(s, n - n // 2)]) as k from g where n >= 20),
+pb as (select s, n, f, m, unnest(['a' || left(s, m // 2), 'b' || right(s, m - m // 2)]) as k from (select *, unnest([n, n - 1]) as m from g where n >= 20)),
 near as (select distinct case when ix.f > pb.f then ix.s else pb.s end as s from ix join pb on ix.m = pb.m and ix.k = pb.k and ix.s <> pb.s
          where levenshtein(ix.s, pb.s) <= 1),
 gone as (select e.doc_id, list(e.line_no order by e.line_no) as r from e join g using (s) left join near on near.s = e.s

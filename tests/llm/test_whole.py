@@ -155,6 +155,19 @@ def test_equal_short_lines(spark):
     assert {r["doc_id"]: r["text"] for r in staged.collect()}[2] == "\nown"
 
 
+def test_different_texts_under_one_id(spark):
+    """Places are shared by rows of one id; near lines are verified by their own texts."""
+    a, b, c = "the quick brown fox jumps over it", "a quite different line of other words", "the quick brown fox jumps over its"
+    rows = [(1, b), (1, a), (2, c), (3, b), (None, a), (None, a)]
+    x = table(spark, rows).withColumn("removed", F.lit("own")).withColumn("gone", F.lit(1)).withColumn("row", F.lit(2)).withColumn("hit", F.lit(False))
+    for _ in range(2):
+        out = [(r["doc_id"], r["text"], list(r["removed"])) for r in line_dedup.dedup_lines(x).collect()]
+        assert sorted(out, key=str) == sorted([(1, b, []), (1, a, []), (2, "", [0]), (3, "", [0]), (None, a, []), (None, a, [])], key=str)
+        rows = rows[::-1]
+        x = x.repartition(4)
+    assert line_dedup.dedup_lines(x).columns == [*[k for k in x.columns if k != "removed"], "removed"]
+
+
 # 5 SimHash
 
 
