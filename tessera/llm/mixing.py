@@ -49,6 +49,32 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int)
     )
 
 
+#: Digits of a range that one window orders: at most 16^3 rows.
+LEVEL_DIGITS = 3
+
+
+def range_starts(sums: DataFrame, digits: int, level_digits: int = LEVEL_DIGITS) -> DataFrame:
+    """(tag, none, range, range_start) from (tag, none, range, range_size): the sizes before each range of its source.
+
+    Level by level: sizes are summed by prefixes of `level_digits` digits, and a prefix starts where its parent
+    does plus the sizes of the siblings before it. So no window holds more than 16^`level_digits` rows, however
+    many ranges a source has.
+    """
+    if digits > level_digits:
+        sums = materialize(sums, "range-sums")
+    starts, above = None, 0
+    for upto in [*range(level_digits, digits, level_digits), digits]:
+        level = sums.groupBy("tag", "none", F.substring("range", 1, upto).alias("range")).agg(F.sum("range_size").alias("range_size"))
+        level = level.withColumn("parent", F.substring("range", 1, above))
+        before = W.partitionBy("tag", "none", "parent").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+        level = level.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
+        if starts is not None:
+            up = starts.select("tag", "none", F.col("range").alias("parent"), F.col("range_start").alias("parent_start"))
+            level = level.join(up, ["tag", "none", "parent"]).withColumn("range_start", F.col("range_start") + F.col("parent_start"))
+        starts, above = level.select("tag", "none", "range", "range_start"), upto
+    return starts
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -65,8 +91,9 @@ def mix(
     whole epochs first, then the documents whose running size fits, the last one cut so that the
     source gives floor(target) words. Keys are uniform, so the leading key digits are the ranges of a
     range sort; sizes are pre-summed per (source, range), and a document's offset is the sum of the
-    ranges before it plus its place in its range. A hot source is spread over many ranges, and the
-    number of ranges follows the row count, so that a range holds about `rows_per_range` rows.
+    ranges before it, found level by level of the digits, plus its place in its range. A hot source is
+    spread over many ranges, and the number of ranges follows the row count, so that a range holds about
+    `rows_per_range` rows.
 
     Cases: null text has size 0; a null source is a source of its own, last in order; equal keys (the
     same id twice) go by id and size; a corpus without words takes nothing; an empty table gives an
@@ -85,20 +112,14 @@ def mix(
         digits += 1
     base = base.withColumn("range", F.substring("key", 1, digits))
 
-    sums = base.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    targets = source_targets(
-        sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs
-    )
-    ranges = ranges.withColumn("tag", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
-    targets = targets.withColumn("tag", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
-    ranges = ranges.join(targets.drop("source"), ["tag", "none"]).select(
-        "tag", "none", "range", "range_start", "source_size", "target"
-    )
+    base = base.withColumns({"tag": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
+    sums = base.groupBy("tag", "none", "range").agg(F.sum("size").alias("range_size"))
+    sizes = sums.groupBy("tag", "none").agg(F.sum("range_size").alias("source_size"))
+    targets = source_targets(sizes.select(F.when(~F.col("none"), F.col("tag")).alias("source"), "source_size"), weights, max_epochs)
+    targets = targets.withColumns({"tag": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).drop("source")
+    ranges = range_starts(sums, digits).join(targets, ["tag", "none"])
 
     own = W.partitionBy("tag", "none", "range").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    base = base.withColumn("tag", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     base = base.withColumn("in_range", F.coalesce(F.sum("size").over(own), F.lit(0)))
     placed = base.join(ranges, ["tag", "none", "range"])
     offset = F.col("range_start") + F.col("in_range")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontamination, html, langid, line_dedup, secrets, simhash, toxicity
+from tessera.llm import decontamination, html, langid, line_dedup, mixing, secrets, simhash, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -224,6 +224,24 @@ def test_similar_documents_against_all_pairs(spark):
     assert found >= 0.9 and len({got[i * 4] for i in range(60)}) == 60
 
 
+# 7 mixing
+
+
+@pytest.mark.parametrize("digits, step", [(1, 3), (3, 3), (4, 3), (4, 1), (5, 2)])
+def test_range_starts_level_by_level(spark, digits, step):
+    rng = np.random.default_rng(digits * 10 + step)
+    keys = sorted({(t, f"{x:0{digits}x}") for t in "ab" for x in rng.integers(0, 16**digits, 200)})
+    sizes = rng.integers(0, 50, len(keys)).tolist()
+    rows = [(t, False, k, n) for (t, k), n in zip(keys, sizes, strict=True)] + [("", True, "0" * digits, 5)]
+    want, run = {}, Counter()
+    for t, none, k, n in rows:
+        want[t, none, k] = run[t, none]
+        run[t, none] += n
+    x = spark.createDataFrame(rows, "tag string, none boolean, range string, range_size long").repartition(3)
+    got = {(r["tag"], r["none"], r["range"]): r["range_start"] for r in mixing.range_starts(x, digits, step).collect()}
+    assert got == want
+
+
 # 8 toxicity
 
 
