@@ -71,11 +71,17 @@ def pick_latest(files: DataFrame, priority: list[str], keys: list[str], name: Co
 
 
 def write_trials(df: DataFrame, path: str) -> None:
-    """Trials as TSV with header, a folder per subject and run, and the same as Parquet beside it."""
-    df.repartition("subject", "run").write.partitionBy("subject", "run").csv(f"{path}/tsv", sep="\t", header=True)
+    """Trials as TSV with header, a folder per subject and run that `read_trials` knows by its name, and as Parquet beside it."""
+    name = F.format_string("sub-%s_run-%s", F.col("subject").cast("string"), F.col("run").cast("string"))
+    write_tsv(df.withColumn("file", name).drop("subject", "run"), f"{path}/tsv")
     df.write.partitionBy("subject").parquet(f"{path}/parquet")
 
 
+def write_tsv(df: DataFrame, path: str) -> None:
+    """TSV files with header, a folder per value of the column `file`; null is written as n/a."""
+    df.repartition("file").write.partitionBy("file").csv(path, sep="\t", header=True, nullValue="n/a")
+
+
 def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Fits and features as Parquet by subject."""
     df.write.mode(mode).partitionBy("subject").parquet(path)
