@@ -5,6 +5,8 @@ All work on one series or a small stack of series; the operators run them inside
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from tessera.functions.stats import t_sf
@@ -61,17 +63,39 @@ def sections(z: np.ndarray, p: np.ndarray, k: float) -> np.ndarray:
     return sos
 
 
-def _section(x: np.ndarray, c: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """One section over the last axis, series in parallel, from a start state (transposed direct form)."""
+_BLOCK = 128
+
+
+@functools.lru_cache(64)
+def _blocks(c: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a section does with a block of samples and a state: output from both, next state from both."""
     b0, b1, b2, _, a1, a2 = c
-    y = np.empty_like(x)
-    s1, s2 = state
-    for t in range(x.shape[-1]):
-        v = x[..., t]
-        out = b0 * v + s1
-        s1, s2 = b1 * v - a1 * out + s2, b2 * v - a2 * out
-        y[..., t] = out
-    return y
+    step, enter = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(_BLOCK):
+        powers.append(powers[-1] @ step)
+    echo = np.array([b0, *(p[0] @ enter for p in powers[: _BLOCK - 1])])
+    lag = np.arange(_BLOCK)[:, None] - np.arange(_BLOCK)
+    return np.where(lag >= 0, echo[np.maximum(lag, 0)], 0.0), np.array([p[0] for p in powers[:_BLOCK]]), np.array([p @ enter for p in powers[_BLOCK - 1 :: -1]]).T, powers[_BLOCK]
+
+
+def _section(x: np.ndarray, c: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One section over the last axis, series in parallel, from a start state (transposed direct form).
+
+    Blocks of samples go through matrices at once; only the two state values run from block to block.
+    """
+    by_x, by_state, next_x, next_state = _blocks(tuple(map(float, c)))
+    n = x.shape[-1]
+    full = np.zeros((*x.shape[:-1], -(-n // _BLOCK) * _BLOCK))
+    full[..., :n] = x
+    full = full.reshape(*x.shape[:-1], -1, _BLOCK)
+    s = np.stack(state, axis=-1)
+    gained = full @ next_x.T
+    states = np.empty((*full.shape[:-1], 2))
+    for k in range(full.shape[-2]):
+        states[..., k, :] = s
+        s = s @ next_state.T + gained[..., k, :]
+    return (full @ by_x.T + states @ by_state.T).reshape(*x.shape[:-1], -1)[..., :n]
 
 
 def sosfiltfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -137,6 +161,7 @@ def hann_psd(x: np.ndarray, fs: float) -> np.ndarray:
     return np.abs(np.fft.rfft(x * w)) ** 2 / (fs * (w**2).sum())
 
 
+@functools.lru_cache(32)
 def dpss(n: int, nw: float, k: int) -> np.ndarray:
     """First k Slepian tapers, from the symmetric tridiagonal eigenproblem."""
     i = np.arange(n)
@@ -144,7 +169,9 @@ def dpss(n: int, nw: float, k: int) -> np.ndarray:
     e = i[1:] * (n - i[1:]) / 2
     _, v = np.linalg.eigh(np.diag(d) + np.diag(e, 1) + np.diag(e, -1))
     v = v[:, ::-1][:, :k].T
-    return v * np.where(v[:, [0]] + v[:, [1]] < 0, -1, 1)
+    v = v * np.where(v[:, [0]] + v[:, [1]] < 0, -1, 1)
+    v.setflags(write=False)  # shared by all callers
+    return v
 
 
 def detrend(x: np.ndarray, order: int = 1) -> np.ndarray:
@@ -204,10 +231,12 @@ def find_peaks(v: np.ndarray, distance: int, sign: int = 1) -> np.ndarray:
     """Local maxima (or minima), the highest kept first, at least `distance` samples apart."""
     x = v * sign
     at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
+    near = np.zeros(len(x), dtype=bool)
     keep: list[int] = []
-    for i in at[np.argsort(-x[at], kind="stable")]:
-        if all(abs(i - j) >= distance for j in keep):
-            keep.append(int(i))
+    for i in at[np.argsort(-x[at], kind="stable")].tolist():
+        if not near[i]:
+            keep.append(i)
+            near[max(0, i - distance + 1) : i + distance] = True
     return np.array(sorted(keep), dtype=int)
 
 
@@ -252,19 +281,24 @@ def irls(x: np.ndarray, y: np.ndarray, norm: str = "bisquare", steps: int = 50)
 
 def ar_fit(r: np.ndarray, pmax: int) -> np.ndarray:
     """AR coefficients by least squares with intercept, the order by BIC (0 .. pmax)."""
-    best, phi = np.inf, np.zeros(0)
     n = len(r) - pmax
     if n <= pmax + 2:
-        return phi
+        return np.zeros(0)
     y = r[pmax:]
-    for p in range(pmax + 1):
-        x = np.column_stack([np.ones(n)] + [r[pmax - k : len(r) - k] for k in range(1, p + 1)])
-        beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-        rss = float(((y - x @ beta) ** 2).sum())
-        bic = n * np.log(max(rss, 1e-300) / n) + (p + 1) * np.log(n)
-        if bic < best - 1e-9:
-            best, phi = bic, beta[1:]
-    return phi
+    x = np.column_stack([np.ones(n)] + [r[pmax - k : len(r) - k] for k in range(1, pmax + 1)])
+    # Nested orders share one moment matrix: by its Cholesky factor each lag takes its part off the residual sum.
+    gram = x.T @ x
+    if np.linalg.cond(gram) < 1e10:
+        parts = np.linalg.solve(np.linalg.cholesky(gram), x.T @ y) ** 2
+        rss = np.maximum(y @ y - np.cumsum(parts), 1e-300)
+    else:
+        rss = np.array([max(float(((y - x[:, : p + 1] @ np.linalg.lstsq(x[:, : p + 1], y, rcond=None)[0]) ** 2).sum()), 1e-300) for p in range(pmax + 1)])
+    best = 0
+    bic = n * np.log(rss / n) + np.arange(1, pmax + 2) * np.log(n)
+    for p in range(1, pmax + 1):
+        if bic[p] < bic[best] - 1e-9:
+            best = p
+    return np.linalg.lstsq(x[:, : best + 1], y, rcond=None)[0][1:]
 
 
 def whiten(v: np.ndarray, phi: np.ndarray) -> np.ndarray:

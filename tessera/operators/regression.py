@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -179,8 +180,11 @@ FIT = "beta array<double>, cov array<array<double>>, ar array<double>, n long, d
 def fit_series(df: DataFrame, keys: list[str], y: str, xs: list[str], order: str, method: str = "ols", pmax: int = 30, norm: str = "bisquare", ar: list[float] | None = None) -> DataFrame:
     """A fit per key (R17-R19, R26): 'ols', 'robust' or 'ar_irls'; rows with a missing y or x are left out.
 
-    One group is one series (a channel of a run); groups are spread by key.
+    Least squares come from sums of products that Spark makes, so a key may have any number of rows. The
+    iterative fits take one group at a time, which is one series (a channel of a run).
     """
+    if method == "ols":
+        return _fit_moments(df, keys, y, xs)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.sort_values(order).dropna(subset=[y, *xs])
@@ -197,6 +201,35 @@ def fit_series(df: DataFrame, keys: list[str], y: str, xs: list[str], order: str
     return df.select(*keys, order, y, *xs).groupBy(*keys).applyInPandas(one, f"{schema}, {FIT}")
 
 
+def _fit_moments(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
+    """Least-squares fits from packed sums of products, the first moments taken off where there is a constant's column."""
+    names, k = [y, *xs], len(xs)
+    x = df.select(*keys, *[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate(names)])
+    ok = reduce(lambda p, q: p & q, [F.col(f"__{i}").isNotNull() for i in range(k + 1)])
+    x = x.withColumns({f"__{i}": F.when(ok, F.col(f"__{i}")) for i in range(k + 1)})
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    g = x.groupBy(*keys).agg(F.count("__0").alias("n"), F.array(*[F.sum(F.col(f"__{i}") * F.col(f"__{j}")) for i, j in pairs]).alias("__m"))
+
+    @pandas_udf(f"{FIT}")
+    def solve(n: pd.Series, m: pd.Series) -> pd.DataFrame:
+        rows = []
+        for count, v in zip(n, m, strict=True):
+            if count <= k:
+                rows.append((None, None, None, count, None, None))
+                continue
+            full = np.zeros((k + 1, k + 1))
+            full[np.triu_indices(k + 1)] = np.asarray(v, dtype=float)
+            full = full + np.triu(full, 1).T
+            xx, xy, yy = full[1:, 1:], full[0, 1:], full[0, 0]
+            beta, _, rank, _ = np.linalg.lstsq(xx, xy, rcond=None)
+            df_resid = max(int(count) - int(rank), 1)
+            scale = max(float(yy - 2 * beta @ xy + beta @ xx @ beta), 0.0) / df_resid
+            rows.append((beta.tolist(), (np.linalg.pinv(xx) * scale).tolist(), [], int(count), float(df_resid), scale))
+        return pd.DataFrame(rows, columns=["beta", "cov", "ar", "n", "df_resid", "scale"])
+
+    return g.select(*keys, solve("n", "__m").alias("f")).select(*keys, "f.*")
+
+
 def contrast(fits: DataFrame, chosen: list[int]) -> DataFrame:
     """Joint F with p of chosen coefficients, and z of their sum."""
     at = np.array(chosen)

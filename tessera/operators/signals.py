@@ -17,12 +17,25 @@ from tessera.functions import kernels as K
 _DOUBLES = ArrayType(DoubleType())
 
 
-def per_series(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column | str], Column]:
-    """A column function that maps each packed series by `fn`; batches go to Python as Arrow. Null series stay null."""
+def per_series(fn: Callable[[np.ndarray], np.ndarray], stacked: bool = False) -> Callable[[Column | str], Column]:
+    """A column function that maps each packed series by `fn`; batches go to Python as Arrow. Null series stay null.
+
+    With `stacked`, `fn` takes the series of one length of a batch together, as rows of a matrix.
+    """
 
     @pandas_udf(_DOUBLES)
     def run(v: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else np.asarray(fn(np.asarray(x, dtype=float)), dtype=float) for x in v])
+        if not stacked:
+            return pd.Series([None if x is None else np.asarray(fn(np.asarray(x, dtype=float)), dtype=float) for x in v])
+        out: list = [None] * len(v)
+        by_length: dict[int, list[int]] = {}
+        for k, x in enumerate(v):
+            if x is not None:
+                by_length.setdefault(len(x), []).append(k)
+        for places in by_length.values():
+            for k, y in zip(places, fn(np.stack([np.asarray(v.iloc[k], dtype=float) for k in places])), strict=True):
+                out[k] = y
+        return pd.Series(out)
 
     return run
 
@@ -40,7 +53,7 @@ def filtfilt_fir(series: DataFrame, length: int = 20) -> DataFrame:
 
 def butter_filtfilt(series: DataFrame, fs: float, low: float | None = None, high: float | None = None) -> DataFrame:
     """Order-4 zero-phase Butterworth filter."""
-    return series.withColumn("v", per_series(lambda x: K.butter_filtfilt(x, fs, low, high))("v"))
+    return series.withColumn("v", per_series(lambda x: K.butter_filtfilt(x, fs, low, high), stacked=True)("v"))
 
 
 def find_peaks(series: DataFrame, distance: int, sign: int = 1) -> DataFrame:
@@ -71,18 +84,18 @@ def band_power(epochs: DataFrame, fs: float, bands: dict[str, tuple[float, float
 
 def band_logvar(epochs: DataFrame, fs: float, low: float, high: float) -> DataFrame:
     """Log variance of the band-passed epoch."""
-    return epochs.withColumn("logvar", per_series(lambda x: np.array([np.log(np.var(K.butter_filtfilt(x, fs, low, high)) + 1e-30)]))("v")[0])
+    return epochs.withColumn("logvar", per_series(lambda x: np.log(np.var(K.butter_filtfilt(x, fs, low, high), axis=-1, keepdims=True) + 1e-30), stacked=True)("v")[0])
 
 
 def multitaper_power(epochs: DataFrame, fs: float, win: int, step: int, nw: float = 2.0) -> DataFrame:
     """Per epoch and window (from 0) the multitaper power by frequency, in long form (…, window, v)."""
 
     def windows(x: np.ndarray) -> np.ndarray:
-        starts = range(0, len(x) - win + 1, step)
-        return K.multitaper(np.stack([x[s : s + win] for s in starts]), fs, nw)[1].ravel()
+        starts = range(0, x.shape[-1] - win + 1, step)
+        return K.multitaper(np.stack([x[:, s : s + win] for s in starts], axis=1), fs, nw)[1].reshape(len(x), -1)
 
     width = win // 2 + 1
-    x = epochs.withColumn("__p", per_series(windows)("v"))
+    x = epochs.withColumn("__p", per_series(windows, stacked=True)("v"))
     x = x.withColumn("window", F.explode(F.sequence(F.lit(0), (F.size("__p") / width).cast("int") - 1)))
     return x.withColumn("v", F.slice("__p", F.col("window") * width + 1, width)).drop("__p")
 
@@ -98,9 +111,9 @@ def alpha_power(epochs: DataFrame, fs: float, band: tuple[float, float] = (8.0,
 
     def alpha(x: np.ndarray) -> np.ndarray:
         f, p = K.multitaper(x, fs)
-        return np.array([p[(f >= band[0]) & (f <= band[1])].mean()])
+        return p[:, (f >= band[0]) & (f <= band[1])].mean(axis=-1, keepdims=True)
 
-    return epochs.withColumn("alpha", per_series(alpha)("v")[0])
+    return epochs.withColumn("alpha", per_series(alpha, stacked=True)("v")[0])
 
 
 def band_power_at(series: DataFrame, centres: DataFrame, keys: list[str], fs: float, band: tuple[float, float], half: int, how: Callable[[np.ndarray], float] = np.median) -> DataFrame:
@@ -124,7 +137,7 @@ def band_power_at(series: DataFrame, centres: DataFrame, keys: list[str], fs: fl
 
 def envelope(series: DataFrame, keys: list[str], fs: float, band: tuple[float, float]) -> DataFrame:
     """Mean over channels of the band's envelope, in long form (keys, pos, v)."""
-    x = series.withColumn("v", per_series(lambda x: K.envelope(K.butter_filtfilt(x, fs, *band)))("v"))
+    x = series.withColumn("v", per_series(lambda x: K.envelope(K.butter_filtfilt(x, fs, *band)), stacked=True)("v"))
     return x.select(*keys, F.posexplode("v").alias("pos", "v")).groupBy(*keys, "pos").agg(F.avg("v").alias("v"))
 
 
@@ -185,47 +198,78 @@ def pupil_pipeline(gaze: DataFrame, blinks: DataFrame, keys: list[str], hz: floa
 def xcorr(a: DataFrame, b: DataFrame, keys: list[str], max_lag: int, norm: str = "n") -> DataFrame:
     """(keys, lag, r) of z-scored series (keys, i, v) (G20, G21): a at i against b at i + lag.
 
-    norm='n' divides by n, 'overlap' by n - |lag|. Each row of a is copied to 2 max_lag + 1 places and
-    equi-joined, never crossed.
+    norm='n' divides by n, 'overlap' by n - |lag|. Each side is packed to one array per key, a series of one
+    run, and lags are sums of products of shifted arrays. A lag without a pair of samples has no row.
     """
     from tessera.functions.scalars import zscore
 
-    x = a.withColumn("z", zscore("v", keys)).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
-    x = x.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).select(*keys, (F.col("i") + F.col("lag")).alias("i"), "lag", "n", "z")
-    y = b.withColumn("y", zscore("v", keys)).select(*keys, "i", "y")
+    side = lambda df, c: df.withColumn("z", zscore("v", keys)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "z"))).alias(c))
+
+    @pandas_udf(ArrayType(DoubleType()))
+    def lagged(ia: pd.Series, za: pd.Series, ib: pd.Series, zb: pd.Series) -> pd.Series:
+        out = []
+        for places, z, other, y in zip(ia, za, ib, zb, strict=True):
+            first = int(min(places[0], other[0]))
+            size = int(max(places[-1], other[-1])) - first + 1
+            dense = np.zeros((4, size))  # values and presence of a and b
+            for k, (at, v) in enumerate(((places, z), (other, y))):
+                v = np.asarray(v, dtype=float)
+                dense[2 * k, np.asarray(at) - first] = np.nan_to_num(v)
+                dense[2 * k + 1, np.asarray(at) - first] = np.where(np.isfinite(v), 1, 1e-9)
+            sums = []
+            for lag in range(-max_lag, max_lag + 1):
+                x, y = (dense[:2, : size - lag], dense[2:, lag:]) if lag >= 0 else (dense[:2, -lag:], dense[2:, : size + lag])
+                pairs = float(x[1] @ y[1]) if x.shape[-1] else 0.0
+                sums += [float(x[0] @ y[0]) if pairs > 0.5 else np.nan, float(pairs > 0)]
+            out.append(sums)
+        return pd.Series(out)
+
+    x = side(a, "pa").join(side(b, "pb"), keys).withColumn("n", F.size("pa"))
+    field = lambda c, f: F.transform(c, lambda s: s[f])
+    x = x.withColumn("__s", lagged(field("pa", "i"), field("pa", "z"), field("pb", "i"), field("pb", "z")))
+    x = x.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
+    at = 2 * (F.col("lag") + max_lag)
+    s = F.get("__s", at)
     d = F.col("n") if norm == "n" else F.col("n") - F.abs("lag")
-    return x.join(y, [*keys, "i"]).groupBy(*keys, "lag", "n").agg(F.sum(F.col("z") * F.col("y")).alias("s")).select(*keys, "lag", F.try_divide(F.col("s"), d).alias("r"))
+    return x.filter(F.get("__s", at + 1) > 0).select(*keys, "lag", F.try_divide(F.when(~F.isnan(s), s), d).alias("r"))
 
 
 def cross_spectra(series: DataFrame, keys: list[str], fs: float, nperseg: int) -> DataFrame:
-    """Per series, segment spectra in long form (keys, channel, seg, f, re, im): half-overlapping Hann segments."""
+    """Per series, segment spectra (keys, channel, n_f, re, im), packed by segment, then frequency: half-overlapping Hann segments."""
 
     def spectra(x: np.ndarray) -> np.ndarray:
-        n, w = min(nperseg, len(x)), np.hanning(min(nperseg, len(x)) + 1)[:-1]
-        seg = np.stack([x[s : s + n] - x[s : s + n].mean() for s in range(0, len(x) - n + 1, max(1, n // 2))])
-        s = np.fft.rfft(seg * w)
-        return np.stack([s.real, s.imag], axis=-1).ravel()
+        n = min(nperseg, x.shape[-1])
+        w = np.hanning(n + 1)[:-1]
+        seg = np.stack([x[:, s : s + n] for s in range(0, x.shape[-1] - n + 1, max(1, n // 2))], axis=1)
+        s = np.fft.rfft((seg - seg.mean(axis=-1, keepdims=True)) * w).reshape(len(x), -1)
+        return np.concatenate([s.real, s.imag], axis=-1)
 
-    width = nperseg // 2 + 1
-    x = series.select(*keys, "channel", F.posexplode(per_series(spectra)("v")).alias("k", "x"))
-    at = F.floor(F.col("k") / 2)
-    return x.groupBy(*keys, "channel", F.floor(at / width).cast("int").alias("seg"), (at % width).cast("int").alias("f")).agg(
-        F.max(F.when(F.col("k") % 2 == 0, F.col("x"))).alias("re"), F.max(F.when(F.col("k") % 2 == 1, F.col("x"))).alias("im")
-    )
+    n_f = (F.floor(F.least(F.lit(nperseg), F.size("v")) / 2) + 1).cast("int")
+    x = series.select(*keys, "channel", n_f.alias("n_f"), per_series(spectra, stacked=True)("v").alias("__s"))
+    half = (F.size("__s") / 2).cast("int")
+    return x.select(*keys, "channel", "n_f", F.slice("__s", F.lit(1), half).alias("re"), F.slice("__s", half + 1, half).alias("im"))
 
 
 def coherence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Magnitude-squared coherence of each channel of a with b, mean over b's channels (G23), from `cross_spectra`.
 
-    Spectra are made once per channel; pairs meet on (segment, frequency).
+    Spectra are made once per channel; a pair of channels is one row with both packed spectra.
     """
-    y = b.select(*keys, "seg", "f", F.col("channel").alias("other"), F.col("re").alias("re2"), F.col("im").alias("im2"))
-    j = a.join(y, [*keys, "seg", "f"])
-    sq = lambda r, i: F.avg(F.col(r) ** 2 + F.col(i) ** 2)
-    re = F.avg(F.col("re") * F.col("re2") + F.col("im") * F.col("im2"))
-    im = F.avg(F.col("im") * F.col("re2") - F.col("re") * F.col("im2"))
-    c = j.groupBy(*keys, "channel", "other", "f").agg(F.try_divide(re * re + im * im, sq("re", "im") * sq("re2", "im2")).alias("c"))
-    return c.groupBy(*keys, "channel", "f").agg(F.avg("c").alias("coherence"))
+
+    @pandas_udf(_DOUBLES)
+    def pair(n_f: pd.Series, re: pd.Series, im: pd.Series, re2: pd.Series, im2: pd.Series) -> pd.Series:
+        out = []
+        for n, *parts in zip(n_f, re, im, re2, im2, strict=True):
+            r, i, r2, i2 = (np.asarray(p, dtype=float).reshape(-1, int(n)) for p in parts)
+            x, y = r + 1j * i, r2 + 1j * i2
+            both = (np.abs(x) ** 2).mean(axis=0) * (np.abs(y) ** 2).mean(axis=0)
+            cross = np.abs((x * y.conj()).mean(axis=0)) ** 2
+            out.append(np.divide(cross, both, out=np.full(int(n), np.nan), where=both > 0))
+        return pd.Series(out)
+
+    y = b.select(*keys, F.col("channel").alias("other"), F.col("re").alias("re2"), F.col("im").alias("im2"))
+    j = a.join(y, keys).select(*keys, "channel", F.posexplode(pair("n_f", "re", "im", "re2", "im2")).alias("f", "c"))
+    return j.groupBy(*keys, "channel", "f").agg(F.avg(F.when(~F.isnan("c"), F.col("c"))).alias("coherence"))
 
 
 def source_spectrum(series: DataFrame, source: str, fs: float, nperseg: int) -> DataFrame:
@@ -244,16 +288,41 @@ def morlet_power(epochs: DataFrame, keys: list[str], fs: float, freqs: list[floa
     return x.groupBy(*keys, f.alias("freq"), (F.col("k") % F.col("__n")).alias("pos")).agg(F.avg("v").alias("v"))
 
 
+def channel_products(c: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, channel, other, s): sums of products of all pairs of channels over the times i of (keys, channel, i, x).
+
+    The channels of a time are one row; matrices are summed in each batch before anything is shuffled, so the
+    number of rows is that of times, not of pairs at times. A missing channel takes no part.
+    """
+    kinds = ", ".join(f"{k} {c.schema[k].dataType.simpleString()}" for k in keys)
+    channel = c.schema["channel"].dataType.simpleString()
+    times = c.filter("x is not null").groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct("channel", "x"))).alias("z"))
+    times = times.select(*keys, F.transform("z", lambda s: s["channel"]).alias("names"), F.transform("z", lambda s: s["x"]).alias("xs"))
+
+    def products(batches):
+        for pdf in batches:
+            for key, g in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                names = sorted(set().union(*g["names"]))
+                at = {k: i for i, k in enumerate(names)}
+                m = np.zeros((len(g), len(names)))
+                for row, (own, xs) in enumerate(zip(g["names"], g["xs"], strict=True)):
+                    m[row, [at[k] for k in own]] = xs
+                s = m.T @ m
+                yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"channel": np.repeat(names, len(names)), "other": np.tile(names, len(names)), "s": s.ravel()})
+
+    parts = times.mapInPandas(products, f"{kinds}, channel {channel}, other {channel}, s double")
+    return parts.groupBy(*keys, "channel", "other").agg(F.sum("s").alias("s"))
+
+
 def pc_scores(samples: DataFrame, keys: list[str]) -> DataFrame:
     """First principal component over channels per time (keys, i, score, ratio).
 
-    Channel covariances are sums that Spark makes; the eigenproblem is channels x channels; scores are
-    a join with the weights. The sign makes the largest weight positive.
+    Channel covariances are sums over rows of one time with all its channels; the eigenproblem is channels x
+    channels; scores are a join with the weights. The sign makes the largest weight positive.
     """
     w = W.partitionBy(*keys, "channel")
     c = samples.withColumn("x", F.col("v") - F.avg("v").over(w)).select(*keys, "channel", "i", "x")
-    o = c.select(*keys, F.col("channel").alias("other"), "i", F.col("x").alias("y"))
-    cov = c.join(o, [*keys, "i"]).groupBy(*keys, "channel", "other").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    cov = channel_products(c, keys)
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in [*keys, "channel"])
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:

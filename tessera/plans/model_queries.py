@@ -183,10 +183,10 @@ def _(spark, d):
     return C.select_regressors(x, prefix="Drift").groupBy("regressor").agg(F.count("*").alias("n"))
 
 
-def _fit(method, **kw):
+def _fit(method, keys=("subject",), **kw):
     def f(spark, d):
         t = days(spark, d).withColumns({"const": F.lit(1.0), "x1": F.col("day") / 10})
-        return R.fit_series(t, ["subject"], "VTC", ["const", "x1"], "onset", method, **kw)
+        return R.fit_series(t, list(keys), "VTC", ["const", "x1"], "onset", method, **kw)
 
     return f
 
@@ -198,7 +198,7 @@ def _(spark, d):
 
 @query("r18_fit_ar_irls")
 def _(spark, d):
-    return _fit("ar_irls", pmax=5)(spark, d).select("subject", F.round(F.col("beta")[1], 5).alias("b1"), F.size("ar").alias("order"), "n")
+    return _fit("ar_irls", RUN, pmax=5)(spark, d).select(*RUN, F.round(F.col("beta")[1], 5).alias("b1"), F.size("ar").alias("order"), "n")
 
 
 @query("r19_fit_huber")
@@ -267,7 +267,8 @@ def _(spark, d):
 
 @query("r26_robust_group_t")
 def _(spark, d):
-    f = _fit("ar_irls", pmax=3)(spark, d).select("subject", F.col("beta")[1].alias("b"))
+    # A fit per run; runs are averaged within the subject.
+    f = _fit("ar_irls", RUN, pmax=3)(spark, d).groupBy("subject").agg(F.avg(F.col("beta")[1]).alias("b"))
     return R.ttest_1samp(f, "b", []).select(*r("mean", "t", "p"), "n")
 
 
