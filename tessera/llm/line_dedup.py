@@ -14,6 +14,11 @@ MAX_EDITS = 1
 #: Shorter lines (after normalising) are compared for equality only: one edit makes another word of them.
 MIN_CHARS = 20
 
+#: A segment that so many different lines share is too common to join on; its lines are compared by finer keys.
+HOT_KEY = 1000
+#: Slices of a line, of which a finer key leaves out one.
+SLICES = 16
+
 #: Letters whose counts screen pairs, five to a long; each count takes 12 bits.
 _LETTERS = ("etnai", "oshrl")
 _COUNT_BITS, _COUNT_MAX = 12, 4095
@@ -64,6 +69,15 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return keys
 
 
+def hole_keys(line: Column, length: Column, less: int) -> list[Column]:
+    """For each slice of a line, shorter by `less`, the hash of all the rest: a line within one edit shares the key of the edit's slice."""
+    n, keys = length - less, []
+    for j in range(SLICES):
+        a, b = (F.floor(n * k / SLICES).cast("int") for k in (j, j + 1))
+        keys.append(F.xxhash64(n, F.lit(j), F.substring(line, F.lit(1), a), F.substring(line, b + 1 + less, n - b)))
+    return keys
+
+
 def letter_counts(line: Column, length: Column) -> list[Column]:
     """Counts of some letters, packed into longs."""
     out = []
@@ -156,7 +170,18 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, edits: int, min_char
     )
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame) -> DataFrame:
+    """(group, s): the lines of groups (group, digest, first), fetched at their first places.
+
+    They are told by their digest, as rows that share an id may differ at a place.
+    """
+    place = groups.select("first.*").distinct()
+    found = maybe_in(_lines(docs, id_col, text_col), survivor_filter(place, "id", "line_no"), "wanted", "id", "line_no")
+    found = found.filter("wanted").drop("wanted").join(place, ["id", "line_no"], "left_semi").select(F.unhex(F.md5("s")).alias("digest"), "s")
+    return groups.select("group", "digest").join(found.groupBy("digest").agg(F.first("s").alias("s")), "digest").select("group", "s")
+
+
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, hot_key: int = HOT_KEY) -> DataFrame:
     """(id, line_no) of the lines that are duplicates.
 
     Lines are compared after normalising. Equal lines are one group, which stands where it first
@@ -166,8 +191,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Pairs of groups come from the partition of a line into `edits` + 1 segments, of which one must be
     unchanged. The join carries hashes and letter counts, no text; the counts screen pairs inside the
     join, so lines that share a long passage but differ elsewhere are not emitted. The texts of the
-    pairs that remain are fetched and verified. Very frequent lines count once; very frequent segments
-    are a skewed join, which adaptive execution splits.
+    pairs that remain are fetched and verified. Very frequent lines count once.
+    A segment that over `hot_key` different lines share (numbered lines, forms) would bring them together in all
+    pairs. With one edit it isn't joined on: its lines, fetched, meet by the hash of all but one of their
+    slices, so only lines that agree in 15 of 16 parts are compared. A bitmap of fixed size tells hot keys, to
+    both sides alike. With more edits such a segment is a skewed join, which adaptive execution splits.
     """
     lines = materialize(line_table(docs, id_col, text_col, edits, min_chars, exact_chars), "lines")
     keys = [c for c in lines.columns if c[0] == "k"]
@@ -180,19 +208,31 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
     index = groups.select(F.explode(F.array(*keys)).alias("key"), "group", *counts).filter("key is not null")
     probe = groups.select(F.explode(F.array(*keys, *probes)).alias("key"), "group", *counts).filter("key is not null")
-    a, b = index.alias("a"), probe.alias("b")
-    other = F.col("a.group") != F.col("b.group")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & other & counts_allow(*([F.col(f"{x}.{c}") for c in counts] for x in "ab"), edits))
-    pairs = pairs.select(F.least("a.group", "b.group").alias("one"), F.greatest("a.group", "b.group").alias("two")).distinct()
+
+    def meet(index: DataFrame, probe: DataFrame) -> DataFrame:
+        a, b = index.alias("a"), probe.alias("b")
+        other = F.col("a.group") != F.col("b.group")
+        near = a.join(b, (F.col("a.key") == F.col("b.key")) & other & counts_allow(*([F.col(f"{x}.{c}") for c in counts] for x in "ab"), edits))
+        return near.select(F.least("a.group", "b.group").alias("one"), F.greatest("a.group", "b.group").alias("two"))
+
+    hot = materialize(index.groupBy("key").count().filter(F.col("count") > hot_key).select("key"), "hot") if edits == 1 else None
+    if hot is not None and not hot.isEmpty():
+        bitmap = materialize(survivor_filter(hot, "key"), "hot-bits")
+        index, probe = (maybe_in(x, bitmap, "hot", "key") for x in (index, probe))
+        common = materialize(index.unionByName(probe).filter("hot").select("group").distinct(), "common")
+        lines_of = _texts(docs, id_col, text_col, groups.join(common, "group", "left_semi"))
+        lines_of = materialize(lines_of.join(groups.select("group", *counts), "group").withColumn("n", F.length("s")), "common-lines")
+        own, longer = (F.array(*hole_keys(F.col("s"), F.col("n"), less)) for less in (0, 1))
+        finer = lambda keys: lines_of.select(F.explode(keys).alias("key"), "group", *counts)
+        cold = meet(index.filter("not hot").drop("hot"), probe.filter("not hot").drop("hot"))
+        pairs = cold.unionByName(meet(finer(own), finer(F.concat(own, longer)))).distinct()
+    else:
+        pairs = meet(index, probe).distinct()
     pairs = materialize(pairs, "pairs")
 
     ends = pairs.select(F.explode(F.array("one", "two")).alias("group")).distinct()
     ends = materialize(groups.select("group", "digest", "first").join(ends, "group", "left_semi"), "ends")
-    # Texts are fetched at the groups' first places and told by their digest, as rows that share an id may differ there.
-    place = ends.select("first.*").distinct()
-    near = maybe_in(_lines(docs, id_col, text_col), survivor_filter(place, "id", "line_no"), "wanted", "id", "line_no")
-    near = near.filter("wanted").drop("wanted").join(place, ["id", "line_no"], "left_semi").select(F.unhex(F.md5("s")).alias("digest"), "s")
-    texts = ends.join(near.groupBy("digest").agg(F.first("s").alias("s")), "digest")
+    texts = ends.join(_texts(docs, id_col, text_col, ends), "group")
     side = lambda c: texts.select(F.col("group").alias(c), F.struct("first", "digest").alias(f"{c}_at"), F.col("s").alias(f"{c}_s"))
     texts = pairs.join(side("one"), "one").join(side("two"), "two")
     late = F.when(F.col("one_at") < F.col("two_at"), F.col("two_at.digest")).otherwise(F.col("one_at.digest"))

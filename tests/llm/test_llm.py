@@ -218,6 +218,29 @@ def test_line_dedup_against_all_pairs(spark, edits):
     assert got == plain_line_dedup(texts, edits)
 
 
+def test_common_segments_against_all_pairs(spark):
+    """Lines whose halves are common meet by finer keys; the result is the same."""
+    rng = np.random.default_rng(4)
+    numbered = [f"entry number {int(x)} of the long list" for x in rng.integers(0, 3000, 60)] + [f"the list has {c}{d} on it, and more" for c in "abc" for d in "xyz "]
+    texts = ["\n".join([*variants(rng, 3), *rng.choice(numbered, 4)]) for _ in range(40)]
+    got = {tuple(r) for r in line_dedup.duplicate_lines(docs(spark, texts), hot_key=2).collect()}
+    assert got == plain_line_dedup(texts, 1) == {tuple(r) for r in line_dedup.duplicate_lines(docs(spark, texts)).collect()}
+
+
+def test_many_numbered_lines(spark):
+    """6,000 lines that differ in their number only: no comparison of all pairs."""
+    import time
+
+    rows = [(f"{i:05d} is the number of this line here",) for i in range(0, 60_000, 10)]
+    began = time.perf_counter()
+    text = "\n".join(r[0] for r in rows)
+    got = line_dedup.duplicate_lines(docs(spark, [text])).count()
+    near = {r[0] for r in rows}
+    first = {s: i for i, (s,) in enumerate(rows)}
+    want = sum(any((t := s[:k] + c + s[k + 1 :]) in near and first[t] < first[s] for k in range(5) for c in "0123456789" if c != s[k]) for s in near)
+    assert got == want and time.perf_counter() - began < 90
+
+
 def test_line_dedup_texts(spark):
     line = "one line that is long enough to count"
     x = docs(spark, [f"{line}\nab\n{line}!", f"x\n{line}\ny", None, "", "nothing here repeats at all, dear"])
