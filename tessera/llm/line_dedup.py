@@ -17,7 +17,7 @@ MIN_CHARS = 20
 #: A segment that so many different lines share is too common to join on; its lines are compared by finer keys.
 HOT_KEY = 1000
 #: Slices of a line, of which a finer key leaves out one.
-SLICES = 16
+SLICES = 64
 
 #: Letters whose counts screen pairs, five to a long; each count takes 12 bits.
 _LETTERS = ("etnai", "oshrl")
@@ -194,7 +194,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs that remain are fetched and verified. Very frequent lines count once.
     A segment that over `hot_key` different lines share (numbered lines, forms) would bring them together in all
     pairs. With one edit it isn't joined on: its lines, fetched, meet by the hash of all but one of their
-    slices, so only lines that agree in 15 of 16 parts are compared. A bitmap of fixed size tells hot keys, to
+    slices, so only lines that agree in 63 of 64 parts are compared. A bitmap of fixed size tells hot keys, to
     both sides alike. With more edits such a segment is a skewed join, which adaptive execution splits.
     """
     lines = materialize(line_table(docs, id_col, text_col, edits, min_chars, exact_chars), "lines")
@@ -232,12 +232,24 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ends = pairs.select(F.explode(F.array("one", "two")).alias("group")).distinct()
     ends = materialize(groups.select("group", "digest", "first").join(ends, "group", "left_semi"), "ends")
-    texts = ends.join(_texts(docs, id_col, text_col, ends), "group")
-    side = lambda c: texts.select(F.col("group").alias(c), F.struct("first", "digest").alias(f"{c}_at"), F.col("s").alias(f"{c}_s"))
-    texts = pairs.join(side("one"), "one").join(side("two"), "two")
-    late = F.when(F.col("one_at") < F.col("two_at"), F.col("two_at.digest")).otherwise(F.col("one_at.digest"))
-    near_dup = texts.filter(within_edits(F.col("one_s"), F.col("two_s"), edits)).select(late.alias("digest")).distinct()
-    near_dup = materialize(near_dup.withColumn("near", F.lit(True)), "near")
+    at = lambda c: ends.select(F.col("group").alias(c), F.struct("first", "digest", "group").alias(f"{c}_at"))
+    pairs = pairs.join(at("one"), "one").join(at("two"), "two")
+    pairs = pairs.select(F.least("one_at", "two_at")["group"].alias("early"), F.greatest("one_at", "two_at")["group"].alias("late"))
+    pairs = materialize(pairs, "ordered")
+    texts = materialize(_texts(docs, id_col, text_col, ends), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The late groups of the pairs that are near; pairs are few bytes but much work, so they are spread."""
+        side = lambda c: texts.select(F.col("group").alias(c), F.col("s").alias(f"{c}_s"))
+        both = pairs.join(side("early"), "early").join(side("late"), "late")
+        both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return both.filter(within_edits(F.col("early_s"), F.col("late_s"), edits)).select("late").distinct()
+
+    # One near group before it is enough: most groups are settled by their first candidate, the others see all.
+    found = materialize(verified(pairs.groupBy("late").agg(F.min("early").alias("early"))), "found")
+    found = found.unionByName(verified(pairs.join(found, "late", "left_anti")))
+    near_dup = ends.join(found.withColumnRenamed("late", "group"), "group", "left_semi").select("digest", F.lit(True).alias("near"))
+    near_dup = materialize(near_dup, "near")
 
     repeated = groups.select("digest", "first", "n").join(near_dup, "digest", "left").filter("n > 1 or near")
     repeated = materialize(repeated.select("digest", "first", "near"), "repeated")
