@@ -69,13 +69,15 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return keys
 
 
-def hole_keys(line: Column, length: Column, less: int) -> list[Column]:
+def hole_keys(line: Column, length: Column, less: int) -> Column:
     """For each slice of a line, shorter by `less`, the hash of all the rest: a line within one edit shares the key of the edit's slice."""
-    n, keys = length - less, []
-    for j in range(SLICES):
+    n = length - less
+
+    def key(j: Column) -> Column:
         a, b = (F.floor(n * k / SLICES).cast("int") for k in (j, j + 1))
-        keys.append(F.xxhash64(n, F.lit(j), F.substring(line, F.lit(1), a), F.substring(line, b + 1 + less, n - b)))
-    return keys
+        return F.xxhash64(n, j, F.substring(line, F.lit(1), a), F.substring(line, b + 1 + less, n - b))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), key)
 
 
 def letter_counts(line: Column, length: Column) -> list[Column]:
@@ -222,7 +224,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common = materialize(index.unionByName(probe).filter("hot").select("group").distinct(), "common")
         lines_of = _texts(docs, id_col, text_col, groups.join(common, "group", "left_semi"))
         lines_of = materialize(lines_of.join(groups.select("group", *counts), "group").withColumn("n", F.length("s")), "common-lines")
-        own, longer = (F.array(*hole_keys(F.col("s"), F.col("n"), less)) for less in (0, 1))
+        own, longer = (hole_keys(F.col("s"), F.col("n"), less) for less in (0, 1))
         finer = lambda keys: lines_of.select(F.explode(keys).alias("key"), "group", *counts)
         cold = meet(index.filter("not hot").drop("hot"), probe.filter("not hot").drop("hot"))
         pairs = cold.unionByName(meet(finer(own), finer(F.concat(own, longer)))).distinct()
