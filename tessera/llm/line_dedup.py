@@ -15,7 +15,7 @@ MAX_EDITS = 1
 MIN_CHARS = 20
 
 #: A segment that so many different lines share is too common to join on; its lines are compared by finer keys.
-HOT_KEY = 1000
+HOT_KEY = 200
 #: Slices of a line, of which a finer key leaves out one.
 SLICES = 64
 
