@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over `documents`, each a table that the next one reads."""
+"""The corpus pipeline: five stages over `documents`, each a table that the next one reads.
+
+Cases, for every stage: an empty table gives an empty table; columns beyond those of `documents` are dropped,
+whatever their names; nulls in lang, source and n_chars are carried on; a long text is read whole.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +18,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a learned language that fills enough of the text; the rest go."""
+    """Keeps documents with a learned language that fills enough of the text; the rest go.
+
+    Null and empty texts and those without letters have no language and go; ids are not read, so repeated rows fare
+    alike and null ids are no special case.
+    """
     model = langid.train(docs)
     return langid.keep_identified(docs.select(*COLUMNS), model, MIN_LANGUAGE_SCORE)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts, equal ones of any length; a document left without any letter or digit goes."""
+    """Takes repeated lines out of the texts, equal ones of any length; a document left without any letter or digit goes.
+
+    Null and empty texts stay. Rows that share an id are one document: their lines at one place fare alike. Rows
+    with a null id can't be told apart and stay as they are.
+    """
     out = line_dedup.dedup_lines(docs, exact_chars=1)
     left = F.col("text").rlike(r"[\p{L}\p{N}]")
     return _with_length(out.filter(left | (F.size("removed") == 0)))
@@ -29,7 +41,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate component (shingles of 5 words, similarity 0.8), the one with the smallest id.
 
-    Null ids come last, and rows that share an id or have none are told apart by a row number.
+    Null ids come last, and rows that share an id or have none are told apart by a row number; of rows that tie, the
+    first by that number stays. Texts without words are one component.
     """
     # Written, so that the number of a row is the same in both reads.
     rows = materialize(docs.select(*COLUMNS).withColumn("row_no", F.monotonically_increasing_id()), "rows")
@@ -40,13 +53,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out of the texts; documents that are mostly benchmark go."""
+    """Cuts benchmark passages out of the texts; documents that are mostly benchmark go.
+
+    Null and empty texts stay; ids are not read; an empty benchmark, or items without text, cut nothing.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _with_length(decontamination.decontaminate(docs.select(*COLUMNS), benchmark))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document that is left, by source."""
+    """Words that the mix takes of each document that is left, by source.
+
+    Null texts have size 0; a null source is a source of its own, the last; rows that share an id, or have none, are
+    ordered by id and size, so equal ones get what is left in turn.
+    """
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
