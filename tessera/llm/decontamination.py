@@ -232,11 +232,14 @@ def _all_hits(rows: DataFrame, found: Iterable[Automaton], window: int, text_at:
     """
     sc = rows.sparkSession.sparkContext
     schema = StructType([*rows.schema.fields, StructField("found", _parse_datatype_string(f"n_words long, hits {RANGES}, short {RANGES}, items array<string>"))])
-    n = 0
+    n, held = 0, []
     for automaton in found:
         if n and n % PASSES_A_STAGE == 0:
             rows = materialize(rows, "hits")
-        rows = rows.mapInArrow(_scan_batches(sc.broadcast(automaton), text_at, not n), schema)
+            while held:  # what these automata found is written
+                held.pop().destroy()
+        held.append(sc.broadcast(automaton))
+        rows = rows.mapInArrow(_scan_batches(held[-1], text_at, not n), schema)
         n += 1
     return rows if n else rows.mapInArrow(_scan_batches(sc.broadcast(Automaton([], window)), text_at, True), schema)
 
