@@ -245,7 +245,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
                 words[lang.as_py()].update(units(text.as_py())[0])
-            if sum(map(len, words.values())) > 300_000:
+            if sum(map(len, words.values())) > 100_000:
                 yield flush()
         yield flush()
 
@@ -326,7 +326,7 @@ def _identify_batch(m: Model, texts: pa.Array, penalty: float, with_spans: bool)
             sizes = (b - a for a, b in cuts) if cuts else map(len, words)
             pending.append((i, s, np.fromiter(sizes, dtype=np.int32, count=len(words))))
             waiting += len(words)
-            if waiting > 1_000_000:  # bounds what is held
+            if waiting > 250_000:  # bounds what is held
                 decode()
                 waiting = 0
             continue
