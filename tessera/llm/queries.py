@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.conversations import OP11_SQL, op11_conversation_repair
 from tessera.llm.decontamination import OP9_SQL, op9_decontamination
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.html import op10_html_extraction
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
@@ -31,4 +33,5 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
