@@ -11,6 +11,7 @@ from tessera.llm.licenses import OP2_SQL, op2_license_scan
 from tessera.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.secrets import op3_secret_scan
+from tessera.llm.sentencepieces import op13_sentencepiece
 from tessera.llm.simhash import op5_simhash
 from tessera.llm.toxicity import op8_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
