@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.alignment import op12_tokenizer_alignment
 from tessera.llm.conversations import OP11_SQL, op11_conversation_repair
 from tessera.llm.decontamination import OP9_SQL, op9_decontamination
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLES = {
