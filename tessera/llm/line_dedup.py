@@ -30,10 +30,18 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.when(odd, F.regexp_replace(line, "[\\t\\r ]+", " ")).otherwise(line)))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, s) of all lines, normalised before they are exploded, so that each is once."""
-    lines = F.transform(F.split(text_col, "\n", -1), normal_line)
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(lines).alias("line_no", "s"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows as structs with a number each; written, so that the number is the same in every read.
+
+    The caller's columns travel in the struct, so their names meet none of the names used here.
+    """
+    return materialize(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("no")), "rows")
+
+
+def _lines(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, no, line_no, s) of all lines, normalised before they are exploded, so that each is once."""
+    lines = F.transform(F.split(F.col("row").getField(text_col), "\n", -1), normal_line)
+    return rows.select(F.col("row").getField(id_col).alias("id"), "no", F.posexplode(lines).alias("line_no", "s"))
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -153,17 +161,18 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(m - n) > edits, False).otherwise(F.coalesce(short, let(bound, fold)))
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, exact_chars: int | None = None) -> DataFrame:
-    """(id, line_no, digest, k0.., p0.., c0..) for each line of at least `min_chars` characters.
+def line_table(rows: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """(id, no, line_no, digest, k0.., p0.., c0..) for each line of at least `min_chars` characters.
 
     With `exact_chars`, lines of so many characters and more are there too, without keys (null).
     """
     least = max(min_chars, edits + 1)
-    base = _lines(docs, id_col, text_col).withColumn("n", F.length("s")).filter(F.col("n") >= min(least, exact_chars or least))
+    base = _lines(rows, id_col, text_col).withColumn("n", F.length("s")).filter(F.col("n") >= min(least, exact_chars or least))
     s, n = F.col("s"), F.col("n")
     near = (lambda key: F.when(n >= least, key)) if exact_chars else (lambda key: key)
     return base.select(
         "id",
+        "no",
         "line_no",
         F.unhex(F.md5("s")).alias("digest"),
         *[near(k).alias(f"k{i}") for i, k in enumerate(index_keys(s, n, edits))],
@@ -172,22 +181,19 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, edits: int, min_char
     )
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame) -> DataFrame:
-    """(group, s): the lines of groups (group, digest, first), fetched at their first places.
-
-    They are told by their digest, as rows that share an id may differ at a place.
-    """
-    place = groups.select("first.*").distinct()
-    found = maybe_in(_lines(docs, id_col, text_col), survivor_filter(place, "id", "line_no"), "wanted", "id", "line_no")
-    found = found.filter("wanted").drop("wanted").join(place, ["id", "line_no"], "left_semi").select(F.unhex(F.md5("s")).alias("digest"), "s")
-    return groups.select("group", "digest").join(found.groupBy("digest").agg(F.first("s").alias("s")), "digest").select("group", "s")
+def _texts(rows: DataFrame, text_col: str, groups: DataFrame) -> DataFrame:
+    """(group, s): the lines of groups (group, first), fetched at their first places."""
+    place = groups.select("group", "first.no", "first.line_no")
+    lines = _lines(rows, text_col, text_col).drop("id")
+    found = maybe_in(lines, survivor_filter(place, "no", "line_no"), "wanted", "no", "line_no")
+    return found.filter("wanted").drop("wanted").join(place, ["no", "line_no"]).select("group", "s")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, hot_key: int = HOT_KEY) -> DataFrame:
-    """(id, line_no) of the lines that are duplicates.
+def duplicate_lines(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, hot_key: int = HOT_KEY) -> DataFrame:
+    """(no, line_no) of the lines of `numbered` rows that are duplicates.
 
     Lines are compared after normalising. Equal lines are one group, which stands where it first
-    occurs, by (id, line number). A group is a near-duplicate if it is within `edits` edits of a group
+    occurs, by (id, null last, row number, line number). A group is a near-duplicate if it is within `edits` edits of a group
     that occurs earlier; then all of its lines are duplicates, else all but the first are.
 
     Pairs of groups come from the partition of a line into `edits` + 1 segments, of which one must be
@@ -199,12 +205,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slices, so only lines that agree in 63 of 64 parts are compared. A bitmap of fixed size tells hot keys, to
     both sides alike. With more edits such a segment is a skewed join, which adaptive execution splits.
     """
-    lines = materialize(line_table(docs, id_col, text_col, edits, min_chars, exact_chars), "lines")
+    lines = materialize(line_table(rows, id_col, text_col, edits, min_chars, exact_chars), "lines")
     keys = [c for c in lines.columns if c[0] == "k"]
     probes = [c for c in lines.columns if c[0] == "p"]
     counts = [f"c{i}" for i in range(len(_LETTERS))]
     groups = lines.groupBy("digest").agg(
-        F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*keys, *probes, *counts)]
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "no", "line_no")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*keys, *probes, *counts)]
     )
     # Written, so that the number of a group is the same in every read.
     groups = materialize(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
@@ -222,7 +228,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bitmap = materialize(survivor_filter(hot, "key"), "hot-bits")
         index, probe = (maybe_in(x, bitmap, "hot", "key") for x in (index, probe))
         common = materialize(index.unionByName(probe).filter("hot").select("group").distinct(), "common")
-        lines_of = _texts(docs, id_col, text_col, groups.join(common, "group", "left_semi"))
+        lines_of = _texts(rows, text_col, groups.join(common, "group", "left_semi"))
         lines_of = materialize(lines_of.join(groups.select("group", *counts), "group").withColumn("n", F.length("s")), "common-lines")
         own, longer = (hole_keys(F.col("s"), F.col("n"), less) for less in (0, 1))
         finer = lambda keys: lines_of.select(F.explode(keys).alias("key"), "group", *counts)
@@ -238,13 +244,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(at("one"), "one").join(at("two"), "two")
     pairs = pairs.select(F.least("one_at", "two_at")["group"].alias("early"), F.greatest("one_at", "two_at")["group"].alias("late"))
     pairs = materialize(pairs, "ordered")
-    texts = materialize(_texts(docs, id_col, text_col, ends), "texts")
+    texts = materialize(_texts(rows, text_col, ends), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The late groups of the pairs that are near; pairs are few bytes but much work, so they are spread."""
         side = lambda c: texts.select(F.col("group").alias(c), F.col("s").alias(f"{c}_s"))
         both = pairs.join(side("early"), "early").join(side("late"), "late")
-        both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        both = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return both.filter(within_edits(F.col("early_s"), F.col("late_s"), edits)).select("late").distinct()
 
     # One near group before it is enough: most groups are settled by their first candidate, the others see all.
@@ -254,10 +260,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near_dup = materialize(near_dup, "near")
 
     repeated = groups.select("digest", "first", "n").join(near_dup, "digest", "left").filter("n > 1 or near")
-    repeated = materialize(repeated.select("digest", "first", "near"), "repeated")
-    found = maybe_in(lines.select("id", "line_no", "digest"), survivor_filter(repeated, "digest"), "wanted", "digest").filter("wanted")
-    found = found.join(repeated, "digest").filter(F.col("near").isNotNull() | (F.col("first") != F.struct("id", "line_no")))
-    return found.select(F.col("id").alias(id_col), "line_no").distinct()
+    repeated = materialize(repeated.select("digest", "first.no", "first.line_no", "near"), "repeated")
+    found = maybe_in(lines.select("no", "line_no", "digest"), survivor_filter(repeated, "digest"), "wanted", "digest").filter("wanted")
+    first = repeated.select("digest", F.struct("no", "line_no").alias("first"), "near")
+    return found.join(first, "digest").filter(F.col("near").isNotNull() | (F.col("first") != F.struct("no", "line_no"))).select("no", "line_no")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
@@ -265,18 +271,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns of `docs` stay but one of that name, which is replaced; the text is joined anew from the lines that stay.
     Cases: null texts stay null, empty texts empty; a text all of whose lines go is empty; rows that
-    share an id are one document: their lines at the same number fare alike; rows with a null id can't
-    be told apart and stay as they are; extra columns may have any name; an empty table gives an empty
-    result. Documents surely without duplicates skip the join: a bitmap of fixed size tells them. The
-    join of the others is a sort-merge join at every size, as the list of removed lines has no bound.
+    share an id, or have none, are told apart by a row number: a line that no earlier row has stays; a null id
+    comes last; extra columns may have any name; an empty table gives an empty result. Documents surely
+    without duplicates skip the join: a bitmap of fixed size tells them. The join of the others is a
+    sort-merge join at every size, as the list of removed lines has no bound.
     """
-    gone = duplicate_lines(docs, id_col, text_col, edits, min_chars, exact_chars)
-    gone = gone.groupBy(F.col(id_col).alias("key")).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+    rows = numbered(docs)
+    gone = duplicate_lines(rows, id_col, text_col, edits, min_chars, exact_chars)
+    gone = gone.groupBy("no").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     gone = materialize(gone, "gone")
-    # The caller's columns travel in a struct, so their names meet none of the names used here.
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("key"))
-    hit = maybe_in(packed, survivor_filter(gone, "key"), "hit", "key")
-    joined = hit.filter("hit").join(gone.hint("merge"), "key", "left")
+    hit = maybe_in(rows, survivor_filter(gone, "no"), "hit", "no")
+    joined = hit.filter("hit").join(gone.hint("merge"), "no", "left")
     out = hit.filter("not hit").withColumn("gone", F.expr("cast(null as array<int>)")).unionByName(joined)
     own = F.col("row").getField(text_col)
     # Set difference of line numbers, linear however many lines go; the split text is bound once.
@@ -305,19 +310,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: For one edit: of two near lines the shorter one's first or second half stands at the same end of the other.
 OP4_SQL = r"""
-with l as (select doc_id, unnest(range(len(p)))::int as line_no, unnest(p) as raw from (select doc_id, string_split(text, chr(10)) as p from documents)),
-n as (select doc_id, line_no, lower(trim(case when contains(raw, '  ') or contains(raw, chr(9)) or contains(raw, chr(13))
+with d as (select *, row_number() over (order by doc_id nulls last) as no from documents),
+l as (select no, unnest(range(len(p)))::int as line_no, unnest(p) as raw from (select no, string_split(text, chr(10)) as p from d)),
+n as (select no, line_no, lower(trim(case when contains(raw, '  ') or contains(raw, chr(9)) or contains(raw, chr(13))
         then regexp_replace(raw, '[\t\r ]+', ' ', 'g') else raw end, ' ')) as s from l),
 e as (select *, len(s) as n from n where len(s) >= 1),
-g as (select s, any_value(n) as n, min(struct_pack(d := doc_id, l := line_no)) as f from e group by s),
+g as (select s, any_value(n) as n, min(struct_pack(d := no, l := line_no)) as f from e group by s),
 ix as (select s, n, f, n as m, unnest(['a' || left(s, n // 2), 'b' || right(s, n - n // 2)]) as k from g where n >= 20),
 pb as (select s, n, f, m, unnest(['a' || left(s, m // 2), 'b' || right(s, m - m // 2)]) as k from (select *, unnest([n, n - 1]) as m from g where n >= 20)),
 near as (select distinct case when ix.f > pb.f then ix.s else pb.s end as s from ix join pb on ix.m = pb.m and ix.k = pb.k and ix.s <> pb.s
          where levenshtein(ix.s, pb.s) <= 1),
-gone as (select e.doc_id, list(e.line_no order by e.line_no) as r from e join g using (s) left join near on near.s = e.s
-         where near.s is not null or g.f <> struct_pack(d := e.doc_id, l := e.line_no) group by 1),
+gone as (select e.no, list(e.line_no order by e.line_no) as r from e join g using (s) left join near on near.s = e.s
+         where near.s is not null or g.f <> struct_pack(d := e.no, l := e.line_no) group by 1),
 o as (select doc_id, coalesce(r, []) as r, case when r is null then text else
         array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(r, (i - 1)::int)), chr(10)) end as t
-      from documents left join gone using (doc_id))
+      from d left join gone using (no))
 select doc_id, len(r)::bigint as n_removed, sha256(array_to_string(r, ',')) as removed_sha256, len(t)::bigint as n_chars_left, sha256(t) as text_sha256 from o
 """

@@ -210,11 +210,16 @@ def variants(rng, n):
     return out
 
 
+def lines_of(x, **how):
+    rows = line_dedup.numbered(x)
+    return line_dedup.duplicate_lines(rows, **how).join(rows.select("no", "row.doc_id"), "no").select("doc_id", "line_no")
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_line_dedup_against_all_pairs(spark, edits):
     rng = np.random.default_rng(edits)
     texts = ["\n".join(["short", *variants(rng, 4), "  The Quick  brown FOX jumps over "]) for _ in range(25)] + [None, "", "\n\n"]
-    got = {tuple(r) for r in line_dedup.duplicate_lines(docs(spark, texts), edits=edits).collect()}
+    got = {tuple(r) for r in lines_of(docs(spark, texts), edits=edits).collect()}
     assert got == plain_line_dedup(texts, edits)
 
 
@@ -223,8 +228,8 @@ def test_common_segments_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     numbered = [f"entry number {int(x)} of the long list" for x in rng.integers(0, 3000, 60)] + [f"the list has {c}{d} on it, and more" for c in "abc" for d in "xyz "]
     texts = ["\n".join([*variants(rng, 3), *rng.choice(numbered, 4)]) for _ in range(40)]
-    got = {tuple(r) for r in line_dedup.duplicate_lines(docs(spark, texts), hot_key=2).collect()}
-    assert got == plain_line_dedup(texts, 1) == {tuple(r) for r in line_dedup.duplicate_lines(docs(spark, texts)).collect()}
+    got = {tuple(r) for r in lines_of(docs(spark, texts), hot_key=2).collect()}
+    assert got == plain_line_dedup(texts, 1) == {tuple(r) for r in lines_of(docs(spark, texts)).collect()}
 
 
 def test_many_numbered_lines(spark):
@@ -234,7 +239,7 @@ def test_many_numbered_lines(spark):
     rows = [(f"{i:05d} is the number of this line here",) for i in range(0, 60_000, 10)]
     began = time.perf_counter()
     text = "\n".join(r[0] for r in rows)
-    got = line_dedup.duplicate_lines(docs(spark, [text])).count()
+    got = lines_of(docs(spark, [text])).count()
     near = {r[0] for r in rows}
     first = {s: i for i, (s,) in enumerate(rows)}
     want = sum(any((t := s[:k] + c + s[k + 1 :]) in near and first[t] < first[s] for k in range(5) for c in "0123456789" if c != s[k]) for s in near)

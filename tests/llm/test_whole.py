@@ -148,7 +148,7 @@ def test_a_long_token_and_many_matches(spark):
 
 def test_equal_short_lines(spark):
     rows = [(1, "short\n\n}\nshorts\nSHORT "), (2, "}\n\nshort\nown"), (3, None), (4, ""), (None, "short")]
-    want = {1: "short\n\n}\nshorts", 2: "\nown", 3: None, 4: "", None: "short"}
+    want = {1: "short\n\n}\nshorts", 2: "\nown", 3: None, 4: "", None: ""}
     out = line_dedup.dedup_lines(table(spark, rows), exact_chars=1)
     assert {r["doc_id"]: r["text"] for r in out.collect()} == want
     staged = corpus_pipeline.line_stage(spark, table(spark, rows), "")
@@ -156,15 +156,19 @@ def test_equal_short_lines(spark):
 
 
 def test_different_texts_under_one_id(spark):
-    """Places are shared by rows of one id; near lines are verified by their own texts."""
+    """Rows are told apart whatever their ids; near lines are verified by their own texts."""
     a, b, c = "the quick brown fox jumps over it", "a quite different line of other words", "the quick brown fox jumps over its"
     rows = [(1, b), (1, a), (2, c), (3, b), (None, a), (None, a)]
     x = table(spark, rows).withColumn("removed", F.lit("own")).withColumn("gone", F.lit(1)).withColumn("row", F.lit(2)).withColumn("hit", F.lit(False))
     for _ in range(2):
         out = [(r["doc_id"], r["text"], list(r["removed"])) for r in line_dedup.dedup_lines(x).collect()]
-        assert sorted(out, key=str) == sorted([(1, b, []), (1, a, []), (2, "", [0]), (3, "", [0]), (None, a, []), (None, a, [])], key=str)
+        assert sorted(out, key=str) == sorted([(1, b, []), (1, a, []), (2, "", [0]), (3, "", [0]), (None, "", [0]), (None, "", [0])], key=str)
         rows = rows[::-1]
         x = x.repartition(4)
+    one, other = "a line of words that comes again", "a line that no other row has at all"
+    same = [(0, one), (1, one), (1, other), (None, other), (None, one), (None, "x"), (None, "x")]
+    kept = sorted(r["text"] for r in line_dedup.dedup_lines(table(spark, same), exact_chars=1).collect())
+    assert kept == sorted([one, other, "x", "", "", "", ""])
     assert line_dedup.dedup_lines(x).columns == [*[k for k in x.columns if k != "removed"], "removed"]
 
 
