@@ -30,8 +30,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts, equal ones of any length; a document left without any letter or digit goes.
 
-    Null and empty texts stay. Rows that share an id are one document: their lines at one place fare alike. Rows
-    with a null id can't be told apart and stay as they are.
+    Null and empty texts stay. Rows that share an id, or have none, are told apart by a row number, so a line that
+    stands nowhere earlier stays; null ids come last.
     """
     out = line_dedup.dedup_lines(docs, exact_chars=1)
     left = F.col("text").rlike(r"[\p{L}\p{N}]")
@@ -39,7 +39,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each near-duplicate component (shingles of 5 words, similarity 0.8), the one with the smallest id.
+    """Keeps one row of each near-duplicate component (sets of 5-word shingles, cosine 0.8), the one with the smallest id.
+
+    The cosine of two sets is what they share over the root of the product of their sizes; for sets of one size 0.8 is a
+    Jaccard similarity of 0.67. It is estimated by 256 bits.
 
     Null ids come last, and rows that share an id or have none are told apart by a row number; of rows that tie, the
     first by that number stays. Texts without words are one component.
