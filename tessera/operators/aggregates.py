@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import norm_ppf, t_critical
+from tessera.operators.ranges import exact_quantiles
 
 
 def sdt(df: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def raster(epochs: DataFrame, by: str, tie: str, keys: list[str], n: int) -> Dat
 def top_channel(df: DataFrame, keys: list[str], stat: str, largest: bool = True, trim: tuple[float, float] | None = None) -> DataFrame:
     """The channel with the extreme statistic, ties to the smaller channel; optionally within percentiles."""
     if trim:
-        q = df.groupBy(*keys).agg(F.percentile(stat, F.array(*[F.lit(t) for t in trim])).alias("__q"))
+        q = exact_quantiles(df, keys, stat, list(trim), "__q")
         df = df.join(q, keys).filter((F.col(stat) >= F.col("__q")[0]) & (F.col(stat) <= F.col("__q")[1]))
     best = F.min_by("channel", F.struct((-F.col(stat) if largest else F.col(stat)).alias("s"), "channel"))
     return df.groupBy(*keys).agg(best.alias("channel"), (F.max(stat) if largest else F.min(stat)).alias(stat))

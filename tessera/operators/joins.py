@@ -6,27 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import RANGE, carried, in_ranges
+
 
 def _neighbours(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, value: str) -> DataFrame:
     """left with __p and __n, the right points (t, v) at or before and at or after each left time.
 
-    Both sides go through two sorts per key (union and windows), never a theta join. Both windows grow
-    from one end, so a key of n rows costs n steps: what follows is what came before in falling time.
-    Of right points with one time, the one with the largest value is taken; left rows without a time
-    have no neighbours.
+    Both sides are sorted together into ranges of (keys, time), never a theta join, and a large key spans many ranges. Windows
+    look inside a range; beyond it stands the last point of the ranges before and the first of those after. Both windows
+    grow from one end, so n rows cost n steps: what follows is what came before in falling time. Of right points with one
+    time, the one with the largest value is taken; left rows without a time have no neighbours.
     """
     a = left.select(*keys, F.col(lt).cast("double").alias("__t"), F.lit(None).cast("double").alias("__v"), F.struct(*left.columns).alias("__l"))
     b = right.filter(F.col(rt).isNotNull()).select(*keys, F.col(rt).cast("double").alias("__t"), F.col(value).cast("double").alias("__v"), F.lit(True).alias("__r"))
-    both = a.unionByName(b, allowMissingColumns=True)
+    both = in_ranges(a.unionByName(b, allowMissingColumns=True), keys, "__t")
+
+    def point(sign: int) -> Column:
+        return F.max(F.when(F.col("__r"), F.struct((sign * F.col("__t")).alias("t"), F.col("__v").alias("v"))))
+
+    both = carried(both, keys, {"__last": point(1), "__first": point(-1)}, before={"__earlier": F.max("__last")}, after={"__later": F.max("__first")})
 
-    def seen(sign: int) -> Column:
-        t = sign * F.col("__t")
+    def seen(sign: int, beyond: str) -> Column:
         # Equal times are peers of a range frame: a point at the left's own time counts on both sides.
-        w = W.partitionBy(*keys).orderBy(t).rangeBetween(W.unboundedPreceding, 0)
-        most = F.max(F.when(F.col("__r"), F.struct(t.alias("t"), F.col("__v").alias("v")))).over(w)
+        w = W.partitionBy(*keys, RANGE).orderBy(sign * F.col("__t")).rangeBetween(W.unboundedPreceding, 0)
+        most = F.coalesce(point(sign).over(w), F.col(beyond))
         return F.when(F.col("__t").isNotNull() & most.isNotNull(), F.struct((sign * most["t"]).alias("t"), most["v"].alias("v")))
 
-    both = both.withColumns({"__p": seen(1), "__n": seen(-1)})
+    both = both.withColumns({"__p": seen(1, "__earlier"), "__n": seen(-1, "__later")})
     return both.filter("__l is not null").select("__l.*", "__p", "__n")
 
 
@@ -85,12 +91,16 @@ def keep_in_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str],
 
 
 def mask_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str], col: str = "v") -> DataFrame:
-    """Samples inside a closed interval become null (J7): a sweep over boundaries, one sort per key."""
+    """Samples inside a closed interval become null (J7): a sweep over boundaries in ranges of (keys, time).
+
+    The number of intervals open where a range begins is carried to it, so a large key spans many ranges.
+    """
     s = samples.select(*keys, F.col("t").alias("__t"), F.lit(0).alias("__d"), F.lit(1).alias("__o"), F.struct(*samples.columns).alias("__s"))
     up = intervals.select(*keys, F.col("t_start").alias("__t"), F.lit(1).alias("__d"), F.lit(0).alias("__o"))
     down = intervals.select(*keys, F.col("t_stop").alias("__t"), F.lit(-1).alias("__d"), F.lit(2).alias("__o"))
-    both = s.unionByName(up, allowMissingColumns=True).unionByName(down, allowMissingColumns=True)
-    depth = F.sum("__d").over(W.partitionBy(*keys).orderBy("__t", "__o").rowsBetween(W.unboundedPreceding, 0))
+    both = in_ranges(s.unionByName(up, allowMissingColumns=True).unionByName(down, allowMissingColumns=True), keys, "__t")
+    both = carried(both, keys, {"__change": F.sum("__d")}, before={"__open": F.sum("__change")})
+    depth = F.coalesce("__open", F.lit(0)) + F.sum("__d").over(W.partitionBy(*keys, RANGE).orderBy("__t", "__o").rowsBetween(W.unboundedPreceding, 0))
     return both.withColumn("__in", depth > 0).filter("__s is not null").select("__s.*", "__in").withColumn(col, F.when(~F.col("__in"), F.col(col))).drop("__in")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import exact_quantiles
+
 RUN = ["subject", "run"]
 
 
@@ -141,10 +143,9 @@ def gauss_smooth(df: DataFrame, col: str, keys: list[str], order: str, length: i
     return rows.select(*keys, "__r.__row.*", F.get("__s", F.col("__i")).alias(out or f"{col}_smoothed"))
 
 
-def median_by(df: DataFrame, keys: list[str], col: str, q: float = 0.5, approx: bool = False, out: str = "threshold") -> DataFrame:
-    """Quantile per key with linear interpolation; `approx` for keys too large for an exact one."""
-    how = F.percentile_approx(col, q) if approx else F.percentile(col, q)
-    return df.groupBy(*keys).agg(how.alias(out))
+def median_by(df: DataFrame, keys: list[str], col: str, q: float = 0.5, out: str = "threshold") -> DataFrame:
+    """Exact quantile per key with linear interpolation (A6, A7), for keys of any size; null where a key has no value."""
+    return exact_quantiles(df, keys, col, [q], "__q").select(*keys, F.col("__q")[0].alias(out))
 
 
 def zone_label(df: DataFrame, by: str, scope: list[str], closed: str = "out", q_low: float = 0.5, q_high: float | None = None) -> DataFrame:

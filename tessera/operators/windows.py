@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import t_quantile
+from tessera.operators.ranges import RANGE, carried, exact_quantiles, in_ranges
 
 
 def moving_avg(df: DataFrame, col: str, keys: list[str], order: list[str], n: int, edge: str = "nearest", out: str = "moving") -> DataFrame:
@@ -26,29 +27,22 @@ def moving_avg(df: DataFrame, col: str, keys: list[str], order: list[str], n: in
 
 
 def equal_count_bins(df: DataFrame, x: str, k: int, keys: list[str], y: str, tie: str) -> DataFrame:
-    """k bins of equal counts after sorting, the first n mod k one larger; mean of x and y per bin."""
-    b = df.withColumn("bin", F.ntile(k).over(W.partitionBy(*keys).orderBy(x, tie)))
-    return b.groupBy(*keys, "bin").agg(F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), F.count("*").alias("n"))
+    """k bins of equal counts after sorting, the first n mod k one larger; mean of x and y per bin.
 
-
-def equal_count_bins_global(df: DataFrame, x: str, k: int, y: str, tie: str) -> DataFrame:
-    """The same without a key, distributed: range partitions, their counts, then a rank in each partition.
-
-    No task sees all rows: the offsets are prefix sums over one count per partition. The partition of a
-    row follows from sampled bounds, so the sorted rows are written before they are counted and ranked.
+    Rows are sorted in ranges of (keys, x); a place is that in the range after the counts of the key's ranges before. So a key
+    of any size, or no key at all, spans many tasks.
     """
-    from tessera.plans.session import materialize
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = materialize(df.repartitionByRange(parts, x, tie).withColumn("__p", F.spark_partition_id()), "ranges")
-    counts = s.groupBy("__p").count().withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    counts = counts.withColumn("__n", F.sum("count").over(W.partitionBy()))
-    s = s.join(F.broadcast(counts.drop("count")), "__p")  # one row per partition
-    i = F.row_number().over(W.partitionBy("__p").orderBy(x, tie)) - 1 + F.col("__before")
+    s = carried(in_ranges(df, keys, x), keys, {"__c": F.count("*")}, before={"__before": F.sum("__c")}, total={"__n": F.sum("__c")})
+    i = F.row_number().over(W.partitionBy(*keys, RANGE).orderBy(x, tie)) - 1 + F.coalesce("__before", F.lit(0))
     small, extra = F.floor(F.col("__n") / k), F.col("__n") % k
     edge = extra * (small + 1)
     b = F.when(i < edge, F.floor(i / (small + 1))).otherwise(extra + F.floor((i - edge) / F.greatest(small, F.lit(1)))) + 1
-    return s.withColumn("bin", b.cast("int")).groupBy("bin").agg(F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), F.count("*").alias("n"))
+    return s.withColumn("bin", b.cast("int")).groupBy(*keys, "bin").agg(F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), F.count("*").alias("n"))
+
+
+def equal_count_bins_global(df: DataFrame, x: str, k: int, y: str, tie: str) -> DataFrame:
+    """The same without a key."""
+    return equal_count_bins(df, x, k, [], y, tie)
 
 
 def quantile_bins(df: DataFrame, x: str, k: int, keys: list[str], mode: str = "closed_last", out: str = "bin") -> DataFrame:
@@ -56,7 +50,7 @@ def quantile_bins(df: DataFrame, x: str, k: int, keys: list[str], mode: str = "c
 
     closed_last: bins [e, e') numbered from 0, the last closed on both sides; digitize: the number of inner edges <= x.
     """
-    edges = df.groupBy(*keys).agg(F.percentile(x, F.array(*[F.lit(i / k) for i in range(k + 1)])).alias("__e"))
+    edges = exact_quantiles(df, keys, x, [i / k for i in range(k + 1)], "__e")
     inner = lambda e: F.size(F.filter(F.slice(e, 2, k - 1), lambda q: q <= F.col(x)))
     b = inner(F.col("__e"))
     if mode == "closed_last":
@@ -164,13 +158,18 @@ def concat_runs(df: DataFrame, dt: float) -> DataFrame:
 
 
 def fdr_bh(df: DataFrame, p: str, family: list[str], alpha: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg adjusted p and reject flag per family (W24); null p take no part."""
-    part = W.partitionBy(*family)
-    m, rank = F.count(p).over(part), F.rank().over(part.orderBy(F.col(p).asc_nulls_last()))
-    peers = F.count(p).over(part.orderBy(F.col(p)).rangeBetween(W.unboundedPreceding, 0))
-    x = df.withColumn("__q", F.when(F.col(p).isNotNull(), F.col(p) * m / F.greatest(rank, peers)))
-    q = F.least(F.lit(1.0), F.min("__q").over(part.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0)))
-    return x.withColumn("p_adj", F.when(F.col(p).isNotNull(), q)).withColumn("reject", F.col("p_adj") <= alpha).drop("__q")
+    """Benjamini-Hochberg adjusted p and reject flag per family (W24); null p take no part.
+
+    Families are sorted in ranges of p: a rank is the place in the range after the counts of the ranges before, and the
+    running minimum from the largest p goes on with the minima of the ranges after. A family of any size, or one of all rows, works.
+    """
+    x = carried(in_ranges(df, family, p), family, {"__c": F.count(p)}, before={"__before": F.sum("__c")}, total={"__m": F.sum("__c")})
+    own = W.partitionBy(*family, RANGE)
+    rank = F.coalesce("__before", F.lit(0)) + F.count(p).over(own.orderBy(F.col(p).asc_nulls_first()).rangeBetween(W.unboundedPreceding, 0))
+    x = x.withColumn("__q", F.when(F.col(p).isNotNull(), F.col(p) * F.col("__m") / rank)).drop("__before", "__m")
+    x = carried(x, family, {"__least": F.min("__q")}, after={"__next": F.min("__least")})
+    q = F.least(F.lit(1.0), F.min("__q").over(own.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0)), F.col("__next"))
+    return x.withColumn("p_adj", F.when(F.col(p).isNotNull(), q)).withColumn("reject", F.col("p_adj") <= alpha).drop("__q", "__next", RANGE)
 
 
 def bonferroni(n_clusters: int, df_resid: float, alpha: float = 0.05, points: int = 30) -> tuple[float, float]:
