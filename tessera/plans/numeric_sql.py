@@ -124,13 +124,15 @@ _add(
 
 # Trials.
 
-_SWEEP = [(0.0, 0), *((s, int(4 * s + 0.5)) for s in (1.0, 2.5, 10.0))]
+# Kernels folded to the period of a mirrored run, once per length of a run; a trial then meets each other trial and its mirror.
 _add(
     "a33_smoothing_sweep", V_TRIALS,
-    _table("sg", "sigma, radius", _SWEEP)
-    + ", k0 as (select sigma::double as sigma, unnest(range(-radius, radius + 1))::int as k from sg), k1 as (select *, case when sigma > 0 then exp(-0.5 * (k / sigma) ** 2) else 1.0 end as g from k0), ke as (select sigma, k, g / sum(g) over (partition by sigma) as w from k1), "
-    "nn as (select subject, run, count(*) as n from vt group by 1, 2), fo as (select sigma, subject, run, trial_idx, n, w, ((trial_idx + k) % (2 * n) + 2 * n) % (2 * n) as m from vt join nn using (subject, run), ke), "
-    "sm as (select sigma, fo.subject, fo.run, fo.trial_idx, sum(w * vt.vtc) as x from fo join vt on vt.subject = fo.subject and vt.run = fo.run and vt.trial_idx = case when m < n then m else 2 * n - 1 - m end group by 1, 2, 3, 4), "
+    ", sg as (select unnest(list_prepend(0.0::double, list_transform(range(198), lambda x: 1 + x / 2.0::double))) as sigma), k0 as (select sigma, unnest(range(-floor(4 * sigma + 0.5)::int, floor(4 * sigma + 0.5)::int + 1)) as k from sg), "
+    "k1 as (select *, case when sigma > 0 then exp(-0.5 * (k / sigma) ** 2) else 1.0 end as g from k0), ke as (select sigma, k, g / sum(g) over (partition by sigma) as w from k1), "
+    "nn as (select subject, run, count(*) as n from vt group by 1, 2), fw as (select n, sigma, (k % (2 * n) + 2 * n) % (2 * n) as j, sum(w) as w from (select distinct n from nn), ke group by 1, 2, 3), "
+    "pa as (select a.subject, a.run, a.trial_idx, n, b.vtc, (b.trial_idx - a.trial_idx + 2 * n) % (2 * n) as j1, (4 * n - 1 - b.trial_idx - a.trial_idx) % (2 * n) as j2 from vt a join vt b using (subject, run) join nn using (subject, run)), "
+    "ju as (select subject, run, trial_idx, n, vtc, unnest([j1, j2]) as j from pa), "
+    "sm as (select sigma, subject, run, trial_idx, sum(w * vtc) as x from ju join fw using (n, j) group by 1, 2, 3, 4), "
     "md as (select sigma, subject, run, quantile_cont(x, 0.5) as q from sm group by 1, 2, 3), "
     "df as (select sigma, subject, run, (avg(reaction_time) filter (x < q) - avg(reaction_time) filter (x >= q)) * 1000 as d from sm join md using (sigma, subject, run) join vt using (subject, run, trial_idx) where condition = 'city_correct' group by 1, 2, 3) "
     "select sigma, count(d) as n_runs, round(avg(d), 4) as rt_diff_ms from df group by 1",

@@ -240,9 +240,13 @@ def _(spark, d):
     return T.time_on_task(v_trials(spark, d), RUN, "trial_idx").select(*KEYS, *r("time_on_task"))
 
 
+#: Unsmoothed, and widths from 1 by 0.5 up to 99.5.
+SIGMAS = [0.0, *[1 + k / 2 for k in range(198)]]
+
+
 @query("a33_smoothing_sweep")
 def _(spark, d):
-    return T.smoothing_sweep(v_vtc(spark, d).select(*KEYS, "VTC", "condition", "reaction_time"), [0, 1.0, 2.5, 10.0]).select("sigma", "n_runs", *r("rt_diff_ms", digits=4))
+    return T.smoothing_sweep(v_vtc(spark, d).select(*KEYS, "VTC", "condition", "reaction_time"), SIGMAS).select("sigma", "n_runs", *r("rt_diff_ms", digits=4))
 
 
 @query("g22_trials_to_grid")
