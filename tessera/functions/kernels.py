@@ -214,16 +214,17 @@ def resample_fft(x: np.ndarray, m: int) -> np.ndarray:
 
 
 def morlet_power(x: np.ndarray, fs: float, freqs: np.ndarray) -> np.ndarray:
-    """Power by frequency, wavelets of f / 2 cycles with unit energy."""
-    out = []
+    """Power by frequency (first axis) of series (last axis), wavelets of f / 2 cycles with unit energy."""
+    n, out = x.shape[-1], []
     for f in freqs:
         sd = f / 2 / (2 * np.pi * f)
         t = np.arange(-int(5 * sd * fs), int(5 * sd * fs) + 1) / fs
         w = np.exp(2j * np.pi * f * t - t**2 / (2 * sd**2))
         w = w / np.sqrt(0.5) / np.linalg.norm(w)
-        full = np.convolve(x, w, mode="full")
-        start = (len(full) - len(x)) // 2
-        out.append(np.abs(full[start : start + len(x)]) ** 2)
+        size = n + len(w) - 1
+        full = np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(w, size))
+        start = (size - n) // 2
+        out.append(np.abs(full[..., start : start + n]) ** 2)
     return np.array(out)
 
 

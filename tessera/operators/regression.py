@@ -158,6 +158,122 @@ def drift_design(samples: DataFrame, keys: list[str], order: int, kind: str = "p
     return x.select(*keys, "t", *[c.alias(f"drift{k}") for k, c in enumerate(cols)])
 
 
+MODELS = "models array<struct<design: string, rank: int, rss: double>>, tests array<struct<design: string, tested: string, df1: int, df2: int, f: double, total: double, se: double>>"
+
+
+def _swept(m: np.ndarray, column: int, size: np.ndarray) -> np.ndarray:
+    """One sweep of stacked symmetric matrices on a pivot: that column enters the fit. Returns where it did: not if it is a
+    combination of those that are in, as its pivot is then a rounding error of its `size`."""
+    pivot = m[:, column, column].copy()
+    ok = pivot > 1e-10 * np.maximum(size, 1e-300)
+    row = m[ok, column, :] / pivot[ok, None]
+    col = m[ok][:, :, column].copy()
+    m[ok] -= col[:, :, None] * row[:, None, :]
+    m[ok, column, :] = row
+    m[ok, :, column] = -col / pivot[ok, None]
+    m[ok, column, column] = 1 / pivot[ok]
+    return ok
+
+
+def nested_models(df: DataFrame, y: str, base: dict[str, Column], groups: dict[str, dict[str, Column]], keys: list[str]) -> DataFrame:
+    """All nested least-squares fits of groups of regressors on top of a base, and tests of the groups, per key.
+
+    (keys, n, models, tests). A design is the base ('base') with any of the groups, named 'a+b' in their order; with two groups
+    there are four. `models` has each design's rank and rss. `tests` has, for each design and any of its groups together, the F of
+    their coefficients being 0 and, with its standard error, the sum of these coefficients.
+
+    Spark sums one matrix of products per key over all terms. Sweeping a column into that matrix adds its regressor, so a design
+    costs the sweeps of its last group, and the corner of the matrix is its rss; F follows from two corners, which for least squares
+    is the joint Wald test. Rows with a missing value take no part; a column that is a combination of others is left out of a
+    design's rank, and the tests of a group that adds nothing have no F.
+    """
+    terms = base | {n: c for g in groups.values() for n, c in g.items()}
+    names = [*terms, "__y"]
+    at = {n: i for i, n in enumerate(names)}
+    x = df.select(*keys, *[c.cast("double").alias(f"__t{i}") for i, c in enumerate(terms.values())], F.col(y).cast("double").alias(f"__t{len(terms)}"))
+    x = x.dropna(subset=[f"__t{i}" for i in range(len(names))])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    g = x.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(f"__t{i}") * F.col(f"__t{j}")) for i, j in pairs]).alias("__m"))
+    chosen = [tuple(n for k, n in enumerate(groups) if bits >> k & 1) for bits in range(1 << len(groups))]
+    label = lambda c: "+".join(c) or "base"
+    last = len(names) - 1
+    base_terms, group_terms = list(base), {k: list(v) for k, v in groups.items()}
+
+    @pandas_udf(MODELS)
+    def solve(n: pd.Series, m: pd.Series) -> pd.DataFrame:
+        full = np.zeros((len(m), len(names), len(names)))
+        rows, cols = zip(*pairs, strict=True)
+        full[:, rows, cols] = full[:, cols, rows] = np.stack([np.asarray(v, float) for v in m]) if len(m) else 0
+        count = n.to_numpy()
+        size = full[:, range(len(names)), range(len(names))]
+        state: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for c in chosen:
+            # A design goes on from the one without its last group.
+            mat, inside = (full.copy(), np.zeros((len(m), last), bool)) if not c else (state[c[:-1]][0].copy(), state[c[:-1]][1].copy())
+            for term in base_terms if not c else group_terms[c[-1]]:
+                inside[:, at[term]] = _swept(mat, at[term], size[:, at[term]])
+            state[c] = mat, inside, np.maximum(mat[:, last, last], 0.0)
+        models = [[(label(c), int(state[c][1][i].sum()), float(state[c][2][i])) for c in chosen] for i in range(len(m))]
+        tests = []
+        for i in range(len(m)):
+            own = []
+            for c in chosen[1:]:
+                mat, inside, rss = state[c]
+                for t in chosen[1:]:
+                    if set(t) <= set(c):
+                        less = state[tuple(g for g in c if g not in t)]
+                        df1, df2 = int(inside[i].sum() - less[1][i].sum()), int(count[i] - inside[i].sum())
+                        scale = rss[i] / df2 if df2 > 0 else np.nan
+                        f = max(less[2][i] - rss[i], 0.0) / df1 / scale if df1 > 0 and df2 > 0 and scale > 0 else None
+                        own_terms = [at[n] for g in t for n in group_terms[g] if inside[i, at[n]]]
+                        spread = mat[i][np.ix_(own_terms, own_terms)].sum() * scale
+                        own.append((label(c), label(t), df1, df2, f, float(mat[i, own_terms, last].sum()), float(np.sqrt(spread)) if spread > 0 else None))
+            tests.append(own)
+        return pd.DataFrame({"models": models, "tests": tests})
+
+    return g.select(*keys, "n", solve("n", "__m").alias("__s")).select(*keys, "n", "__s.*")
+
+
+def design_fits(models: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, design, rank, rss) of `nested_models`."""
+    return models.select(*keys, "n", F.explode("models").alias("__d")).select(*keys, "n", "__d.*")
+
+
+def group_tests(models: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, design, tested, df1, df2, f, p, z) of `nested_models` (R5, R20): joint F with p, and z of the coefficients' sum."""
+    x = models.select(*keys, "n", F.explode("tests").alias("__d")).select(*keys, "n", "__d.*")
+    p = F.when(F.col("f").isNotNull(), p_f("f", F.col("df1").cast("double"), F.col("df2").cast("double")))
+    return x.select(*keys, "n", "design", "tested", "df1", "df2", "f", p.alias("p"), F.try_divide("total", "se").alias("z"))
+
+
+def spline_taps(df: DataFrame, x: str, keys: list[str], order: str, n_taps: int, n_splines: int) -> DataFrame:
+    """`df` with s0 .. s{n-1}: the last `n_taps` values of x, the present one first, projected on a B-spline basis.
+
+    Values before the first row count as 0. A spline covers few delays, so each column sums its own only.
+    """
+    b = K.bspline(n_taps, n_splines)
+    w = W.partitionBy(*keys).orderBy(order)
+    lags = {f"__d{d}": F.coalesce(F.lag(x, d).over(w), F.lit(0.0)) for d in range(n_taps)}
+    taps = df.withColumns(lags)
+    made = {f"s{k}": sum((float(b[d, k]) * F.col(f"__d{d}") for d in range(n_taps) if b[d, k]), F.lit(0.0)) for k in range(n_splines)}
+    return taps.withColumns(made).drop(*lags)
+
+
+def bspline_expand(fits: DataFrame, keys: list[str], n_taps: int, n_splines: int, first: int = 0) -> DataFrame:
+    """(keys, delay, h, var): spline coefficients and their covariance mapped back to delays.
+
+    `fits` has beta and cov, the splines from place `first` on. At a delay at most four splines are not 0, so the response is a sum of
+    four coefficients and its variance one of sixteen covariances.
+    """
+    b = K.bspline(n_taps, n_splines)
+    delays = F.array(*[F.struct(F.lit(d).alias("d"), F.array(*[F.struct(F.lit(first + k).alias("k"), F.lit(float(b[d, k])).alias("b")) for k in range(n_splines) if b[d, k]]).alias("w")) for d in range(n_taps)])
+    x = fits.select(*keys, "beta", "cov", F.explode(delays).alias("__d"))
+    add = lambda array, f: F.aggregate(array, F.lit(0.0), lambda s, z: s + f(z))
+    h = add(F.col("__d.w"), lambda z: z["b"] * F.get("beta", z["k"]))
+    var = add(F.col("__d.w"), lambda z: z["b"] * add(F.col("__d.w"), lambda y: y["b"] * F.get(F.get("cov", z["k"]), y["k"])))
+    return x.select(*keys, F.col("__d.d").alias("delay"), h.alias("h"), var.alias("var"))
+
+
 def bspline_compress(taps: DataFrame, keys: list[str], n_taps: int, df: int) -> DataFrame:
     """Delay taps (keys, delay, x) projected on a B-spline basis (keys, spline, x) (R15); the basis has n_taps x df rows."""
     b = K.bspline(n_taps, df)

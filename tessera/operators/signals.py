@@ -87,23 +87,48 @@ def band_logvar(epochs: DataFrame, fs: float, low: float, high: float) -> DataFr
     return epochs.withColumn("logvar", per_series(lambda x: np.log(np.var(K.butter_filtfilt(x, fs, low, high), axis=-1, keepdims=True) + 1e-30), stacked=True)("v")[0])
 
 
-def multitaper_power(epochs: DataFrame, fs: float, win: int, step: int, nw: float = 2.0) -> DataFrame:
-    """Per epoch and window (from 0) the multitaper power by frequency, in long form (…, window, v)."""
+def mean_by_place(epochs: DataFrame, keys: list[str], fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(keys, n, pos, v): mean over epochs, n samples long, of what `fn` makes of each; `fn` maps a matrix of epochs to one of values.
+
+    Values are summed over the epochs of a key in each batch before anything leaves it, so what is shuffled are the
+    values of a key, not of an epoch. Null epochs take no part.
+    """
+    kinds = ", ".join(f"{k} {epochs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sums(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["v"].notna()].assign(__n=lambda d: d["v"].map(len))
+            for key, g in pdf.groupby([*keys, "__n"], dropna=False):
+                total = fn(np.stack([np.asarray(x, dtype=float) for x in g["v"]])).sum(axis=0)
+                yield pd.DataFrame({k: [None if pd.isna(z) else z] for k, z in zip([*keys, "n"], key, strict=True)} | {"epochs": [len(g)], "sums": [total]})
+
+    parts = epochs.select(*keys, "v").mapInPandas(sums, f"{kinds}, n long, epochs long, sums array<double>")
+    x = parts.select(*keys, "n", "epochs", F.posexplode("sums").alias("pos", "s"))
+    return x.groupBy(*keys, "n", "pos").agg((F.sum("s") / F.sum("epochs")).alias("v"))
+
+
+def multitaper_power(epochs: DataFrame, keys: list[str], fs: float, win: int, step: int, nw: float = 2.0) -> DataFrame:
+    """Mean multitaper power (keys, window, f, v) over epochs and tapers, by window (from 0) and frequency."""
 
     def windows(x: np.ndarray) -> np.ndarray:
         starts = range(0, x.shape[-1] - win + 1, step)
         return K.multitaper(np.stack([x[:, s : s + win] for s in starts], axis=1), fs, nw)[1].reshape(len(x), -1)
 
     width = win // 2 + 1
-    x = epochs.withColumn("__p", per_series(windows, stacked=True)("v"))
-    x = x.withColumn("window", F.explode(F.sequence(F.lit(0), (F.size("__p") / width).cast("int") - 1)))
-    return x.withColumn("v", F.slice("__p", F.col("window") * width + 1, width)).drop("__p")
+    x = mean_by_place(epochs, keys, windows)
+    return x.select(*keys, F.floor(F.col("pos") / width).cast("int").alias("window"), (F.col("pos") % width).alias("f"), "v")
+
+
+def ratio_to_baseline(power: DataFrame, keys: list[str], t0: float, fs: float, step: int) -> DataFrame:
+    """`power` (keys, window, f, v) as log10 of its ratio to the mean over the windows that begin before time 0."""
+    before = power.filter(F.col("window") * step / fs + t0 < 0).groupBy(*keys, "f").agg(F.avg("v").alias("__r"))
+    return power.join(before, [*keys, "f"]).withColumn("v", F.log10(F.try_divide("v", "__r"))).drop("__r")
 
 
 def power_ratio(power: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """log10 of mean power over a reference power, by position (G12, G25); both have (keys, pos, v)."""
-    j = power.join(reference.select(*keys, "pos", F.col("v").alias("__r")), [*keys, "pos"])
-    return j.withColumn("v", F.log10(F.greatest(F.try_divide(F.col("v"), F.col("__r")), F.lit(1e-30)))).drop("__r")
+    """log10 of mean power over that of another condition at the same keys (G12, G25); both have (keys, v)."""
+    j = power.join(reference.select(*keys, F.col("v").alias("__r")), keys)
+    return j.withColumn("v", F.log10(F.greatest(F.try_divide("v", "__r"), F.lit(1e-30)))).drop("__r")
 
 
 def alpha_power(epochs: DataFrame, fs: float, band: tuple[float, float] = (8.0, 12.0)) -> DataFrame:
@@ -282,10 +307,9 @@ def source_spectrum(series: DataFrame, source: str, fs: float, nperseg: int) ->
 def morlet_power(epochs: DataFrame, keys: list[str], fs: float, freqs: list[float]) -> DataFrame:
     """Mean wavelet power over epochs (keys, freq, pos, v)."""
     fr = np.array(freqs)
-    x = epochs.withColumn("__p", per_series(lambda x: K.morlet_power(x, fs, fr).ravel())("v")).withColumn("__n", F.size("v"))
-    x = x.select(*keys, "__n", F.posexplode("__p").alias("k", "v"))
-    f = F.element_at(F.array(*[F.lit(float(z)) for z in freqs]), (F.floor(F.col("k") / F.col("__n")) + 1).cast("int"))
-    return x.groupBy(*keys, f.alias("freq"), (F.col("k") % F.col("__n")).alias("pos")).agg(F.avg("v").alias("v"))
+    x = mean_by_place(epochs, keys, lambda m: K.morlet_power(m, fs, fr).swapaxes(0, 1).reshape(len(m), -1))
+    f = F.get(F.array(*[F.lit(float(z)) for z in freqs]), F.floor(F.col("pos") / F.col("n")).cast("int"))
+    return x.select(*keys, f.alias("freq"), (F.col("pos") % F.col("n")).alias("pos"), "v")
 
 
 def channel_products(c: DataFrame, keys: list[str]) -> DataFrame:

@@ -166,6 +166,19 @@ def zone_label(df: DataFrame, by: str, scope: list[str], closed: str = "out", q_
     return df.join(cut, scope).withColumn("zone", F.when(inside, "in").when(outside, "out")).drop("__q")
 
 
+def zone_by_window_mean(trials: DataFrame, samples: DataFrame, keys: list[str], lo: float, hi: float, min_n: int, scope: list[str], on: str = "onset") -> DataFrame:
+    """Zones by the mean of a sampled signal around each trial (W6d): 'in' below the scope's median, else 'out'.
+
+    (keys, trial_idx, mean_v, zone); the window is [on + lo, on + hi). Trials with fewer than `min_n` samples have no mean: they
+    don't count for the median and are dropped.
+    """
+    from tessera.operators.joins import window_mean
+
+    means = window_mean(trials, samples, keys, lo, hi, min_n, on)
+    cut = exact_quantiles(means, scope, "mean_v", [0.5], "__q")
+    return means.join(cut, scope).select(*keys, "trial_idx", "mean_v", F.when(F.col("mean_v") < F.col("__q")[0], "in").otherwise("out").alias("zone"))
+
+
 def zone_confusion(df: DataFrame, keys: list[str] = ["subject", "run", "zone"]) -> DataFrame:  # noqa: B006
     """Counts per zone: correct omission, commission error, correct commission, omission error (A1)."""
     return df.filter("zone is not null").groupBy(*keys).agg(

@@ -172,10 +172,10 @@ def _(spark, d):
     return A.overlap_table(v_weighted(spark, d), "subject", "network", 0.04).select("subject", "network", "n", *r("fraction", digits=6))
 
 
-@query("a27_overlap_pivot", "select subject, count(*) filter (run = 1) as r1, count(*) filter (run = 2) as r2, count(*) filter (run = 3) as r3 from we group by 1", V_WEIGHTED)
+@query("a27_overlap_pivot", "select subject, count(*) filter (run = 1) as r1, count(*) filter (run = 2) as r2, count(*) filter (run = 3) as r3, count(*) filter (run = 4) as r4, count(*) filter (run = 5) as r5, count(*) filter (run = 6) as r6, count(*) filter (run = 7) as r7 from we group by 1", V_WEIGHTED)
 def _(spark, d):
-    x = A.overlap_table(v_weighted(spark, d), "subject", "run").groupBy("subject").pivot("run", [1, 2, 3]).agg(F.sum("n"))
-    return x.select("subject", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"r{k}") for k in (1, 2, 3)])
+    x = A.overlap_table(v_weighted(spark, d), "subject", "run").groupBy("subject").pivot("run", list(range(1, 8))).agg(F.sum("n"))
+    return x.select("subject", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"r{k}") for k in range(1, 8)])
 
 
 @query("a28_effect_summary", "select network, count(distinct subject) as n_subjects, round(avg(x), 3) as mean, count(*) filter (m / 100 < 0.05) as n_sig, round(100 * count(*) filter (m / 100 < 0.05) / count(*), 5) as pct_sig from we group by 1", V_WEIGHTED)

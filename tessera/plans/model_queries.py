@@ -176,6 +176,50 @@ def _(spark, d):
     return R.combine_designs(part("vtc", "VTC"), part("rt", "reaction_time")).groupBy("subject", "regressor").agg(F.round(F.sum("x"), 5).alias("x"))
 
 
+NESTED = (
+    DAYS + ", na as (select subject, vtc as y, day / 10 as d, (trial_type = 'mnt')::double as s, reaction_time as e from da where vtc is not null), "
+    "nb as (select subject, count(*) as n, avg(y) as my, avg(d) as md, avg(s) as ms, avg(e) as me, regr_slope(y, d) as k1, regr_slope(s, d) as k2, regr_slope(e, d) as k3 from na group by 1 having count(*) >= 8), "
+    "nc as (select subject, n, y - my - k1 * (d - md) as y, s - ms - k2 * (d - md) as s, e - me - k3 * (d - md) as e, s as s0, e as e0 from na join nb using (subject)), "
+    "nd as (select subject, any_value(n) as n, sum(y * y) as yy, sum(s * y) as sy, sum(e * y) as ey, sum(s * s) as ss, sum(e * e) as ee, sum(s * e) as se, sum(s0 * s0) as sz, sum(e0 * e0) as ez from nc group by 1), "
+    "ne as (select *, ss * ee - se * se as det from nd where ss > 1e-6 * sz and ee > 1e-6 * ez and ss * ee - se * se > 1e-6 * ss * ee), "
+    "nf as (select *, greatest(yy - sy * sy / ss, 0) as r1, greatest(yy - ey * ey / ee, 0) as r2, greatest(yy - (sy * sy * ee - 2 * sy * ey * se + ey * ey * ss) / det, 0) as r3, (ee * sy - se * ey) / det as b1, (ss * ey - se * sy) / det as b2 from ne) "
+)
+
+
+def nested(spark, d):
+    """Time is the nuisance, rare trials the stimulus, press times the regressor scaled by trial; subjects with all four terms."""
+    x = days(spark, d)
+    groups = {"stim": {"mnt": (F.col("trial_type") == "mnt").cast("double")}, "scaled": {"rt": F.col("reaction_time")}}
+    m = R.nested_models(x, "VTC", {"const": F.lit(1.0), "day": F.col("day") / 10}, groups, ["subject"])
+    return m.filter("n >= 8 and element_at(models, -1).rank = 4")
+
+
+@query("r16_nested_designs", NESTED + "select subject, design, k, round(rss, 6) as rss from (select subject, unnest(['base', 'stim', 'scaled', 'stim+scaled']) as design, unnest([2, 3, 3, 4])::int as k, unnest([yy, r1, r2, r3]) as rss from nf)")
+def _(spark, d):
+    return R.design_fits(nested(spark, d), ["subject"]).select("subject", "design", F.col("rank").alias("k"), *r("rss", digits=6))
+
+
+@query(
+    "r20_group_tests",
+    NESTED + "select subject, design, tested, round(f, 4) as f, round(z, 4) as z from (select subject, unnest(['stim', 'scaled', 'stim+scaled', 'stim+scaled', 'stim+scaled']) as design, unnest(['stim', 'scaled', 'stim', 'scaled', 'stim+scaled']) as tested, "
+    "unnest([(yy - r1) / (r1 / (n - 3)), (yy - r2) / (r2 / (n - 3)), (r2 - r3) / (r3 / (n - 4)), (r1 - r3) / (r3 / (n - 4)), (yy - r3) / 2 / (r3 / (n - 4))]) as f, "
+    "unnest([sy / ss / sqrt(r1 / (n - 3) / ss), ey / ee / sqrt(r2 / (n - 3) / ee), b1 / sqrt(r3 / (n - 4) * ee / det), b2 / sqrt(r3 / (n - 4) * ss / det), (b1 + b2) / sqrt(r3 / (n - 4) * (ee + ss - 2 * se) / det)]) as z from nf)",
+)
+def _(spark, d):
+    return R.group_tests(nested(spark, d), ["subject"]).select("subject", "design", "tested", *r("f", "z", digits=4))
+
+
+TAPS, SPLINES = 12, 5
+
+
+@query("r15_delay_response")
+def _(spark, d):
+    s = v_samples(spark, d).withColumn("x", (F.col("event_type") == "view").cast("double"))
+    x = R.spline_taps(s, "x", ["subject"], "i", TAPS, SPLINES).withColumn("one", F.lit(1.0))
+    fit = R.fit_series(x, ["subject"], "v", ["one", *[f"s{k}" for k in range(SPLINES)]], "i")
+    return R.bspline_expand(fit.filter("n >= 20"), ["subject"], TAPS, SPLINES, first=1).select("subject", "delay", *r("h", "var", digits=4))
+
+
 @query("p16_select_regressors", "select 'Drift ' || k as regressor, count(*) as n from tr, range(2) g(k) group by 1")
 def _(spark, d):
     names = F.array(*[F.lit(x) for x in ("Drift 0", "Drift 1", "HRF city", "GS run 1")])
@@ -339,8 +383,21 @@ def _(spark, d):
 
 @query("g12_multitaper_power")
 def _(spark, d):
-    x = S.multitaper_power(v_epochs(spark, d), FS, 32, 16).select("subject", "window", F.posexplode("v").alias("f", "p"))
-    return x.groupBy("subject", "window", "f").agg(F.round(F.log10(F.avg("p")), 5).alias("log_power"))
+    x = S.multitaper_power(v_epochs(spark, d), ["subject"], FS, 32, 16)
+    return x.select("subject", "window", "f", F.round(F.log10("v"), 5).alias("log_power"))
+
+
+@query("g12_power_over_baseline")
+def _(spark, d):
+    x = S.ratio_to_baseline(S.multitaper_power(v_epochs(spark, d), ["subject"], FS, 32, 16), ["subject"], -0.2, FS, 16)
+    return x.select("subject", "window", "f", F.round("v", 5).alias("log_ratio"))
+
+
+@query("g12_power_over_condition")
+def _(spark, d):
+    p = S.multitaper_power(v_epochs(spark, d), ["event"], FS, 32, 16)
+    x = S.power_ratio(p, p.filter("event = 0").drop("event"), ["window", "f"])
+    return x.select("event", "window", "f", F.round("v", 5).alias("log_ratio"))
 
 
 @query("g13_alpha_power")
@@ -415,11 +472,24 @@ def _(spark, d):
     return S.source_spectrum(v_epochs(spark, d), "event", FS, 32).select("event", "pos", *r("v", digits=8))
 
 
+#: Thirty frequencies from 2 to 24 Hz.
+MORLET = [float(f) for f in np.geomspace(2, 24, 30)]
+
+
 @query("g25_morlet_power")
 def _(spark, d):
-    p = S.morlet_power(v_epochs(spark, d), ["event"], FS, [float(f) for f in np.geomspace(4, 24, 6)])
-    top, low = p.filter("event = 0").drop("event"), p.filter("event = 1").select("freq", "pos", F.col("v").alias("w"))
-    return top.join(low, ["freq", "pos"]).select(F.round("freq", 6).alias("freq"), "pos", F.round(C.db_ratio(F.col("v"), F.col("w")), 5).alias("db"))
+    p = S.morlet_power(v_epochs(spark, d), ["event"], FS, MORLET)
+    return p.select("event", F.round("freq", 6).alias("freq"), "pos", F.round(10 * F.log10("v"), 5).alias("db"))
+
+
+@query("g25_morlet_in_out")
+def _(spark, d):
+    # The criterion of an epoch is its mean; epochs below their subject's median are in the zone.
+    e = v_epochs(spark, d).withColumn("crit", F.aggregate("v", F.lit(0.0), lambda s, x: s + x))
+    z = T.zone_label(e, "crit", ["subject"])
+    p = S.morlet_power(z, ["event", "zone"], FS, MORLET)
+    low, high = (p.filter(F.col("zone") == k).select("event", "freq", "pos", F.col("v").alias(k)) for k in ("in", "out"))
+    return low.join(high, ["event", "freq", "pos"]).select("event", F.round("freq", 6).alias("freq"), "pos", F.round(C.db_ratio(F.col("in"), F.col("out")), 5).alias("db"))
 
 
 @query("g26_pc_scores")

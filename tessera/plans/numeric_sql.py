@@ -218,12 +218,14 @@ def _detrended(source: str, keys: str) -> str:
     return f", de as (select {keys}, i, x - avg(x) {w} - (i - avg(i) {w}) * (sum(x * i) {w} - avg(x) {w} * sum(i) {w}) / (sum(i * i) {w} - avg(i) {w} * sum(i) {w}) as x from {source}) "
 
 
-_add(
-    "g12_multitaper_power", V_EPOCHS,
-    _LONG + _tapers(32, 2.0, 3) + ", s0 as (select subject, trial_idx, channel, s, i - s as i, x from (select *, unnest(range(0, 33, 16)) as s from lo) where i >= s and i < s + 32)" + _detrended("s0", "subject, trial_idx, channel, s")
-    + ", tp as (select subject, trial_idx, channel, s, k, de.i, x * h as x from de join ta on ta.i = de.i)" + _fourier("ft", "tp", "subject, trial_idx, channel, s, k", "x", 32)
-    + 'select subject, (s // 16)::int as "window", f, round(log10(avg((re * re + im * im) / 64)), 5) as log_power from ft group by 1, 2, 3',
+_MULTITAPER = (
+    _LONG + _tapers(32, 2.0, 3) + ", s0 as (select subject, event, trial_idx, channel, s, i - s as i, x from (select *, unnest(range(0, 33, 16)) as s from lo) where i >= s and i < s + 32)" + _detrended("s0", "subject, event, trial_idx, channel, s")
+    + ", tp as (select subject, event, trial_idx, channel, s, k, de.i, x * h as x from de join ta on ta.i = de.i)" + _fourier("ft", "tp", "subject, event, trial_idx, channel, s, k", "x", 32)
 )
+_add("g12_multitaper_power", V_EPOCHS, _MULTITAPER + 'select subject, (s // 16)::int as "window", f, round(log10(avg((re * re + im * im) / 64)), 5) as log_power from ft group by 1, 2, 3')
+_MEANS = ', pw as (select {0}, (s // 16)::int as "window", f, avg(re * re + im * im) as p from ft group by 1, 2, 3) '
+_add("g12_power_over_baseline", V_EPOCHS, _MULTITAPER + _MEANS.format("subject") + 'select subject, "window", f, round(log10(p / avg(case when "window" * 16 / 64 - 0.2 < 0 then p end) over (partition by subject, f)), 5) as log_ratio from pw')
+_add("g12_power_over_condition", V_EPOCHS, _MULTITAPER + _MEANS.format("event") + 'select pw.event, pw."window", pw.f, round(log10(pw.p / z.p), 5) as log_ratio from pw join pw z on z.event = 0 and z."window" = pw."window" and z.f = pw.f')
 _add(
     "g13_alpha_power", V_EPOCHS,
     _LONG + _tapers(64, 2.0, 3) + _detrended("lo", "subject, trial_idx, channel") + ", tp as (select subject, trial_idx, channel, k, de.i, x * h as x from de join ta on ta.i = de.i)"
@@ -243,14 +245,16 @@ _add(
     "select subject, trial_idx, channel, f, round(c, 5) as coherence, round((coalesce(lag(c) over w, c) + c + coalesce(lead(c) over w, c)) / 3, 5) as smooth from m window w as (partition by subject, trial_idx, channel order by f)",
 )
 _SD = 1 / (4 * math.pi)
-_add(
-    "g25_morlet_power", V_EPOCHS,
-    _LONG + _table("fq", "freq", [(float(f),) for f in np.geomspace(4, 24, 6)])
+# Epochs of a condition have one wavelet transform each; sums over them come last.
+_MORLET = (
+    _LONG + _table("fq", "freq", [(float(f),) for f in np.geomspace(2, 24, 30)])
     + f", wv as (select freq, u::int as u, cos(2 * pi() * freq * u / 64) * exp((u / 64.0) ** 2 / -(2 * {_SD!r} ** 2)) as wr, sin(2 * pi() * freq * u / 64) * exp((u / 64.0) ** 2 / -(2 * {_SD!r} ** 2)) as wi from fq, range(-25, 26) r(u)), nr as (select freq, sum(wr * wr + wi * wi) as s from wv group by 1), "
-    "cv as (select event, trial_idx, channel, freq, i + u as pos, sum(x * wr) as re, sum(x * wi) as im from lo, wv where event in (0, 1) and i + u between 0 and 63 group by 1, 2, 3, 4, 5), "
-    "p as (select event, freq, pos, avg(2 * (re * re + im * im) / s) as v from cv join nr using (freq) group by 1, 2, 3) "
-    "select round(a.freq, 6) as freq, a.pos, round(10 * log10(a.v / b.v), 5) as db from p a join p b on a.freq = b.freq and a.pos = b.pos where a.event = 0 and b.event = 1",
+    "cr as (select *, avg(x) over (partition by trial_idx, channel) as c from lo), md as (select subject, quantile_cont(c, 0.5) as q from cr where i = 0 group by 1), zo as (select cr.*, case when c < q then 'in' else 'out' end as zone from cr join md using (subject)), "
+    "cv as (select event, zone, trial_idx, channel, freq, i + u as pos, sum(x * wr) as re, sum(x * wi) as im from zo, wv where i + u between 0 and 63 group by 1, 2, 3, 4, 5, 6), "
 )
+_POWER = "avg(2 * (re * re + im * im) / s)"
+_add("g25_morlet_power", V_EPOCHS, _MORLET + f"p as (select event, freq, pos, {_POWER} as v from cv join nr using (freq) group by 1, 2, 3) select event, round(freq, 6) as freq, pos, round(10 * log10(v), 5) as db from p")
+_add("g25_morlet_in_out", V_EPOCHS, _MORLET + f"p as (select event, zone, freq, pos, {_POWER} as v from cv join nr using (freq) group by 1, 2, 3, 4) select event, round(a.freq, 6) as freq, pos, round(10 * log10(a.v / b.v), 5) as db from p a join p b using (event, freq, pos) where a.zone = 'in' and b.zone = 'out'")
 _add(
     "r15_bspline_compress", V_EPOCHS,
     _LONG + _table("ba", "i, spline, b", [(d, k, float(K.bspline(64, 6)[d, k])) for d in range(64) for k in range(6)])

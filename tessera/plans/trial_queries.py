@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import trials as T
-from tessera.plans.views import V_TRIALS, v_trials
+from tessera.plans.views import V_TRIALS, v_samples, v_trials
 
 RUN = ["subject", "run"]
 KEYS = ["subject", "run", "trial_idx"]
@@ -229,6 +229,19 @@ def _(spark, d):
     return T.zone_label(t, "rt", ["subject"]).groupBy("subject", "zone").agg(F.count("*").alias("n"))
 
 
+PUPIL = ", sa as (select user_id as subject, row_number() over (partition by user_id order by ts, event_id) - 1 as i, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6 as t, value as v, event_type from events), pm as (select l.subject, l.i as trial_idx, avg(s.v) as m from sa l join sa s on l.subject = s.subject and s.event_type = 'view' and s.t >= l.t - 86400 and s.t < l.t + 4 * 86400 where l.event_type in ('purchase', 'error') group by 1, 2 having count(*) >= 2), th as (select subject, quantile_cont(m, 0.5) as q from pm group by 1) "
+
+
+@query("w6d_zone_by_pupil", PUPIL + "select subject, trial_idx, round(m, 5) as mean_v, case when m < q then 'in' else 'out' end as zone from pm join th using (subject)")
+def _(spark, d):
+    # Views stand for pupil samples, a day for the half second before a trial.
+    s = v_samples(spark, d)
+    trials = s.filter("event_type in ('purchase', 'error')").select("subject", F.col("i").alias("trial_idx"), F.col("t").alias("onset"))
+    day = 86400.0
+    x = T.zone_by_window_mean(trials, s.filter("event_type = 'view'"), ["subject"], -day, 4 * day, 2, ["subject"])
+    return x.select("subject", "trial_idx", *r("mean_v", digits=5), "zone")
+
+
 @query("w7_sliding_trials", ", q as (select subject, run, quantile_cont(reaction_time, 0.8) filter (condition = 'city_correct') as q80, count(*) as n from vt group by 1, 2), wi as (select vt.*, q80, unnest(range(greatest(0, ceil((trial_idx - 19) / 5)::int), least(floor(trial_idx / 5), floor((n - 20) / 5))::int + 1))::int as window_id from vt join q using (subject, run) where n >= 20) select subject, run, window_id, window_id * 5 + 9.5::double as centre, round(count(*) filter (condition = 'mnt_incorrect') / nullif(count(*) filter (trial_type = 'mnt'), 0), 6) as fa_rate, round(count(*) filter (condition = 'city_correct' and reaction_time > q80) / nullif(count(*) filter (condition = 'city_correct'), 0), 6) as slow_share, round(avg(reaction_time) filter (condition = 'city_correct'), 6) as rt_mean, round(case when count(*) filter (condition = 'city_correct') >= 2 then stddev_pop(reaction_time) filter (condition = 'city_correct') / avg(reaction_time) filter (condition = 'city_correct') end, 6) as rt_cv, round(avg(vtc), 6) as vtc_mean from wi group by 1, 2, 3")
 def _(spark, d):
     x = T.sliding_trials(v_vtc(spark, d), 20, 5)

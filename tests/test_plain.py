@@ -244,7 +244,27 @@ def r31(spark):
     return out
 
 
+def r15(spark):
+    from tessera.functions import kernels as K
+
+    out, b = {}, K.bspline(12, 5)
+    for subject, g in v_samples(spark, SF).toPandas().sort_values("i").groupby("subject"):
+        x, y = (g["event_type"] == "view").to_numpy(float), g["v"].to_numpy(float)
+        if len(y) < 20:
+            continue
+        lags = np.array([[x[i - d] if i >= d else 0.0 for d in range(12)] for i in range(len(x))])
+        design = np.column_stack([np.ones(len(y)), lags @ b])
+        pinv = np.linalg.pinv(design)
+        beta = pinv @ y
+        e = y - design @ beta
+        cov = pinv @ pinv.T * (e @ e) / (len(y) - np.linalg.matrix_rank(design))
+        for d in range(12):
+            out[(subject, d)] = (b[d] @ beta[1:], b[d] @ cov[1:, 1:] @ b[d])
+    return out
+
+
 PLAIN = {
+    "r15_delay_response": (r15, ["subject", "delay"], ["h", "var"], 2e-4),
     "r18_fit_ar_irls": (r18, ["subject", "run"], ["b1", "order", "n"], 5e-5), "r19_fit_huber": (r19, ["subject"], ["b0", "b1"], 5e-5), "r26_robust_group_t": (r26, [], ["mean", "t", "p", "n"], 5e-5),
     "r27_ar_loglik": (r27, ["subject"], ["p", "loglik"], 1e-4), "r31_prewhitened_xcorr": (r31, ["subject", "run", "lag"], ["r"], 2e-5), "w21_find_peaks": (w21, ["subject", "i"], [], 0),
     "g11_band_logvar": (g11, ["subject", "trial_idx", "channel"], ["logvar"], 2e-5), "g14_band_power_at": (g14, ["subject", "trial_idx", "channel", "sample"], ["power"], 2e-8),
