@@ -220,43 +220,42 @@ def pupil_pipeline(gaze: DataFrame, blinks: DataFrame, keys: list[str], hz: floa
     return runs.filter(F.size("__x") >= 3).select(*keys, clean(F.transform("__x", lambda s: s["t"]), F.transform("__x", lambda s: s["v"])).alias("v"))
 
 
-def xcorr(a: DataFrame, b: DataFrame, keys: list[str], max_lag: int, norm: str = "n") -> DataFrame:
+def xcorr(a: DataFrame, b: DataFrame, keys: list[str], max_lag: int, norm: str = "n", block: int = 4096) -> DataFrame:
     """(keys, lag, r) of z-scored series (keys, i, v) (G20, G21): a at i against b at i + lag.
 
-    norm='n' divides by n, 'overlap' by n - |lag|. Each side is packed to one array per key, a series of one
-    run, and lags are sums of products of shifted arrays. A lag without a pair of samples has no row.
+    norm='n' divides by n, 'overlap' by n - |lag|. The series are cut in blocks of `block` places, those of b with `max_lag` more to
+    either side, so a series of any length spans many tasks; a block gives a sum of products per lag, and Spark adds them. Means and
+    deviations are aggregates of the key. A lag without a pair of samples has no row, one without a pair of values a null.
     """
-    from tessera.functions.scalars import zscore
-
-    side = lambda df, c: df.withColumn("z", zscore("v", keys)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "z"))).alias(c))
-
-    @pandas_udf(ArrayType(DoubleType()))
-    def lagged(ia: pd.Series, za: pd.Series, ib: pd.Series, zb: pd.Series) -> pd.Series:
+    size, wide = block, block + 2 * max_lag
+    stats = lambda df, c: df.groupBy(*keys).agg(F.avg("v").alias(f"m{c}"), F.stddev_pop("v").alias(f"s{c}"), F.count("*").alias(f"n{c}"))
+    packed = lambda df, c: df.groupBy(*keys, "__block").agg(F.collect_list(F.struct("i", F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v"))).alias(c))
+    left = packed(a.withColumn("__block", F.floor(F.col("i") / block)), "pa")
+    spans = F.sequence(F.floor((F.col("i") - max_lag) / block), F.floor((F.col("i") + max_lag) / block))
+    right = packed(b.withColumn("__block", F.explode(spans)), "pb")
+
+    @pandas_udf("array<double>")
+    def products(at: pd.Series, ia: pd.Series, va: pd.Series, ib: pd.Series, vb: pd.Series, ma: pd.Series, sa: pd.Series, mb: pd.Series, sb: pd.Series) -> pd.Series:
         out = []
-        for places, z, other, y in zip(ia, za, ib, zb, strict=True):
-            first = int(min(places[0], other[0]))
-            size = int(max(places[-1], other[-1])) - first + 1
-            dense = np.zeros((4, size))  # values and presence of a and b
-            for k, (at, v) in enumerate(((places, z), (other, y))):
-                v = np.asarray(v, dtype=float)
-                dense[2 * k, np.asarray(at) - first] = np.nan_to_num(v)
-                dense[2 * k + 1, np.asarray(at) - first] = np.where(np.isfinite(v), 1, 1e-9)
-            sums = []
-            for lag in range(-max_lag, max_lag + 1):
-                x, y = (dense[:2, : size - lag], dense[2:, lag:]) if lag >= 0 else (dense[:2, -lag:], dense[2:, : size + lag])
-                pairs = float(x[1] @ y[1]) if x.shape[-1] else 0.0
-                sums += [float(x[0] @ y[0]) if pairs > 0.5 else np.nan, float(pairs > 0)]
-            out.append(sums)
+        for first, places, x, others, y, *moments in zip(at * block, ia, va, ib, vb, ma, sa, mb, sb, strict=True):
+            dense = []
+            for where, values, start, n, mean, sd in ((places, x, first, size, *moments[:2]), (others, y, first - max_lag, wide, *moments[2:])):
+                z = (np.asarray(values, float) - mean) / sd if sd and sd > 0 else np.full(len(values), np.nan)
+                k = np.asarray(where) - int(start)
+                own = np.zeros((3, n))  # values, whether there is one, whether there is a sample
+                own[0, k], own[1, k], own[2, k] = np.nan_to_num(z), np.isfinite(z), 1
+                dense.append(own)
+            shifted = np.lib.stride_tricks.sliding_window_view(dense[1], size, axis=1)
+            out.append(np.einsum("cls,cs->cl", shifted, dense[0]).ravel())
         return pd.Series(out)
 
-    x = side(a, "pa").join(side(b, "pb"), keys).withColumn("n", F.size("pa"))
-    field = lambda c, f: F.transform(c, lambda s: s[f])
-    x = x.withColumn("__s", lagged(field("pa", "i"), field("pa", "z"), field("pb", "i"), field("pb", "z")))
-    x = x.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    at = 2 * (F.col("lag") + max_lag)
-    s = F.get("__s", at)
+    x = left.join(right, [*keys, "__block"]).join(stats(a, "a"), keys).join(stats(b, "b").drop("nb"), keys)
+    x = x.select(*keys, "na", products(F.col("__block").cast("long"), "pa.i", "pa.v", "pb.i", "pb.v", *[F.col(c).cast("double") for c in ("ma", "sa", "mb", "sb")]).alias("__s"))
+    x = x.select(*keys, "na", "__s", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
+    part = lambda k: F.sum(F.get("__s", F.col("lag") + max_lag + k * (2 * max_lag + 1)))
+    g = x.groupBy(*keys, "lag").agg(F.max("na").alias("n"), *[part(k).alias(f"__{k}") for k in range(3)]).filter(F.col("__2") > 0)
     d = F.col("n") if norm == "n" else F.col("n") - F.abs("lag")
-    return x.filter(F.get("__s", at + 1) > 0).select(*keys, "lag", F.try_divide(F.when(~F.isnan(s), s), d).alias("r"))
+    return g.select(*keys, "lag", F.try_divide(F.when(F.col("__1") > 0, F.col("__0")), d).alias("r"))
 
 
 def cross_spectra(series: DataFrame, keys: list[str], fs: float, nperseg: int) -> DataFrame:

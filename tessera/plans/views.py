@@ -18,14 +18,14 @@ def v_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     run = (F.col("event_id") % 2 + 1).cast("int")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    e = e.select("user_id", run.alias("run"), k.alias("k"), "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = e.select("event_id", "user_id", run.alias("run"), k.alias("k"), "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     w = W.partitionBy("user_id", "run")
     mnt = F.col("event_type") == "error"
     pressed = F.when(mnt, F.col("k") % 10 < 3).otherwise(F.col("k") % 10 != 0)
     e = e.select(
         F.col("user_id").alias("subject"),
         "run",
-        (F.row_number().over(w.orderBy("us")) - 1).alias("trial_idx"),
+        (F.row_number().over(w.orderBy("us", "event_id")) - 1).alias("trial_idx"),
         ((F.col("us") - F.min("us").over(w)) / 1e6).alias("onset"),
         F.when(mnt, "mnt").otherwise("city").alias("trial_type"),
         F.when(mnt, 1).otherwise(2).alias("stim"),
@@ -39,7 +39,7 @@ def v_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 V_TRIALS = """
 ev as (select event_id, user_id, event_type, value, (event_id % 2 + 1)::int as run, regexp_extract(props, '[0-9]+')::int as k, epoch_us(ts) as us from events),
 pr as (select *, event_type = 'error' as mnt, case when event_type = 'error' then k % 10 < 3 else k % 10 <> 0 end as pressed from ev),
-tr as (select user_id as subject, run, row_number() over (partition by user_id, run order by us) - 1 as trial_idx,
+tr as (select user_id as subject, run, row_number() over (partition by user_id, run order by us, event_id) - 1 as trial_idx,
   (us - min(us) over (partition by user_id, run)) / 1e6 as onset, case when mnt then 'mnt' else 'city' end as trial_type,
   case when mnt then 1 else 2 end as stim, case when pressed then value else 0.0 end as reaction_time,
   case when mnt then case when pressed then -2 else 0 end else case when pressed then 1 else -1 end end as response_code,
@@ -59,12 +59,12 @@ vt as (select subject, run, trial_idx, onset, trial_type, stim, reaction_time, r
 
 def v_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irregular samples (subject, i, t, v) from all events of a user."""
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "value", "event_type")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
     e = e.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     w = W.partitionBy("user_id")
     return e.select(
         F.col("user_id").alias("subject"),
-        (F.row_number().over(w.orderBy("us")) - 1).alias("i"),
+        (F.row_number().over(w.orderBy("us", "event_id")) - 1).alias("i"),
         ((F.col("us") - F.min("us").over(w)) / 1e6).alias("t"),
         F.col("value").alias("v"),
         "event_type",
@@ -72,7 +72,7 @@ def v_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V_SAMPLES = """
-sa as (select user_id as subject, row_number() over (partition by user_id order by ts) - 1 as i,
+sa as (select user_id as subject, row_number() over (partition by user_id order by ts, event_id) - 1 as i,
   (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6 as t, value as v, event_type from events)
 """
 

@@ -130,3 +130,29 @@ def test_bins_and_trimmed_channels(spark, series):
         if inside:
             best = max(r[3] for r in inside)
             assert top[k] == (min(r[1] for r in inside if r[3] == best), best)
+
+
+@pytest.mark.parametrize("block, max_lag", [(7, 3), (5, 12), (4096, 2)])
+def test_lag_products_by_blocks(spark, block, max_lag):
+    """Blocks of any size give the plain sums: gaps, nulls, a constant series, series of different length."""
+    from tessera.operators import signals as S
+
+    rng = np.random.default_rng(block)
+    series = {(k, side): [(i + first, None if rng.random() < 0.1 else float(rng.normal())) for i in range(n) if rng.random() < 0.9] for k, side, first, n in [("x", "a", 0, 60), ("x", "b", -4, 50), ("y", "a", 3, 9), ("y", "b", 0, 30), ("only", "a", 0, 5)]}
+    series |= {("flat", s): [(i, 2.0) for i in range(6)] for s in "ab"}
+    frame = lambda side: spark.createDataFrame([(k, i, v) for (k, s), rows in series.items() if s == side for i, v in rows], "k string, i long, v double").repartition(4)
+    z = {}
+    for key, rows in series.items():
+        values = np.array([v for _, v in rows if v is not None])
+        z[key] = {i: None if v is None or values.std() == 0 else (v - values.mean()) / values.std() for i, v in rows}
+    for norm in ("n", "overlap"):
+        want = {}
+        for k in ("x", "y", "flat"):
+            for lag in range(-max_lag, max_lag + 1):
+                pairs = [(v, z[k, "b"][i + lag]) for i, v in z[k, "a"].items() if i + lag in z[k, "b"]]
+                valid = [p * q for p, q in pairs if p is not None and q is not None]
+                n = len(z[k, "a"]) - (abs(lag) if norm == "overlap" else 0)
+                if pairs:
+                    want[k, lag] = pytest.approx(sum(valid) / n) if valid and n else None
+        got = {(r["k"], r["lag"]): r["r"] for r in S.xcorr(frame("a"), frame("b"), ["k"], max_lag, norm, block).collect()}
+        assert got == want
