@@ -333,10 +333,10 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
 def site_templates(subtrees: DataFrame) -> DataFrame:
     """(host, digest, level) of the subtrees that recur across the articles of their host.
 
-    Each article of a host counts once, with the subtrees of one of its pages, so copies of a page don't make a
-    template. The counts are summed before the shuffle, in which a host with many pages is split by subtree.
+    Each article of a host counts once, with the subtrees of its page with the smallest key, so copies of a page don't
+    make a template and reruns agree. The counts are summed before the shuffle, in which a host with many pages is split by subtree.
     """
-    once = subtrees.groupBy("host", "article").agg(F.first("digests").alias("digests"))
+    once = subtrees.groupBy("host", "article").agg(F.min_by("digests", "key").alias("digests"))
     once = materialize(once.select("host", "digests"), "articles")
     sizes = once.groupBy("host").agg(F.count("*").alias("articles"))
     counts = once.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))

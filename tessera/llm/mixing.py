@@ -85,9 +85,9 @@ def mix(
     seed: int = 7,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Take words of each source up to its exact budget: (id, source, size, source_size, target, taken).
+    """Take words of each source up to its exact budget: (id, source, size, source_size, target, taken, text_md5).
 
-    Each document gets a hash-random key. Within a source, documents in key order fill the budget:
+    Each document gets a key by the hash of its id and text, so rows that share an id, or have none, spread like others. Within a source, documents in key order fill the budget:
     whole epochs first, then the documents whose running size fits, the last one cut so that the
     source gives floor(target) words. Keys are uniform, so the leading key digits are the ranges of a
     range sort; sizes are pre-summed per (source, range), and a document's offset is the sum of the
@@ -95,17 +95,18 @@ def mix(
     spread over many ranges, and the number of ranges follows the row count, so that a range holds about
     `rows_per_range` rows.
 
-    Cases: null text has size 0; a null source is a source of its own, last in order; equal keys (the
-    same id twice) go by id and size; a corpus without words takes nothing; an empty table gives an
+    Cases: null text has size 0; a null source is a source of its own, last in order; rows with one id and text are
+    equal and take what is left in turn; `text_md5` ties a row to its text (null for null); a corpus without words takes nothing; an empty table gives an
     empty result; other columns are not read. The same rows give the same result in any partitioning.
     """
     base = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
+        F.md5(F.col(text_col)).alias("text_md5"),
     )
-    base = materialize(base, "mix")  # (id, source, size, key): the texts are read once
+    base = base.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("text_md5", F.lit("")))))
+    base = materialize(base, "mix")  # the texts are read once
     n = base.count()
     digits = 1
     while 16**digits * rows_per_range < n:
@@ -134,6 +135,7 @@ def mix(
         F.col("source_size").cast("long").alias("source_size"),
         "target",
         taken.cast("long").alias("taken"),
+        "text_md5",
     )
 
 
@@ -146,7 +148,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-         md5(concat('7:', coalesce(cast(doc_id as varchar), ''))) as key
+         md5(concat('7:', coalesce(cast(doc_id as varchar), ''), ':', coalesce(md5(text), ''))) as key
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, row_number() over (order by source asc nulls last) - 1 as rank from s),

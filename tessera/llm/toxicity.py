@@ -88,7 +88,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Factoriza
     order = sorted(range(len(rows)), key=lambda i: (zlib.crc32(rows[i].tobytes()), len(rows[i]), int(labels[i])))
     rows, labels = [rows[i] for i in order], labels[order].astype(np.float64)
     rng = np.random.default_rng(seed)
-    rate = min(max(labels.mean() if len(labels) else 0.5, 1e-3), 1 - 1e-3)
+    rate = min(max(labels.mean() if len(labels) else 0.0, 1e-3), 1 - 1e-3)
     df = np.bincount(np.concatenate(rows), minlength=BUCKETS) if rows else np.zeros(BUCKETS)
     fm = FactorizationMachine(
         float(np.log(rate / (1 - rate))),
@@ -156,6 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Of several labels of an id the largest holds; null labels and texts are left out. Each of these
     documents is used with all of its terms. What comes to the driver is bounded: about `max_docs`
     rows of at most `max_terms` term buckets together; if there are more, fewer documents are taken.
+    Without any label every text scores 0.001 and is predicted 0; with labels of one class only, all score that
+    class's share, kept between 0.001 and 0.999.
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     n = known.count()

@@ -373,6 +373,46 @@ def test_mixing_budgets(spark):
 # 8 toxicity
 
 
+def test_toxicity_against_all_pairs_of_terms(spark):
+    """The score by its formula: every term, and every pair of terms, one by one."""
+    import itertools
+    import math
+    import zlib
+
+    rng = np.random.default_rng(8)
+    words = ["they", "you", "are", "awful", "lovely", "people", "Gardens", "weathered", "été", "漢字", "x1", "under_score"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(120)] + [None, "", "unseen words only", "awful awful AWFUL people"]
+    labels = [(i, int("awful" in (t or "") and "people" in (t or ""))) for i, t in enumerate(texts)] + [(0, None), (3, 0)]
+    fm = toxicity.train(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert (fm.idf > 0).sum() >= 8 and fm.slope != 1.0
+
+    def plain(text):
+        terms = set()
+        for w in re.findall(r"[^\W\d_]+", text or ""):
+            terms |= {w.lower()} | ({w.lower()[:5] + "*"} if len(w) > 5 else set())
+        ids = sorted({zlib.crc32(t.encode()) % 2**18 for t in terms})
+        ids = [i for i in ids if fm.idf[i] > 0]
+        length = math.sqrt(sum(float(fm.idf[i]) ** 2 for i in ids)) or 1.0
+        x = {i: float(fm.idf[i]) / length for i in ids}
+        out = fm.bias + sum(float(fm.linear[i]) * x[i] for i in ids)
+        out += sum(float(np.dot(fm.factors[i].astype(float), fm.factors[j].astype(float))) * x[i] * x[j] for i, j in itertools.combinations(ids, 2))
+        return 1 / (1 + math.exp(-(fm.slope * out + fm.shift)))
+
+    got = toxicity.score(docs(spark, texts), fm).orderBy("doc_id").collect()
+    assert [r["score"] for r in got] == pytest.approx([plain(t) for t in texts], abs=1e-5)
+    assert all(r["predicted"] == (r["score"] >= 0.5) for r in got)
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    fm = toxicity.train(docs(spark, ["some words", None]), none)
+    got = toxicity.score(docs(spark, ["some words", None]), fm).collect()
+    assert [(round(r["score"], 6), r["predicted"]) for r in got] == [(0.001, 0)] * 2
+    one = toxicity.train(docs(spark, ["some words", "other words"]), spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, toxic int"))
+    assert [round(r["score"], 6) for r in toxicity.score(docs(spark, ["words"]), one).collect()] == [0.999]
+    assert toxicity.score(docs(spark, ["x"]).limit(0), fm).count() == 0
+
+
 def test_toxicity_held_out_and_edges(spark):
     d = "/root/testdata/sf0.1"
     from tessera.plans.session import materialize
@@ -384,7 +424,8 @@ def test_toxicity_held_out_and_edges(spark):
     auc = (rank[x.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(x) - n1))
     assert auc > 0.93 and got.count() == spark.read.parquet(f"{d}/documents.parquet").count()
     empty = toxicity.fit([], np.zeros(0))
-    assert [r["score"] for r in toxicity.score(docs(spark, [None, "", "word"]), empty).collect()] == [0.5] * 3
+    got = toxicity.score(docs(spark, [None, "", "word"]), empty).collect()
+    assert [(round(r["score"], 6), r["predicted"]) for r in got] == [(0.001, 0)] * 3
 
 
 def test_factorization_machine_learns_interactions():

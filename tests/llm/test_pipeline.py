@@ -169,7 +169,8 @@ def plain_mix(rows):
     target = {s: 3.0 * total[s] if s in full else level * weight[s] for s in order}
     out = []
     for s in order:
-        own = [(hashlib.md5(f"7:{'' if i is None else i}".encode()).hexdigest(), i, size(t)) for i, t, _, z in rows if z == s]
+        md5 = lambda t: "" if t is None else hashlib.md5(t.encode()).hexdigest()
+        own = [(hashlib.md5(f"7:{'' if i is None else i}:{md5(t)}".encode()).hexdigest(), i, size(t)) for i, t, _, z in rows if z == s]
         budget = int(target[s])
         epochs, rest, at = (budget // total[s], budget % total[s], 0) if total[s] else (0, 0, 0)
         for _, i, n in sorted(own, key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])):
@@ -209,6 +210,7 @@ def test_pipeline_row_for_row(spark, tmp_path):
     assert len(raw) > sizes[0] > sizes[1] >= sizes[2] >= sizes[3]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got), key=str) == sorted(plain_mix(rows), key=str)
+    assert sorted(r["text_md5"] for r in got) == sorted(hashlib.md5(t.encode()).hexdigest() for _, t, *_ in rows)
 
 
 def test_awkward_rows_through_every_stage(spark, tmp_path):
