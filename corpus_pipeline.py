@@ -65,12 +65,12 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document that is left, by source.
+    """Words that the mix takes of each document that is left, by source; `text_md5` ties a row to its text.
 
     Null texts have size 0; a null source is a source of its own, the last; rows that share an id, or have none, are
-    ordered by id and size, so equal ones get what is left in turn.
+    ordered by id and text, and equal ones get what is left in turn.
     """
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "text_md5")
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
