@@ -54,23 +54,27 @@ def component_features(epochs: DataFrame, sfreq: float, t0: float, windows: list
     samples of the other sign (or 0) on each side. Without a crossing on either side, or with an extreme of the wrong
     sign, the area is the window's and the borders are null.
     """
-    out = []
-    n = F.size("v")
-    for lo, hi, sign in windows:
+    out, rest = [], epochs.columns
+    x = epochs
+    for w, (lo, hi, sign) in enumerate(windows):
         a, b = round((lo - t0) * sfreq), round((hi - t0) * sfreq)
         part = F.slice("v", a + 1, b - a + 1)
         peak = F.array_max(part) if sign > 0 else F.array_min(part)
-        i = F.array_position(part, peak).cast("int") - 1 + a
-        crossed = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get("v", k) * sign <= 0)
-        left = F.array_max(F.filter(crossed, lambda k: k < i))
-        right = F.array_min(F.filter(crossed, lambda k: k > i))
+        # In steps, so that nothing is worked out twice.
+        x = x.withColumns({f"__p{w}": peak, f"__c{w}": F.transform("v", lambda y: y * sign <= 0)})
+        x = x.withColumn(f"__i{w}", F.array_position(part, F.col(f"__p{w}")).cast("int") - 1 + a)
+        i, crossed = F.col(f"__i{w}"), F.col(f"__c{w}")
+        back = F.nullif(F.array_position(F.reverse(F.slice(crossed, F.lit(1), i)), True), F.lit(0))
+        ahead = F.nullif(F.array_position(F.slice(crossed, i + 2, F.size("v")), True), F.lit(0))
+        x = x.withColumns({f"__l{w}": (i - back).cast("int"), f"__r{w}": (i + ahead).cast("int")})
+        peak, left, right = (F.col(f"__{c}{w}") for c in "plr")
         ok = (peak * sign > 0) & left.isNotNull() & right.isNotNull()
         start, stop = F.when(ok, left), F.when(ok, right)
         area = F.when(ok, trapz(F.col("v"), 1 / sfreq, left, right)).otherwise(trapz(F.col("v"), 1 / sfreq, a, b))
         out.append(
             F.struct((t0 + i / sfreq).alias("peak_time"), peak.alias("peak_amp"), area.alias("area"), F.lit(sign).alias("sign"), start.alias("start_idx"), stop.alias("end_idx"))
         )
-    return epochs.withColumn("components", F.array(*out))
+    return x.select(*[c for c in rest if c != "components"], F.array(*out).alias("components"))
 
 
 STIMULUS_WINDOWS = [(0.4, 0.7, -1), (0.6, 1.1, 1)]

@@ -121,16 +121,17 @@ def hrf_design(trials: DataFrame, times: DataFrame, keys: list[str], pre: float
     """Gaussian-kernel regressors in sparse form (keys, t, event, kernel, x).
 
     Kernel k (from 1) is exp(-(t - onset + pre - k spacing)^2 / 2 sd^2) times the trial's `value`, for
-    times in [onset - pre, onset + post]. A bucketed range join brings only those times together.
+    times in [onset - pre, onset + post]. A bucketed range join brings only those times together, and the kernels are
+    summed side by side before they become rows.
     """
     from tessera.operators.joins import range_join
 
     iv = trials.select(*keys, "event", "onset", "value", (F.col("onset") - pre).alias("__lo"), (F.col("onset") + post).alias("__hi"))
     j = range_join(times.select(*keys, "t"), iv, keys, "t", "__lo", "__hi", pre + post, closed_right=True)
     n = round((pre + post) / spacing)
-    j = j.withColumn("kernel", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = F.col("t") - F.col("onset") + pre - F.col("kernel") * spacing
-    return j.groupBy(*keys, "t", "event", "kernel").agg(F.sum(F.col("value") * F.exp(-u * u / (2 * sd * sd))).alias("x"))
+    u = lambda k: F.col("t") - F.col("onset") + pre - k * spacing
+    sums = j.groupBy(*keys, "t", "event").agg(*[F.sum(F.col("value") * F.exp(-u(k) * u(k) / (2 * sd * sd))).alias(f"__{k}") for k in range(1, n + 1)])
+    return sums.select(*keys, "t", "event", F.posexplode(F.array(*[F.col(f"__{k}") for k in range(1, n + 1)])).alias("kernel", "x")).withColumn("kernel", F.col("kernel") + 1)
 
 
 def scaled_trials(trials: DataFrame, feature: str, keys: list[str]) -> DataFrame:
@@ -314,7 +315,9 @@ def fit_series(df: DataFrame, keys: list[str], y: str, xs: list[str], order: str
         )
 
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, order, y, *xs).groupBy(*keys).applyInPandas(one, f"{schema}, {FIT}")
+    # Few bytes but much work: a fixed number of partitions is not joined into a few tasks.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*keys, order, y, *xs).repartition(parts, *keys).groupBy(*keys).applyInPandas(one, f"{schema}, {FIT}")
 
 
 def _fit_moments(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:

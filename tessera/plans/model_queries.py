@@ -281,6 +281,17 @@ def _(spark, d):
     return R.hrf_variance(cov, basis(spark), ["subject"]).select("subject", "t", *r("var", digits=4))
 
 
+@query("r22_reweighted_variance", BASIS + ", co as (select a.subject, a.kernel as k1, b.kernel as k2, a.beta * b.beta as c from be a join be b using (subject)), vr as (select subject, var_pop(vtc) as v from vt group by 1), pri as (select avg(v) as p from vr), ha as (select subject, x.t, sum(x.b * c * y.b) as h from co join ba x on x.kernel = k1 join ba y on y.kernel = k2 and y.t = x.t group by 1, 2) select subject, t, round(h * (v + p) / v, 4) as var from ha join vr using (subject), pri where v > 0")
+def _(spark, d):
+    # The prior is the mean over subjects of their residual variance.
+    b = betas(spark, d)
+    cov = b.withColumnRenamed("kernel", "k1").join(b.select("subject", F.col("kernel").alias("k2"), F.col("beta").alias("b2")), "subject").select("subject", "k1", "k2", (F.col("beta") * F.col("b2")).alias("c"))
+    resid = days(spark, d).groupBy("subject").agg(F.var_pop("VTC").alias("v"))
+    prior = resid.agg(F.avg("v").alias("p"))
+    x = R.hrf_variance(cov, basis(spark), ["subject"]).join(resid.filter("v > 0"), "subject").join(F.broadcast(prior))  # one row
+    return x.select("subject", "t", F.round(R.reweighted_variance(F.col("var"), F.col("v"), F.col("p")), 4).alias("var"))
+
+
 FITTED = DAYS + ", f as (select subject, regr_slope(vtc, day) as s, regr_intercept(vtc, day) as c from da group by 1), y as (select subject, run, trial_idx, vtc as y, c + s * day as h from da join f using (subject)) "
 
 
@@ -437,6 +448,14 @@ def _(spark, d):
     return S.resample_fft(v_epochs(spark, d), 32).select(*EP, F.posexplode("v").alias("i", "v")).select(*EP, "i", *r("v"))
 
 
+@query("g18_truncate_common", ", s as (select subject, trial_idx, channel, case when channel = 0 then v[:64 - (trial_idx % 5)::int] else v end as v from ep), c as (select *, min(len(v)) over (partition by trial_idx) as n from s) select subject, trial_idx, channel, n::int as n, round(list_sum(v[:n]), 4) as total from c", V_EPOCHS)
+def _(spark, d):
+    # A channel that ends early cuts the others of its trial.
+    e = v_epochs(spark, d).withColumn("v", F.when(F.col("channel") == 0, F.slice("v", F.lit(1), (64 - F.col("trial_idx") % 5).cast("int"))).otherwise(F.col("v")))
+    x = S.truncate_common(e, ["trial_idx"])
+    return x.select(*EP, F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
 @query("g19_pupil_pipeline")
 def _(spark, d):
     s = v_samples(spark, d).withColumn("t", F.col("i") / 4)
