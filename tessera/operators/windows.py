@@ -71,7 +71,7 @@ def sliding_samples(df: DataFrame, keys: list[str], size: int, step: int, cols:
 
     Windows centred within `edge` samples of either end are dropped. Samples have i from 0 without gaps.
     """
-    x = df.withColumn("__n", F.count("*").over(W.partitionBy(*keys)))
+    x = df.join(df.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
     i = F.col("i")
     first = F.greatest(F.lit(0), F.ceil((i - size + 1) / step)).cast("int")
     last = F.least(F.floor(i / step), F.floor((F.col("__n") - size) / step)).cast("int")

@@ -93,8 +93,9 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "events")
     line = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd-HH-mm-ss"), F.lit(" "), "event_type", F.lit("  Run "), (F.col("event_id") % 3 + 1).cast("string"), F.lit("\nthe cap was moved, see below"))
-    notes = e.groupBy(F.col("user_id").alias("subject")).agg(F.array_join(F.collect_list(line), "\n").alias("value"))
+    # Lines go to files of a bounded length, so a note is a row of bounded size; a subject with many has several.
+    notes = e.select(F.col("user_id").alias("subject"), line.alias("value")).hint("rebalance", "subject")
     path = _folder(spark, "p19")
-    notes.repartition("subject").write.partitionBy("subject").text(path)
+    notes.write.option("maxRecordsPerFile", 10_000).partitionBy("subject").text(path)
     got = IO.parse_folder_notes(IO.read_notes(spark, path))
     return got.groupBy("folder", "task", "run").agg(F.count("*").alias("n"))

@@ -82,9 +82,10 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.repartition("file").write.partitionBy("file").csv(path, sep="\t", header=True, nullValue="n/a")
 
 
-def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Fits and features as Parquet by subject."""
-    df.write.mode(mode).partitionBy("subject").parquet(path)
+def write_results(df: DataFrame, path: str, mode: str = "errorifexists", buckets: int = 64) -> None:
+    """Fits and features as Parquet (S7), subjects in a fixed number of folders by their hash, so that files don't grow with subjects."""
+    bucket = F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int")
+    df.withColumn("bucket", bucket).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def parse_folder_notes(notes: DataFrame) -> DataFrame:
