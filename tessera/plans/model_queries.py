@@ -362,7 +362,7 @@ def series(spark, d):
 
 @query("w4_filtfilt_fir")
 def _(spark, d):
-    return S.filtfilt_fir(series(spark, d)).select("subject", F.posexplode("v").alias("i", "v")).select("subject", "i", *r("v"))
+    return S.filtfilt_fir(v_samples(spark, d), ["subject"]).select("subject", "i", *r("v"))
 
 
 @query("w21_find_peaks")

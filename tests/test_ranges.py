@@ -156,3 +156,16 @@ def test_lag_products_by_blocks(spark, block, max_lag):
                     want[k, lag] = pytest.approx(sum(valid) / n) if valid and n else None
         got = {(r["k"], r["lag"]): r["r"] for r in S.xcorr(frame("a"), frame("b"), ["k"], max_lag, norm, block).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("block", [41, 64, 4096])
+def test_smoothing_by_blocks(spark, block):
+    from tessera.functions import kernels as K
+    from tessera.operators import signals as S
+
+    rng = np.random.default_rng(block)
+    series = {n: rng.normal(size=n).cumsum() for n in (1, 2, 19, 20, 21, 41, 42, 83, 300)}
+    df = spark.createDataFrame([(n, i, float(v)) for n, x in series.items() for i, v in enumerate(x)], "k int, i long, v double").repartition(3)
+    got = {(r["k"], r["i"]): r["v"] for r in S.filtfilt_fir(df, ["k"], block=block).collect()}
+    want = {(n, i): v for n, x in series.items() for i, v in enumerate(K.filtfilt_fir(x, K.gausswin(20)))}
+    assert got.keys() == want.keys() and got == pytest.approx(want)
