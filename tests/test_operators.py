@@ -142,9 +142,12 @@ def test_notes_and_gaze(spark, tmp_path):
     assert both == [3.0, None] and either == [3.0, 4.0]
 
 
-def test_results_are_written_by_subject(spark, tmp_path):
-    IO.write_results(spark.createDataFrame([("a", [1.0, 2.0])], "subject string, beta array<double>"), str(tmp_path / "r"))
-    assert (tmp_path / "r" / "subject=a").exists()
+def test_results_are_written_in_a_fixed_number_of_folders(spark, tmp_path):
+    rows = [(f"s{i}", [1.0, float(i)]) for i in range(50)]
+    IO.write_results(spark.createDataFrame(rows, "subject string, beta array<double>"), str(tmp_path / "r"), buckets=4)
+    assert len(list((tmp_path / "r").glob("bucket=*"))) == 4
+    got = spark.read.parquet(str(tmp_path / "r")).select("subject", "beta").collect()
+    assert sorted((r["subject"], r["beta"]) for r in got) == sorted(rows)
 
 
 def test_materialize_reads_back(spark):
