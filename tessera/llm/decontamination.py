@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tessera.plans.session import materialize
+from tessera.plans.session import discard, materialize
 
 WINDOW = 10
 #: Words of items in one automaton (about 40 MB in a Python worker); more items go in further passes.
@@ -221,27 +221,44 @@ def _scan_batches(shared, text_at: tuple[str, ...], first: bool):
     return scan
 
 
-#: Passes that run in one stage, each in a Python worker with its automaton; then the rows are written.
+#: Passes that run in one task after another over a batch, in one Python worker; then the rows are written.
 PASSES_A_STAGE = 4
 
 
-def _all_hits(rows: DataFrame, found: Iterable[Automaton], window: int, text_at: tuple[str, ...]) -> DataFrame:
-    """`rows` with a column `found`: every automaton reads the same text of each row, and its hits join those before.
+def _chained(steps: list):
+    """One mapInArrow body out of several: a batch goes through all of them in one Python worker."""
 
-    A map without a shuffle or a key, so rows with equal or null ids stay apart.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
+
+
+def _all_hits(rows: DataFrame, found: Iterable[Automaton], window: int, text_at: tuple[str, ...], last, last_schema) -> DataFrame:
+    """What `last` makes of `rows` with a column `found`: every automaton reads the same text of each row, and its hits join those before.
+
+    A map without a shuffle or a key, so rows with equal or null ids stay apart. With many automata the rows are written in
+    between; a written table goes when the next one is there.
     """
     sc = rows.sparkSession.sparkContext
     schema = StructType([*rows.schema.fields, StructField("found", _parse_datatype_string(f"n_words long, hits {RANGES}, short {RANGES}, items array<string>"))])
-    n, held = 0, []
+    n, held, steps, written = 0, [], [], None
     for automaton in found:
         if n and n % PASSES_A_STAGE == 0:
-            rows = materialize(rows, "hits")
+            rows, before = materialize(rows.mapInArrow(_chained(steps), schema), "hits"), written
+            if before is not None:
+                discard(before)
+            written, steps = rows, []
             while held:  # what these automata found is written
                 held.pop().destroy()
         held.append(sc.broadcast(automaton))
-        rows = rows.mapInArrow(_scan_batches(held[-1], text_at, not n), schema)
+        steps.append(_scan_batches(held[-1], text_at, not n))
         n += 1
-    return rows if n else rows.mapInArrow(_scan_batches(sc.broadcast(Automaton([], window)), text_at, True), schema)
+    if not n:
+        steps.append(_scan_batches(sc.broadcast(Automaton([], window)), text_at, True))
+    return rows.mapInArrow(_chained([*steps, last]), last_schema)
 
 
 def _ranges(found: dict, min_span: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -315,7 +332,6 @@ def find_contamination(
     repeated items count once per id; an empty benchmark hits nothing; other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = _all_hits(base, automata(benchmark, item_col, item_text_col, window, max_words), window, ("text",))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +351,8 @@ def find_contamination(
             )
 
     kind = base.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(finish, f"id {kind}, {HITS}").withColumnRenamed("id", id_col)
+    found = automata(benchmark, item_col, item_text_col, window, max_words)
+    return _all_hits(base, found, window, ("text",), finish, f"id {kind}, {HITS}").withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVERAGE, **kwargs) -> DataFrame:
@@ -350,8 +367,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = M
     found = automata(benchmark, "item_id", "text", window, kwargs.get("max_words", MAX_AUTOMATON_WORDS))
     # The caller's columns travel in a struct, so their names do not meet `found`.
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    rows = _all_hits(rows, found, window, ("row", "text"))
-    return rows.mapInArrow(_clean_batches(min_span, max_coverage), docs.schema)
+    return _all_hits(rows, found, window, ("row", "text"), _clean_batches(min_span, max_coverage), docs.schema)
 
 
 def _clean_batches(min_span: int, max_coverage: float):
