@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.plans.session import shared_dir
 from tessera.llm import decontamination, html, langid, line_dedup, mixing, secrets, simhash, toxicity
+from tessera.plans.session import shared_dir
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -280,9 +280,10 @@ def test_blocks_of_a_benchmark_read_the_same_text(spark):
     for limit in (100_000, 40):  # one block, and more than four
         n_blocks = len(list(decontamination.automata(bench, "item_id", "text", 10, limit)))
         assert (n_blocks == 1) == (limit == 100_000) and (n_blocks == 1 or n_blocks > decontamination.PASSES_A_STAGE)
+        copies = lambda: set(Path(shared_dir(spark).removeprefix("file://")).glob("tessera/hits-*"))
+        before = copies()
         found = decontamination.find_contamination(x, bench, max_words=limit, with_text=True)
-        left = list(Path(shared_dir(spark).removeprefix("file://")).glob("tessera/hits-*"))
-        assert len(left) == (limit == 40)  # only the copy that the last passes read
+        assert len(copies() - before) == (limit == 40)  # only the copy that the last passes read
         out = decontamination.decontaminate(x, bench, max_words=limit)
         assert out.columns == x.columns
         got = sorted(map(str, found.collect())), sorted(map(str, out.collect()))
