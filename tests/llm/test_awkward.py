@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, exact_dedup, html, langid, licenses, line_dedup, mixing, secrets, simhash, toxicity
+from tessera.llm import alignment, decontamination, exact_dedup, html, langid, licenses, line_dedup, mixing, secrets, sentencepieces, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, digest string, `__slot` long, hit boolean, label int"
 LONG = "some words that go on and on, line after line\n" * 8000
@@ -32,6 +33,8 @@ def test_row_for_row(spark, table):
         "mixing": mixing.mix(table),
         "toxicity": toxicity.score(table, fm),
         "benchmark": decontamination.find_contamination(table, bench),
+        "alignment": alignment.align(table, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
+        "pieces": sentencepieces.encode_texts(table, public_tokenizers.path("piece_bpe_32k.model")),
     }
     for name, df in results.items():
         assert df.count() == len(TEXTS), name
