@@ -54,6 +54,25 @@ def scale_by_max(col: str, keys: list[str]) -> Column:
     return F.try_divide(F.col(col), F.max(col).over(W.partitionBy(*keys)))
 
 
+#: Steps of the grid on which computed values are compared: a power of two, so that scaling is exact and decimal values are no borders.
+GRID = 2**30
+
+
+def grid(x: Column) -> Column:
+    """The step of the grid that is nearest to x, as a double.
+
+    Sums of doubles end in noise that depends on their order. Values that are equal but for it share a step, so ties and signs
+    don't hang on it.
+    """
+    scaled = x * F.lit(float(GRID))
+    return F.when(F.abs(x) < float(2**32), F.floor(scaled + 0.5).cast("double")).otherwise(scaled)
+
+
+def grid_round(x: Column, digits: int) -> Column:
+    """x rounded by its step of the grid, so that halves fall the same way whatever the noise."""
+    return F.round(grid(x) / F.lit(float(GRID)), digits)
+
+
 def log_power(x: Column) -> Column:
     """log10 of a power, floored at 1e-30."""
     return F.log10(F.greatest(x, F.lit(FLOOR)))

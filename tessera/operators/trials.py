@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tessera.functions.scalars import grid
 from tessera.operators.ranges import exact_quantiles
 
 RUN = ["subject", "run"]
@@ -153,14 +154,16 @@ def median_by(df: DataFrame, keys: list[str], col: str, q: float = 0.5, out: str
     return exact_quantiles(df, keys, col, [q], "__q").select(*keys, F.col("__q")[0].alias(out))
 
 
-def zone_label(df: DataFrame, by: str, scope: list[str], closed: str = "out", q_low: float = 0.5, q_high: float | None = None) -> DataFrame:
+def zone_label(df: DataFrame, by: str, scope: list[str], closed: str = "out", q_low: float = 0.5, q_high: float | None = None, computed: bool = True) -> DataFrame:
     """zone 'in' below the threshold of the scope, else 'out'; null values have no zone (W6, W6b, W6c, W6d).
 
-    Ties at the threshold are 'out', or 'in' if closed='in'. With q_high, values in between have none.
+    Ties at the threshold are 'out', or 'in' if closed='in'. With q_high, values in between have none. Computed values are
+    compared by their step of the grid, measured ones as they are.
     """
+    steps = grid if computed else (lambda c: c)
     cuts = [q_low] if q_high is None else [q_low, q_high]
-    cut = df.groupBy(*scope).agg(F.percentile(by, F.array(*[F.lit(q) for q in cuts])).alias("__q"))
-    x, low, high = F.col(by), F.col("__q")[0], F.col("__q")[len(cuts) - 1]
+    cut = df.groupBy(*scope).agg(F.percentile(steps(F.col(by)), F.array(*[F.lit(q) for q in cuts])).alias("__q"))
+    x, low, high = steps(F.col(by)), F.col("__q")[0], F.col("__q")[len(cuts) - 1]
     inside = x <= low if closed == "in" else x < low
     outside = x >= high if q_high is not None else x.isNotNull()
     return df.join(cut, scope).withColumn("zone", F.when(inside, "in").when(outside, "out")).drop("__q")
@@ -170,13 +173,14 @@ def zone_by_window_mean(trials: DataFrame, samples: DataFrame, keys: list[str],
     """Zones by the mean of a sampled signal around each trial (W6d): 'in' below the scope's median, else 'out'.
 
     (keys, trial_idx, mean_v, zone); the window is [on + lo, on + hi). Trials with fewer than `min_n` samples have no mean: they
-    don't count for the median and are dropped.
+    don't count for the median and are dropped. Trials that share their samples have equal means: means are compared by their step
+    of the grid.
     """
     from tessera.operators.joins import window_mean
 
-    means = window_mean(trials, samples, keys, lo, hi, min_n, on)
-    cut = exact_quantiles(means, scope, "mean_v", [0.5], "__q")
-    return means.join(cut, scope).select(*keys, "trial_idx", "mean_v", F.when(F.col("mean_v") < F.col("__q")[0], "in").otherwise("out").alias("zone"))
+    means = window_mean(trials, samples, keys, lo, hi, min_n, on).withColumn("__m", grid(F.col("mean_v")))
+    cut = exact_quantiles(means, scope, "__m", [0.5], "__q")
+    return means.join(cut, scope).select(*keys, "trial_idx", "mean_v", F.when(F.col("__m") < F.col("__q")[0], "in").otherwise("out").alias("zone"))
 
 
 def zone_confusion(df: DataFrame, keys: list[str] = ["subject", "run", "zone"]) -> DataFrame:  # noqa: B006

@@ -28,11 +28,26 @@ def r(*cols, digits=6):
     return [F.round(F.col(c), digits).alias(c) for c in cols]
 
 
+def rg(*cols, digits=6):
+    """Columns rounded by their step of the grid."""
+    return [S.grid_round(F.col(c), digits).alias(c) for c in cols]
+
+
+def sql_grid(x):
+    """`scalars.grid` in SQL."""
+    return f"floor(({x}) * {S.GRID} + 0.5)"
+
+
+def sql_round(x, digits=6):
+    """`scalars.grid_round` in SQL."""
+    return f"round({sql_grid(x)} / {S.GRID}, {digits})"
+
+
 def v_vtc(spark, d):
     return T.vtc(v_trials(spark, d))
 
 
-ZONED = ", th as (select subject, quantile_cont(vtc, 0.5) as q from vt group by 1), zo as (select vt.*, case when vtc < q then 'in' when vtc is not null then 'out' end as zone from vt join th using (subject)) "
+ZONED = f", th as (select subject, quantile_cont({sql_grid('vtc')}, 0.5) as q from vt group by 1), zo as (select vt.*, case when {sql_grid('vtc')} < q then 'in' when vtc is not null then 'out' end as zone from vt join th using (subject)) "
 
 
 def v_zoned(spark, d):
@@ -106,9 +121,11 @@ def _(spark, d):
     return v_trials(spark, d).withColumn("scaled", S.scale_by_max("reaction_time", RUN)).select(*KEYS, *r("scaled"))
 
 
-@query("p13_log_power", "select subject, run, trial_idx, round(log10(greatest(reaction_time, 1e-30)), 6) as log_p, round(case when reaction_time > 0 and vtc > 0 then 10 * log10(reaction_time / vtc) end, 6) as db from vt")
+@query("p13_log_power", f"select subject, run, trial_idx, round(log10(greatest(reaction_time, 1e-30)), 6) as log_p, round(case when reaction_time > 0 and {sql_grid('vtc')} > 0 then 10 * log10(reaction_time / vtc) end, 6) as db from vt")
 def _(spark, d):
-    t = v_vtc(spark, d).withColumns({"log_p": S.log_power(F.col("reaction_time")), "db": S.db_ratio(F.col("reaction_time"), F.col("VTC"))})
+    # A deviation that is zero on the grid is noise of the mean: its ratio is null.
+    deviation = F.when(S.grid(F.col("VTC")) > 0, F.col("VTC"))
+    t = v_vtc(spark, d).withColumns({"log_p": S.log_power(F.col("reaction_time")), "db": S.db_ratio(F.col("reaction_time"), deviation)})
     return t.select(*KEYS, *r("log_p", "db"))
 
 
@@ -137,20 +154,23 @@ def _(spark, d):
 RATES = ZONED + ", cf as (select subject, zone, count(*) filter (condition = 'mnt_correct') as co, count(*) filter (condition = 'mnt_incorrect') as ce, count(*) filter (condition = 'city_correct') as cc, count(*) filter (condition = 'city_incorrect') as oe from zo where zone is not null group by 1, 2) "
 
 
-@query("a2_zone_error_rates", RATES + "select subject, zone, co, ce, cc, oe, round(ce / nullif(ce + co, 0), 6) as ce_rate, round(oe / nullif(oe + cc, 0), 6) as oe_rate from cf")
+@query("a2_zone_error_rates", RATES + f"select subject, zone, co, ce, cc, oe, {sql_round('ce / nullif(ce + co, 0)')} as ce_rate, {sql_round('oe / nullif(oe + cc, 0)')} as oe_rate from cf")
 def _(spark, d):
     x = T.zone_error_rates(T.zone_confusion(v_zoned(spark, d), ["subject", "zone"]))
-    return x.select("subject", "zone", "co", "ce", "cc", "oe", *r("ce_rate", "oe_rate"))
+    return x.select("subject", "zone", "co", "ce", "cc", "oe", *rg("ce_rate", "oe_rate"))
 
 
-@query("a3_zone_rt_stats", ZONED + "select subject, zone, round(avg(reaction_time), 6) as rt_mean, round(stddev_samp(reaction_time), 6) as rt_sd from zo where condition = 'city_correct' and zone is not null group by 1, 2")
+@query("a3_zone_rt_stats", ZONED + f"select subject, zone, {sql_round('avg(reaction_time)')} as rt_mean, {sql_round('stddev_samp(reaction_time)')} as rt_sd from zo where condition = 'city_correct' and zone is not null group by 1, 2")
 def _(spark, d):
-    return T.zone_rt_stats(v_zoned(spark, d), ["subject", "zone"]).select("subject", "zone", *r("rt_mean", "rt_sd"))
+    return T.zone_rt_stats(v_zoned(spark, d), ["subject", "zone"]).select("subject", "zone", *rg("rt_mean", "rt_sd"))
+
+
+PRE = {n: f"avg(prt) filter (condition = '{c}' and pc = 'city_correct')" for n, c in (("co", "mnt_correct"), ("ce", "mnt_incorrect"), ("oe", "city_incorrect"))}
 
 
-@query("a4_pre_outcome_rt", ZONED + ", la as (select *, lag(condition) over (partition by subject, run order by trial_idx) as pc, lag(reaction_time) over (partition by subject, run order by trial_idx) as prt from zo) select subject, zone, round(avg(prt) filter (condition = 'mnt_correct' and pc = 'city_correct'), 6) as pre_co, round(avg(prt) filter (condition = 'mnt_incorrect' and pc = 'city_correct'), 6) as pre_ce, round(avg(prt) filter (condition = 'city_incorrect' and pc = 'city_correct'), 6) as pre_oe from la where zone is not null group by 1, 2")
+@query("a4_pre_outcome_rt", ZONED + f", la as (select *, lag(condition) over (partition by subject, run order by trial_idx) as pc, lag(reaction_time) over (partition by subject, run order by trial_idx) as prt from zo) select subject, zone, {sql_round(PRE['co'])} as pre_co, {sql_round(PRE['ce'])} as pre_ce, {sql_round(PRE['oe'])} as pre_oe from la where zone is not null group by 1, 2")
 def _(spark, d):
-    return T.pre_outcome_rt(v_zoned(spark, d)).select("subject", "zone", *r("pre_co", "pre_ce", "pre_oe"))
+    return T.pre_outcome_rt(v_zoned(spark, d)).select("subject", "zone", *rg("pre_co", "pre_ce", "pre_oe"))
 
 
 @query("a6_median_by", "select subject, run, condition, round(quantile_cont(vtc, 0.5), 6) as threshold from vt group by 1, 2, 3")
@@ -163,14 +183,18 @@ def _(spark, d):
     return T.median_by(v_trials(spark, d).filter("condition = 'city_correct'"), RUN, "reaction_time", 0.8, out="q80").select(*RUN, *r("q80"))
 
 
-@query("a30_zone_share", ZONED + "select subject, condition, count(*) as n, round(count(*) filter (zone = 'in') / count(*), 6) as share_in, round(count(*) filter (zone = 'out') / count(*), 6) as share_out from zo where zone is not null group by 1, 2")
+SHARE = {z: f"count(*) filter (zone = '{z}') / count(*)" for z in ("in", "out")}
+IN_MINUS_OUT = "(avg(reaction_time) filter (zone = 'in') - avg(reaction_time) filter (zone = 'out')) * 1000"
+
+
+@query("a30_zone_share", ZONED + f"select subject, condition, count(*) as n, {sql_round(SHARE['in'])} as share_in, {sql_round(SHARE['out'])} as share_out from zo where zone is not null group by 1, 2")
 def _(spark, d):
-    return T.zone_share(v_zoned(spark, d), ["subject", "condition"]).select("subject", "condition", "n", *r("share_in", "share_out"))
+    return T.zone_share(v_zoned(spark, d), ["subject", "condition"]).select("subject", "condition", "n", *rg("share_in", "share_out"))
 
 
-@query("a32_zone_rt_diff", ZONED + "select subject, round((avg(reaction_time) filter (zone = 'in') - avg(reaction_time) filter (zone = 'out')) * 1000, 4) as rt_diff_ms from zo where condition = 'city_correct' group by 1")
+@query("a32_zone_rt_diff", ZONED + f"select subject, {sql_round(IN_MINUS_OUT, 4)} as rt_diff_ms from zo where condition = 'city_correct' group by 1")
 def _(spark, d):
-    return T.zone_rt_diff(v_zoned(spark, d), ["subject"]).select("subject", *r("rt_diff_ms", digits=4))
+    return T.zone_rt_diff(v_zoned(spark, d), ["subject"]).select("subject", *rg("rt_diff_ms", digits=4))
 
 
 @query("w1_fill_linear", "select subject, run, trial_idx, round(rt_filled, 6) as rt_filled from vt")
@@ -213,12 +237,12 @@ def _(spark, d):
     return v_zoned(spark, d).groupBy("subject", "zone").agg(F.count("*").alias("n"))
 
 
-@query("w6b_zone_closed_in", ", th as (select subject, run, quantile_cont(vtc, 0.5) as q from vt group by 1, 2) select subject, run, case when vtc <= q then 'in' when vtc is not null then 'out' end as zone, count(*) as n from vt join th using (subject, run) group by 1, 2, 3")
+@query("w6b_zone_closed_in", f", th as (select subject, run, quantile_cont({sql_grid('vtc')}, 0.5) as q from vt group by 1, 2) select subject, run, case when {sql_grid('vtc')} <= q then 'in' when vtc is not null then 'out' end as zone, count(*) as n from vt join th using (subject, run) group by 1, 2, 3")
 def _(spark, d):
     return T.zone_label(v_vtc(spark, d), "VTC", RUN, closed="in").groupBy(*RUN, "zone").agg(F.count("*").alias("n"))
 
 
-@query("w6c_zone_two_quantiles", ", th as (select subject, quantile_cont(vtc, 0.25) as a, quantile_cont(vtc, 0.75) as b from vt group by 1) select subject, case when vtc < a then 'in' when vtc >= b then 'out' end as zone, count(*) as n from vt join th using (subject) group by 1, 2")
+@query("w6c_zone_two_quantiles", f", th as (select subject, quantile_cont({sql_grid('vtc')}, 0.25) as a, quantile_cont({sql_grid('vtc')}, 0.75) as b from vt group by 1) select subject, case when {sql_grid('vtc')} < a then 'in' when {sql_grid('vtc')} >= b then 'out' end as zone, count(*) as n from vt join th using (subject) group by 1, 2")
 def _(spark, d):
     return T.zone_label(v_vtc(spark, d), "VTC", ["subject"], q_low=0.25, q_high=0.75).groupBy("subject", "zone").agg(F.count("*").alias("n"))
 
@@ -226,20 +250,20 @@ def _(spark, d):
 @query("w6d_zone_by_rt", ", th as (select subject, quantile_cont(x, 0.5) as q from rt group by 1) select subject, case when x < q then 'in' when x is not null then 'out' end as zone, count(*) as n from rt join th using (subject) group by 1, 2")
 def _(spark, d):
     t = v_trials(spark, d).withColumn("rt", F.when(F.col("reaction_time") != 0, F.col("reaction_time")))
-    return T.zone_label(t, "rt", ["subject"]).groupBy("subject", "zone").agg(F.count("*").alias("n"))
+    return T.zone_label(t, "rt", ["subject"], computed=False).groupBy("subject", "zone").agg(F.count("*").alias("n"))
 
 
-PUPIL = ", sa as (select user_id as subject, row_number() over (partition by user_id order by ts, event_id) - 1 as i, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6 as t, value as v, event_type from events), pm as (select l.subject, l.i as trial_idx, avg(s.v) as m from sa l join sa s on l.subject = s.subject and s.event_type = 'view' and s.t >= l.t - 86400 and s.t < l.t + 4 * 86400 where l.event_type in ('purchase', 'error') group by 1, 2 having count(*) >= 2), th as (select subject, quantile_cont(m, 0.5) as q from pm group by 1) "
+PUPIL = f", sa as (select user_id as subject, row_number() over (partition by user_id order by ts, event_id) - 1 as i, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6 as t, value as v, event_type from events), pm as (select l.subject, l.i as trial_idx, avg(s.v) as m from sa l join sa s on l.subject = s.subject and s.event_type = 'view' and s.t >= l.t - 86400 and s.t < l.t + 4 * 86400 where l.event_type in ('purchase', 'error') group by 1, 2 having count(*) >= 2), th as (select subject, quantile_cont({sql_grid('m')}, 0.5) as q from pm group by 1) "
 
 
-@query("w6d_zone_by_pupil", PUPIL + "select subject, trial_idx, round(m, 5) as mean_v, case when m < q then 'in' else 'out' end as zone from pm join th using (subject)")
+@query("w6d_zone_by_pupil", PUPIL + f"select subject, trial_idx, {sql_round('m', 5)} as mean_v, case when {sql_grid('m')} < q then 'in' else 'out' end as zone from pm join th using (subject)")
 def _(spark, d):
     # Views stand for pupil samples, a day for the half second before a trial.
     s = v_samples(spark, d)
     trials = s.filter("event_type in ('purchase', 'error')").select("subject", F.col("i").alias("trial_idx"), F.col("t").alias("onset"))
     day = 86400.0
     x = T.zone_by_window_mean(trials, s.filter("event_type = 'view'"), ["subject"], -day, 4 * day, 2, ["subject"])
-    return x.select("subject", "trial_idx", *r("mean_v", digits=5), "zone")
+    return x.select("subject", "trial_idx", *rg("mean_v", digits=5), "zone")
 
 
 @query("w7_sliding_trials", ", q as (select subject, run, quantile_cont(reaction_time, 0.8) filter (condition = 'city_correct') as q80, count(*) as n from vt group by 1, 2), wi as (select vt.*, q80, unnest(range(greatest(0, ceil((trial_idx - 19) / 5)::int), least(floor(trial_idx / 5), floor((n - 20) / 5))::int + 1))::int as window_id from vt join q using (subject, run) where n >= 20) select subject, run, window_id, window_id * 5 + 9.5::double as centre, round(count(*) filter (condition = 'mnt_incorrect') / nullif(count(*) filter (trial_type = 'mnt'), 0), 6) as fa_rate, round(count(*) filter (condition = 'city_correct' and reaction_time > q80) / nullif(count(*) filter (condition = 'city_correct'), 0), 6) as slow_share, round(avg(reaction_time) filter (condition = 'city_correct'), 6) as rt_mean, round(case when count(*) filter (condition = 'city_correct') >= 2 then stddev_pop(reaction_time) filter (condition = 'city_correct') / avg(reaction_time) filter (condition = 'city_correct') end, 6) as rt_cv, round(avg(vtc), 6) as vtc_mean from wi group by 1, 2, 3")
