@@ -258,26 +258,62 @@ def robust_weights(r: np.ndarray, norm: str = "bisquare") -> np.ndarray:
     return np.where(a <= 1.345, 1.0, 1.345 / np.maximum(a, 1e-300))
 
 
+#: Values of the series that are fitted side by side.
+SIDE_BY_SIDE = 500_000
+
+
 def irls(x: np.ndarray, y: np.ndarray, norm: str = "bisquare", steps: int = 50) -> dict:
     """Robust fit: scale is the median absolute residual / .6745, anew in each step."""
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    root = np.ones(len(y))
+    return irls_many([x], [y], norm, steps)[0]
+
+
+def irls_many(xs: list[np.ndarray], ys: list[np.ndarray], norm: str = "bisquare", steps: int = 50) -> list[dict]:
+    """`irls` of many series, those of like length side by side; each stops at its own step."""
+    out: list[dict] = [{}] * len(ys)
+    order = sorted(range(len(ys)), key=lambda i: len(ys[i]))
+    while order:
+        size = max(1, SIDE_BY_SIDE // max(1, len(ys[order[-1]])))
+        part, order = order[-size:], order[:-size]
+        for i, root in zip(part, _irls_roots([xs[i] for i in part], [ys[i] for i in part], norm, steps), strict=True):
+            fit = ols(xs[i] * root[:, None], ys[i] * root)
+            out[i] = fit | {"resid": ys[i] - xs[i] @ fit["beta"], "weights": root**2}
+    return out
+
+
+def _irls_roots(xs: list[np.ndarray], ys: list[np.ndarray], norm: str, steps: int) -> list[np.ndarray]:
+    """Roots of the last weights of each series; shorter ones are padded with rows of weight 0."""
+    n = np.array([len(y) for y in ys])
+    inside = np.arange(n.max()) < n[:, None]
+    x, y = np.zeros((*inside.shape, xs[0].shape[1])), np.zeros(inside.shape)
+    x[inside], y[inside] = np.concatenate(xs), np.concatenate(ys)
+    beta = np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(xs, ys, strict=True)])
+    roots = inside.astype(float)
+    live = np.flatnonzero(n)
     for _ in range(steps):
-        resid = y - x @ beta
-        scale = np.median(np.abs(resid)) / 0.6745
-        if scale < 1e-12:
+        resid = y[live] - np.einsum("bmk,bk->bm", x[live], beta[live])
+        ranked = np.sort(np.where(inside[live], np.abs(resid), np.inf), axis=1)
+        at, c = np.arange(len(live)), n[live]
+        scale = (ranked[at, (c - 1) // 2] + ranked[at, c // 2]) / 2 / 0.6745
+        spread = ~(scale < 1e-12)
+        live, resid, scale = live[spread], resid[spread], scale[spread]
+        if not len(live):
             break
-        root = np.sqrt(robust_weights(resid / scale, norm))
-        xw = x * root[:, None]
-        gram = xw.T @ xw
+        root = np.sqrt(robust_weights(resid / scale[:, None], norm)) * inside[live]
+        roots[live] = root
+        xw, yw = x[live] * root[:, :, None], y[live] * root
+        gram, right = np.swapaxes(xw, 1, 2) @ xw, np.einsum("bmk,bm->bk", xw, yw)
         # Normal equations are enough for a step; a singular one falls back to the minimum-norm solution.
-        new = np.linalg.solve(gram, xw.T @ (y * root)) if np.linalg.cond(gram) < 1e10 else np.linalg.lstsq(xw, y * root, rcond=None)[0]
-        done = np.max(np.abs(new - beta)) < 1e-8
-        beta = new
-        if done:
+        regular = np.linalg.cond(gram) < 1e10
+        new = np.empty_like(right)
+        new[regular] = np.linalg.solve(gram[regular], right[regular][:, :, None])[:, :, 0]
+        for i in np.flatnonzero(~regular):
+            new[i] = np.linalg.lstsq(xw[i], yw[i], rcond=None)[0]
+        moved = ~(np.max(np.abs(new - beta[live]), axis=1) < 1e-8)
+        beta[live] = new
+        live = live[moved]
+        if not len(live):
             break
-    fit = ols(x * root[:, None], y * root)
-    return fit | {"resid": y - x @ fit["beta"], "weights": root**2}
+    return [r[:k] for r, k in zip(roots, n, strict=True)]
 
 
 def ar_fit(r: np.ndarray, pmax: int) -> np.ndarray:
@@ -313,12 +349,17 @@ def whiten(v: np.ndarray, phi: np.ndarray) -> np.ndarray:
 
 def ar_irls(x: np.ndarray, y: np.ndarray, pmax: int = 30, norm: str = "bisquare", rounds: int = 4, ar: np.ndarray | None = None) -> dict:
     """Robust fit, AR of its residuals, whitening of y and x, refit; one round with given coefficients."""
-    fit = irls(x, y, norm)
-    phi = np.zeros(0)
+    return ar_irls_many([x], [y], pmax, norm, rounds, ar)[0]
+
+
+def ar_irls_many(xs: list[np.ndarray], ys: list[np.ndarray], pmax: int = 30, norm: str = "bisquare", rounds: int = 4, ar: np.ndarray | None = None) -> list[dict]:
+    """`ar_irls` of many series, with the robust fits side by side."""
+    fits = irls_many(xs, ys, norm)
+    phis = [np.zeros(0)] * len(ys)
     for _ in range(1 if ar is not None else rounds):
-        phi = np.asarray(ar, dtype=float) if ar is not None else ar_fit(y - x @ fit["beta"], pmax)
-        fit = irls(whiten(x, phi), whiten(y, phi), norm)
-    return fit | {"ar": phi}
+        phis = [np.asarray(ar, dtype=float) if ar is not None else ar_fit(y - x @ f["beta"], pmax) for x, y, f in zip(xs, ys, fits, strict=True)]
+        fits = irls_many([whiten(x, p) for x, p in zip(xs, phis, strict=True)], [whiten(y, p) for y, p in zip(ys, phis, strict=True)], norm)
+    return [f | {"ar": p} for f, p in zip(fits, phis, strict=True)]
 
 
 def ar_loglik(resid: np.ndarray, phi: np.ndarray) -> float:

@@ -298,26 +298,29 @@ def fit_series(df: DataFrame, keys: list[str], y: str, xs: list[str], order: str
     """A fit per key (R17-R19, R26): 'ols', 'robust' or 'ar_irls'; rows with a missing y or x are left out.
 
     Least squares come from sums of products that Spark makes, so a key may have any number of rows. The
-    iterative fits take one group at a time, which is one series (a channel of a run).
+    iterative fits take a series (a channel of a run) as one packed row, and the series of a batch side by side.
     """
     if method == "ols":
         return _fit_moments(df, keys, y, xs)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values(order).dropna(subset=[y, *xs])
-        x, v = d[xs].to_numpy(dtype=float), d[y].to_numpy(dtype=float)
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        if len(v) <= len(xs):
-            return pd.DataFrame(head | {"beta": [None], "cov": [None], "ar": [None], "n": [len(v)], "df_resid": [None], "scale": [None]})
-        f = K.ols(x, v) if method == "ols" else K.irls(x, v, norm) if method == "robust" else K.ar_irls(x, v, pmax, norm, ar=ar)
-        return pd.DataFrame(
-            head | {"beta": [f["beta"].tolist()], "cov": [f["cov"].tolist()], "ar": [list(map(float, f.get("ar", [])))], "n": [len(v)], "df_resid": [float(f["df"])], "scale": [f["scale"]]}
-        )
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    @pandas_udf(FIT)
+    def fit(rows: pd.Series) -> pd.DataFrame:
+        packed = [np.array([list(r) for r in v], dtype=float).reshape(-1, len(xs) + 1) for v in rows]
+        out = [{"beta": None, "cov": None, "ar": None, "n": len(v), "df_resid": None, "scale": None} for v in packed]
+        enough = [i for i, v in enumerate(packed) if len(v) > len(xs)]
+        x, v = [packed[i][:, 1:] for i in enough], [packed[i][:, 0] for i in enough]
+        fits = K.irls_many(x, v, norm) if method == "robust" else K.ar_irls_many(x, v, pmax, norm, ar=ar)
+        for i, f in zip(enough, fits, strict=True):
+            out[i] |= {"beta": f["beta"].tolist(), "cov": f["cov"].tolist(), "ar": list(map(float, f.get("ar", []))), "df_resid": float(f["df"]), "scale": f["scale"]}
+        return pd.DataFrame(out, columns=["beta", "cov", "ar", "n", "df_resid", "scale"])
+
+    values = [F.col(c).cast("double") for c in (y, *xs)]
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in values])
+    row = F.when(whole, F.struct(F.col(order).alias("o"), F.array(*values).alias("v")))
     # Few bytes but much work: a fixed number of partitions is not joined into a few tasks.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*keys, order, y, *xs).repartition(parts, *keys).groupBy(*keys).applyInPandas(one, f"{schema}, {FIT}")
+    packed = df.select(*dict.fromkeys([*keys, order, y, *xs])).repartition(parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__v"))
+    return packed.select(*keys, fit("__v.v").alias("__f")).select(*keys, "__f.*")
 
 
 def _fit_moments(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:

@@ -86,3 +86,17 @@ def test_resample_and_spline_and_peaks():
     assert K.bspline(50, 8).sum(axis=1) == pytest.approx(np.ones(50))
     v = np.array([0, 3, 0, 5, 0, 0, 0, 4, 0.0])
     assert K.find_peaks(v, 3).tolist() == [3, 7]
+
+
+def test_series_side_by_side_fit_as_one_by_one():
+    rng = np.random.default_rng(8)
+    xs = [np.column_stack([np.ones(n), rng.normal(size=n)]) for n in (3, 4, 9, 33, 34, 120)]
+    ys = [x @ [1.0, 2.0] + rng.standard_t(2, len(x)) for x in xs] + [np.ones(5)]
+    xs.append(np.ones((5, 2)))
+    for norm in ("bisquare", "huber"):
+        for x, y, f in zip(xs, ys, K.irls_many(xs, ys, norm), strict=True):
+            one = K.irls(x, y, norm)
+            assert f["beta"] == pytest.approx(one["beta"], abs=1e-9) and len(f["weights"]) == len(y)
+    for x, y, f in zip(xs, ys, K.ar_irls_many(xs, ys, 3), strict=True):
+        one = K.ar_irls(x, y, 3)
+        assert f["beta"] == pytest.approx(one["beta"], abs=1e-9) and f["ar"] == pytest.approx(one["ar"], abs=1e-9)
