@@ -73,6 +73,21 @@ def grid_round(x: Column, digits: int) -> Column:
     return F.round(grid(x) / F.lit(float(GRID)), digits)
 
 
+#: Parts of a unit in which measured values are counted where their sums must be exact.
+WHOLE = 10**9
+
+
+def whole(x: Column) -> Column:
+    """x in billionths, as a whole number: sums of these and of their squares are exact in any order up to 38 digits."""
+    return F.round(x * F.lit(float(WHOLE))).cast("decimal(38,0)")
+
+
+def half_up(x: Column, digits: int) -> Column:
+    """x rounded by its step of the grid in plain double arithmetic, which every engine repeats to the bit."""
+    p = float(10**digits)
+    return F.signum(x) * F.floor(F.abs(grid(x)) / F.lit(float(GRID)) * p + 0.5) / p
+
+
 def log_power(x: Column) -> Column:
     """log10 of a power, floored at 1e-30."""
     return F.log10(F.greatest(x, F.lit(FLOOR)))

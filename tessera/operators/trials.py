@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tessera.functions.scalars import grid
+from tessera.functions.scalars import WHOLE, grid, whole
 from tessera.operators.ranges import exact_quantiles
 
 RUN = ["subject", "run"]
@@ -117,6 +117,21 @@ def vtc(df: DataFrame, base: str = "pressed", keys: list[str] = RUN) -> DataFram
     return df.withColumn("VTC", F.when(sd > 0, F.abs((F.col("rt_filled") - F.avg(x).over(w)) / sd))).drop("__rt")
 
 
+def exact_vtc(df: DataFrame, keys: list[str] = RUN) -> DataFrame:
+    """`vtc` over pressed trials from whole-number sums, so that it doesn't depend on the order of rows: zones compare it.
+
+    With u the press times in billionths, n their number, s and q the sums of u and its squares, |n u - s| / sqrt(n q - s^2).
+    """
+    rt = F.when(F.col("reaction_time") != 0, F.col("reaction_time"))
+    df = fill(df.withColumn("__rt", rt), "__rt", keys, "trial_idx", out="rt_filled")
+    w, u = W.partitionBy(*keys), whole(F.col("__rt"))
+    df = df.withColumns({"__n": F.count("__rt").over(w), "__s": F.sum(u).over(w), "__q": F.sum(u * u).over(w)})
+    n, s = F.col("__n"), F.col("__s")
+    spread = n * F.col("__q") - s * s
+    deviation = F.abs(n * whole(F.col("rt_filled")) - s)
+    return df.withColumn("VTC", F.when(spread > 0, deviation.cast("double") / F.sqrt(spread.cast("double")))).drop("__rt", "__n", "__s", "__q")
+
+
 def gauss_kernel(length: int | None = 20) -> list[float]:
     """Weights from -r to r: SD (L-1)/5 and r = ceil((L-1)/2) for a length, else SD 12 and r = 48."""
     sd, radius = ((length - 1) / 5, math.ceil((length - 1) / 2)) if length else (12.0, 48)
@@ -198,10 +213,12 @@ def zone_error_rates(confusion: DataFrame) -> DataFrame:
 
 
 def zone_rt_stats(df: DataFrame, keys: list[str] = ["subject", "run", "zone"]) -> DataFrame:  # noqa: B006
-    """Mean and sample SD of correct press times per zone (A3)."""
-    return df.filter("condition = 'city_correct' and zone is not null").groupBy(*keys).agg(
-        F.avg("reaction_time").alias("rt_mean"), F.stddev_samp("reaction_time").alias("rt_sd")
-    )
+    """Mean and sample SD of correct press times per zone (A3), from whole-number sums: the order of rows doesn't matter."""
+    u = whole(F.col("reaction_time"))
+    x = df.filter("condition = 'city_correct' and zone is not null").groupBy(*keys).agg(F.count("reaction_time").alias("__n"), F.sum(u).alias("__s"), F.sum(u * u).alias("__q"))
+    n, s = F.col("__n"), F.col("__s")
+    sd = F.sqrt((n * F.col("__q") - s * s).cast("double") / (n * (n - 1))) / float(WHOLE)
+    return x.select(*keys, F.try_divide(s.cast("double") / float(WHOLE), n).alias("rt_mean"), F.when(n > 1, sd).alias("rt_sd"))
 
 
 def pre_outcome_rt(df: DataFrame, keys: list[str] = ["subject", "zone"]) -> DataFrame:  # noqa: B006
@@ -222,9 +239,10 @@ def zone_share(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def zone_rt_diff(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Correct press time in minus out of the zone, in milliseconds."""
+    """Correct press time in minus out of the zone, in milliseconds (A32), from whole-number sums."""
     x = df.filter("condition = 'city_correct'")
-    mean = lambda z: F.avg(F.when(F.col("zone") == z, F.col("reaction_time")))
+    rt = lambda z: F.when(F.col("zone") == z, F.col("reaction_time"))
+    mean = lambda z: F.try_divide(F.sum(whole(rt(z))).cast("double") / float(WHOLE), F.count(rt(z)))
     return x.groupBy(*keys).agg(((mean("in") - mean("out")) * 1000).alias("rt_diff_ms"))
 
 

@@ -47,11 +47,37 @@ def v_vtc(spark, d):
     return T.vtc(v_trials(spark, d))
 
 
-ZONED = f", th as (select subject, quantile_cont({sql_grid('vtc')}, 0.5) as q from vt group by 1), zo as (select vt.*, case when {sql_grid('vtc')} < q then 'in' when vtc is not null then 'out' end as zone from vt join th using (subject)) "
+def sql_whole(x):
+    """`scalars.whole` in SQL."""
+    return f"round(({x}) * {float(S.WHOLE)}::double)::hugeint"
+
+
+def sql_double(x):
+    """A whole number as the nearest double; the cast from hugeint alone rounds twice."""
+    return f"({x})::varchar::double"
+
+
+def sql_half_up(x, digits=6):
+    """`scalars.half_up` in SQL."""
+    return f"sign({x}) * floor(abs({sql_grid(x)}) / {S.GRID} * 1e{digits} + 0.5) / 1e{digits}"
+
+
+def rh(*cols, digits=6):
+    """Columns rounded by their step of the grid in plain double arithmetic."""
+    return [S.half_up(F.col(c), digits).alias(c) for c in cols]
+
+
+#: VTC from whole-number sums: equal to the bit in any order of rows, so no zone hangs on the noise of sums.
+EXACT = f", ex as (select *, {sql_whole('x')} as u, {sql_whole('rt_filled')} as uf from fi), mo as (select subject, run, count(u) as n, sum(u) as s, sum(u * u) as q from ex group by 1, 2), vz as (select ex.*, case when n * q - s * s > 0 then {sql_double('abs(n * uf - s)')} / sqrt({sql_double('n * q - s * s')}) end as vtc from ex join mo using (subject, run))"
+ZONED = EXACT + f", th as (select subject, quantile_cont({sql_grid('vtc')}, 0.5) as q from vz group by 1), zo as (select vz.*, case when {sql_grid('vtc')} < q then 'in' when vtc is not null then 'out' end as zone from vz join th using (subject)) "
+
+
+def v_exact_vtc(spark, d):
+    return T.exact_vtc(v_trials(spark, d))
 
 
 def v_zoned(spark, d):
-    return T.zone_label(v_vtc(spark, d), "VTC", ["subject"])
+    return T.zone_label(v_exact_vtc(spark, d), "VTC", ["subject"])
 
 
 @query("p1_drop_last_trial", "select subject, run, trial_idx from tr qualify row_number() over (partition by subject, run order by trial_idx desc) > 1")
@@ -160,9 +186,12 @@ def _(spark, d):
     return x.select("subject", "zone", "co", "ce", "cc", "oe", *rg("ce_rate", "oe_rate"))
 
 
-@query("a3_zone_rt_stats", ZONED + f"select subject, zone, {sql_round('avg(reaction_time)')} as rt_mean, {sql_round('stddev_samp(reaction_time)')} as rt_sd from zo where condition = 'city_correct' and zone is not null group by 1, 2")
+MEAN = f"{sql_double('s')} / {float(S.WHOLE)} / nullif(n, 0)"
+
+
+@query("a3_zone_rt_stats", ZONED + f"select subject, zone, {sql_half_up('m')} as rt_mean, {sql_half_up('d')} as rt_sd from (select subject, zone, {MEAN} as m, case when n > 1 then sqrt({sql_double('n * q - s * s')} / (n * (n - 1))) / {float(S.WHOLE)} end as d from (select subject, zone, count(u) as n, sum(u) as s, sum(u * u) as q from (select subject, zone, {sql_whole('reaction_time')} as u from zo where condition = 'city_correct' and zone is not null) group by 1, 2))")
 def _(spark, d):
-    return T.zone_rt_stats(v_zoned(spark, d), ["subject", "zone"]).select("subject", "zone", *rg("rt_mean", "rt_sd"))
+    return T.zone_rt_stats(v_zoned(spark, d), ["subject", "zone"]).select("subject", "zone", *rh("rt_mean", "rt_sd"))
 
 
 PRE = {n: f"avg(prt) filter (condition = '{c}' and pc = 'city_correct')" for n, c in (("co", "mnt_correct"), ("ce", "mnt_incorrect"), ("oe", "city_incorrect"))}
@@ -184,7 +213,7 @@ def _(spark, d):
 
 
 SHARE = {z: f"count(*) filter (zone = '{z}') / count(*)" for z in ("in", "out")}
-IN_MINUS_OUT = "(avg(reaction_time) filter (zone = 'in') - avg(reaction_time) filter (zone = 'out')) * 1000"
+PRESS = {z: f"{sql_double(f"sum(u) filter (zone = '{z}')")} / {float(S.WHOLE)} / nullif(count(u) filter (zone = '{z}'), 0)" for z in ("in", "out")}
 
 
 @query("a30_zone_share", ZONED + f"select subject, condition, count(*) as n, {sql_round(SHARE['in'])} as share_in, {sql_round(SHARE['out'])} as share_out from zo where zone is not null group by 1, 2")
@@ -192,9 +221,9 @@ def _(spark, d):
     return T.zone_share(v_zoned(spark, d), ["subject", "condition"]).select("subject", "condition", "n", *rg("share_in", "share_out"))
 
 
-@query("a32_zone_rt_diff", ZONED + f"select subject, {sql_round(IN_MINUS_OUT, 4)} as rt_diff_ms from zo where condition = 'city_correct' group by 1")
+@query("a32_zone_rt_diff", ZONED + f"select subject, {sql_half_up('d', 4)} as rt_diff_ms from (select subject, ({PRESS['in']} - {PRESS['out']}) * 1000 as d from (select subject, zone, {sql_whole('reaction_time')} as u from zo where condition = 'city_correct') group by 1)")
 def _(spark, d):
-    return T.zone_rt_diff(v_zoned(spark, d), ["subject"]).select("subject", *rg("rt_diff_ms", digits=4))
+    return T.zone_rt_diff(v_zoned(spark, d), ["subject"]).select("subject", *rh("rt_diff_ms", digits=4))
 
 
 @query("w1_fill_linear", "select subject, run, trial_idx, round(rt_filled, 6) as rt_filled from vt")
@@ -237,14 +266,14 @@ def _(spark, d):
     return v_zoned(spark, d).groupBy("subject", "zone").agg(F.count("*").alias("n"))
 
 
-@query("w6b_zone_closed_in", f", th as (select subject, run, quantile_cont({sql_grid('vtc')}, 0.5) as q from vt group by 1, 2) select subject, run, case when {sql_grid('vtc')} <= q then 'in' when vtc is not null then 'out' end as zone, count(*) as n from vt join th using (subject, run) group by 1, 2, 3")
+@query("w6b_zone_closed_in", EXACT + f", th as (select subject, run, quantile_cont({sql_grid('vtc')}, 0.5) as q from vz group by 1, 2) select subject, run, case when {sql_grid('vtc')} <= q then 'in' when vtc is not null then 'out' end as zone, count(*) as n from vz join th using (subject, run) group by 1, 2, 3")
 def _(spark, d):
-    return T.zone_label(v_vtc(spark, d), "VTC", RUN, closed="in").groupBy(*RUN, "zone").agg(F.count("*").alias("n"))
+    return T.zone_label(v_exact_vtc(spark, d), "VTC", RUN, closed="in").groupBy(*RUN, "zone").agg(F.count("*").alias("n"))
 
 
-@query("w6c_zone_two_quantiles", f", th as (select subject, quantile_cont({sql_grid('vtc')}, 0.25) as a, quantile_cont({sql_grid('vtc')}, 0.75) as b from vt group by 1) select subject, case when {sql_grid('vtc')} < a then 'in' when {sql_grid('vtc')} >= b then 'out' end as zone, count(*) as n from vt join th using (subject) group by 1, 2")
+@query("w6c_zone_two_quantiles", EXACT + f", th as (select subject, quantile_cont({sql_grid('vtc')}, 0.25) as a, quantile_cont({sql_grid('vtc')}, 0.75) as b from vz group by 1) select subject, case when {sql_grid('vtc')} < a then 'in' when {sql_grid('vtc')} >= b then 'out' end as zone, count(*) as n from vz join th using (subject) group by 1, 2")
 def _(spark, d):
-    return T.zone_label(v_vtc(spark, d), "VTC", ["subject"], q_low=0.25, q_high=0.75).groupBy("subject", "zone").agg(F.count("*").alias("n"))
+    return T.zone_label(v_exact_vtc(spark, d), "VTC", ["subject"], q_low=0.25, q_high=0.75).groupBy("subject", "zone").agg(F.count("*").alias("n"))
 
 
 @query("w6d_zone_by_rt", ", th as (select subject, quantile_cont(x, 0.5) as q from rt group by 1) select subject, case when x < q then 'in' when x is not null then 'out' end as zone, count(*) as n from rt join th using (subject) group by 1, 2")

@@ -62,3 +62,26 @@ def test_shared_samples_have_one_mean(spark):
     t = spark.createDataFrame([("u", i, 10.0 * i) for _, i, _ in trials], "subject string, trial_idx int, onset double")
     got = T.zone_by_window_mean(t, s.coalesce(1).sortWithinPartitions("t"), ["subject"], 0.0, 5.0, 2, ["subject"]).collect()
     assert [r["zone"] for r in got] == ["out", "out"]
+
+
+def test_zones_do_not_depend_on_the_order_of_sums(spark, tmp_path):
+    """The same press times in reverse order: each keeps its deviation to the bit, in the query and in its SQL."""
+    import duckdb
+
+    from tessera.plans.trial_queries import ZONED, v_zoned
+    from tessera.plans.views import V_TRIALS
+
+    rng = random.Random(5)
+    values = [rng.randrange(1, 50_000) / 100 for _ in range(400)]
+    start, found = dt.datetime(2024, 1, 1), []
+    for name, order in (("a", values), ("b", values[::-1])):
+        d = tmp_path / name
+        d.mkdir()
+        n = len(order)
+        columns = {"event_id": [2 * i for i in range(n)], "ts": [start + dt.timedelta(hours=i) for i in range(n)], "user_id": [1] * n, "event_type": ["view"] * n, "value": order, "props": ['{"k": 1}'] * n}
+        pq.write_table(pa.table(columns), f"{d}/events.parquet")
+        con = duckdb.connect()
+        con.sql(f"create view events as select * from '{d}/events.parquet'")
+        found.append({r["reaction_time"]: r["VTC"] for r in v_zoned(spark, str(d)).collect()})
+        found.append(dict(con.sql(f"with {V_TRIALS}{ZONED} select reaction_time, vtc from zo").fetchall()))
+    assert found[0] == found[1] == found[2] == found[3]
