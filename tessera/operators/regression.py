@@ -124,16 +124,33 @@ def hrf_design(trials: DataFrame, times: DataFrame, keys: list[str], pre: float
     times in [onset - pre, onset + post]. A bucketed range join brings only those times together, and the kernels are
     summed side by side before they become rows.
     """
-    from tessera.operators.joins import range_join
+    from tessera.operators.joins import _bucketed
 
+    width = pre + post
     iv = trials.select(*keys, "event", "onset", "value", (F.col("onset") - pre).alias("__lo"), (F.col("onset") + post).alias("__hi"))
-    j = range_join(times.select(*keys, "t"), iv, keys, "t", "__lo", "__hi", pre + post, closed_right=True)
-    n = round((pre + post) / spacing)
+    # Sums are far more than the trials that make them: a fixed number of partitions is not joined into a few tasks, and a time
+    # stays in the bucket that it is joined in, so that its sums are not sent again.
+    parts, on = int(trials.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "__b"]
+    b = _bucketed(iv, F.col("__lo"), F.col("__hi"), width).repartition(parts, *on)
+    p = times.select(*keys, "t").withColumn("__b", F.floor(F.col("t") / width)).repartition(parts, *on)
+    j = p.join(b, on).filter((F.col("t") >= F.col("__lo")) & (F.col("t") <= F.col("__hi")))
+    n = round(width / spacing)
     u = lambda k: F.col("t") - F.col("onset") + pre - k * spacing
-    sums = j.groupBy(*keys, "t", "event").agg(*[F.sum(F.col("value") * F.exp(-u(k) * u(k) / (2 * sd * sd))).alias(f"__{k}") for k in range(1, n + 1)])
+    sums = j.groupBy(*on, "t", "event").agg(*[F.sum(F.col("value") * F.exp(-u(k) * u(k) / (2 * sd * sd))).alias(f"__{k}") for k in range(1, n + 1)])
     return sums.select(*keys, "t", "event", F.posexplode(F.array(*[F.col(f"__{k}") for k in range(1, n + 1)])).alias("kernel", "x")).withColumn("kernel", F.col("kernel") + 1)
 
 
+def trial_responses(trials: DataFrame, betas: DataFrame, basis: DataFrame, keys: list[str], gain: Column) -> DataFrame:
+    """`trials` with (t, h): the response of the key, sum of beta x kernel, times the trial's gain.
+
+    The kernels are summed once per key and time, not per trial; trials meet the packed response and nothing is grouped after.
+    """
+    h = betas.join(basis, "kernel").groupBy(*keys, "t").agg(F.sum(F.col("beta") * F.col("b")).alias("h"))
+    packed = h.groupBy(*keys).agg(F.collect_list(F.struct("t", "h")).alias("__h"))
+    x = trials.withColumn("__g", gain).join(packed, keys).withColumn("__p", F.explode("__h"))
+    return x.select(*trials.columns, F.col("__p.t").alias("t"), (F.col("__p.h") * F.col("__g")).alias("h"))
+
+
 def scaled_trials(trials: DataFrame, feature: str, keys: list[str]) -> DataFrame:
     """`value` = the trial's feature; trials without one get the mean of their run and event."""
     return trials.withColumn("value", F.coalesce(F.col(feature), F.avg(feature).over(W.partitionBy(*keys, "event"))))

@@ -346,8 +346,8 @@ def _(spark, d):
 @query("r30_trial_hrf", BASIS + "select vt.subject, vt.run, vt.trial_idx, ba.t, round(sum(be.beta * b * (1 + vt.vtc)), 4) as h from vt join be using (subject) join ba using (kernel) group by 1, 2, 3, 4")
 def _(spark, d):
     t = days(spark, d).select("subject", "run", "trial_idx", "VTC")
-    x = t.join(betas(spark, d), "subject").join(basis(spark), "kernel")
-    return x.groupBy(*RUN, "trial_idx", "t").agg(F.round(F.sum(F.col("beta") * F.col("b") * (1 + F.col("VTC"))), 4).alias("h"))
+    x = R.trial_responses(t, betas(spark, d), basis(spark), ["subject"], 1 + F.col("VTC"))
+    return x.select(*RUN, "trial_idx", "t", *r("h", digits=4))
 
 
 @query("r31_prewhitened_xcorr")
