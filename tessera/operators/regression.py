@@ -439,28 +439,42 @@ def residualize(df: DataFrame, y: str, terms: dict[str, Column], keys: list[str]
 def ar_loglik(df: DataFrame, keys: list[str], e: str, order: str, pmax: int = 5) -> DataFrame:
     """AR order and log-likelihood of residuals per key."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[e].dropna().to_numpy(float)
-        phi = K.ar_fit(v, pmax)
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"p": [len(phi)], "loglik": [K.ar_loglik(v, phi) if len(v) > len(phi) + 1 else None]})
+    @pandas_udf("p int, loglik double")
+    def one(series: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in series:
+            v = np.asarray(v, dtype=float)
+            v = v[~np.isnan(v)]
+            phi = K.ar_fit(v, pmax)
+            rows.append((len(phi), K.ar_loglik(v, phi) if len(v) > len(phi) + 1 else None))
+        return pd.DataFrame(rows, columns=["p", "loglik"])
+
+    return _packed(df, keys, order, {"v": e}).select(*keys, one("__v.v").alias("__f")).select(*keys, "__f.*")
 
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(one, f"{schema}, p int, loglik double")
+
+def _packed(df: DataFrame, keys: list[str], order: str, cols: dict[str, str]) -> DataFrame:
+    """One row per key with `__v`, its rows in order as doubles; the kernels of many keys share a batch, where a group each would cost
+    more than its numbers."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.struct(F.col(order).alias("o"), *[F.col(c).cast("double").alias(n) for n, c in cols.items()])
+    return df.select(*dict.fromkeys([*keys, order, *cols.values()])).repartition(parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__v"))
 
 
 def prewhitened_xcorr(df: DataFrame, keys: list[str], a: str, b: str, order: str, max_lag: int, pmax: int = 5) -> DataFrame:
     """(keys, lag, r): cross-correlation after filtering both series with [1, -phi] of the first."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values(order)
-        x, y = d[a].to_numpy(float), d[b].to_numpy(float)
-        phi = K.ar_fit(x - x.mean(), pmax)
-        x, y = (K.whiten(v - v.mean(), phi) for v in (x, y))
-        x, y = ((v - v.mean()) / (v.std() or 1) for v in (x, y))
-        n = len(x)
-        lags = [k for k in range(-max_lag, max_lag + 1) if abs(k) < n]
-        r = [float((x[max(0, -k) : n - max(0, k)] * y[max(0, k) : n - max(0, -k)]).sum() / n) for k in lags]
-        return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"lag": lags, "r": r})
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(one, f"{schema}, lag int, r double")
+    @pandas_udf("array<struct<lag: int, r: double>>")
+    def lags(first: pd.Series, second: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(first, second, strict=True):
+            x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+            phi = K.ar_fit(x - x.mean(), pmax)
+            x, y = (K.whiten(v - v.mean(), phi) for v in (x, y))
+            x, y = ((v - v.mean()) / (v.std() or 1) for v in (x, y))
+            n = len(x)
+            near = [k for k in range(-max_lag, max_lag + 1) if abs(k) < n]
+            out.append([(k, float((x[max(0, -k) : n - max(0, k)] * y[max(0, k) : n - max(0, -k)]).sum() / n)) for k in near])
+        return pd.Series(out)
+
+    packed = _packed(df, keys, order, {"a": a, "b": b})
+    return packed.select(*keys, F.explode(lags("__v.a", "__v.b")).alias("__l")).select(*keys, "__l.*")
