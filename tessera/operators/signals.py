@@ -355,14 +355,26 @@ def channel_products(c: DataFrame, keys: list[str]) -> DataFrame:
 
     def products(batches):
         for pdf in batches:
-            for key, g in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
-                names = sorted(set().union(*g["names"]))
+            # One frame leaves a batch, whatever the number of its keys.
+            group = pdf.groupby(keys, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
+            order = np.argsort(group, kind="stable")
+            first = np.unique(group[order], return_index=True)[1]
+            own, xs, made = pdf["names"].to_numpy(), pdf["xs"].to_numpy(), []
+            for rows in np.split(order, first[1:]):
+                names = sorted(set().union(*own[rows]))
                 at = {k: i for i, k in enumerate(names)}
-                m = np.zeros((len(g), len(names)))
-                for row, (own, xs) in enumerate(zip(g["names"], g["xs"], strict=True)):
-                    m[row, [at[k] for k in own]] = xs
-                s = m.T @ m
-                yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"channel": np.repeat(names, len(names)), "other": np.tile(names, len(names)), "s": s.ravel()})
+                m = np.zeros((len(rows), len(names)))
+                for row, r in enumerate(rows):
+                    m[row, [at[k] for k in own[r]]] = xs[r]
+                made.append((rows[0], names, m.T @ m))
+            if made:
+                sizes = [len(names) ** 2 for _, names, _ in made]
+                heads = pdf[keys].iloc[np.repeat([r for r, _, _ in made], sizes)].reset_index(drop=True)
+                yield heads.assign(
+                    channel=np.concatenate([np.repeat(names, len(names)) for _, names, _ in made]),
+                    other=np.concatenate([np.tile(names, len(names)) for _, names, _ in made]),
+                    s=np.concatenate([s.ravel() for _, _, s in made]),
+                )
 
     parts = times.mapInPandas(products, f"{kinds}, channel {channel}, other {channel}, s double")
     return parts.groupBy(*keys, "channel", "other").agg(F.sum("s").alias("s"))
@@ -377,17 +389,28 @@ def pc_scores(samples: DataFrame, keys: list[str]) -> DataFrame:
     w = W.partitionBy(*keys, "channel")
     c = samples.withColumn("x", F.col("v") - F.avg("v").over(w)).select(*keys, "channel", "i", "x")
     cov = channel_products(c, keys)
-    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in [*keys, "channel"])
+    kind = samples.schema["channel"].dataType.simpleString()
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="channel", columns="other", values="s")
-        values, vectors = np.linalg.eigh(m.to_numpy())
-        v = vectors[:, -1] * np.sign(vectors[np.argmax(np.abs(vectors[:, -1])), -1])
-        share = values[::-1] / max(values.sum(), 1e-300)
-        n90 = int(np.searchsorted(np.cumsum(share), 0.9 - 1e-12) + 1)
-        return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"channel": m.index, "weight": v, "ratio": share[0], "n90": n90})
+    @pandas_udf(f"array<struct<channel: {kind}, weight: double, ratio: double, n90: int>>")
+    def first(pairs: pd.Series) -> pd.Series:
+        out = []
+        for rows in pairs:
+            names = sorted({p["channel"] for p in rows})
+            at = {c: i for i, c in enumerate(names)}
+            m = np.zeros((len(names), len(names)))
+            for p in rows:
+                m[at[p["channel"]], at[p["other"]]] = p["s"]
+            values, vectors = np.linalg.eigh(m)
+            v = vectors[:, -1] * np.sign(vectors[np.argmax(np.abs(vectors[:, -1])), -1])
+            share = values[::-1] / max(values.sum(), 1e-300)
+            n90 = int(np.searchsorted(np.cumsum(share), 0.9 - 1e-12) + 1)
+            out.append([(c, float(w), float(share[0]), n90) for c, w in zip(names, v, strict=True)])
+        return pd.Series(out)
 
-    weights = cov.groupBy(*keys).applyInPandas(first, f"{kinds}, weight double, ratio double, n90 int")
+    # The keys of a batch are solved in one Python call: a group each would cost more than its small matrix.
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = cov.repartition(parts, *keys).groupBy(*keys).agg(F.collect_list(F.struct("channel", "other", "s")).alias("__m"))
+    weights = packed.select(*keys, F.explode(first("__m")).alias("__w")).select(*keys, "__w.*")
     return c.join(weights, [*keys, "channel"]).groupBy(*keys, "i").agg(F.sum(F.col("x") * F.col("weight")).alias("score"), F.max("ratio").alias("ratio"), F.max("n90").alias("n90"))
 
 
