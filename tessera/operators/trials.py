@@ -266,6 +266,7 @@ _SWEEP_VALUES = 4_000_000
 def _sweep(x: np.ndarray, rt: np.ndarray, sigmas: tuple[float, ...]) -> list[float | None]:
     """In minus out mean of rt for each width; rt is not a number where a trial doesn't count."""
     n, some = len(x), ~np.isnan(rt)
+    times = np.where(some, rt, 0.0)
     if np.isnan(x).any():
         return [None] * len(sigmas)
     # Reflected edges (d c b a | a b c d | d c b a) have period 2 n, so one transform of a run serves every width.
@@ -279,10 +280,12 @@ def _sweep(x: np.ndarray, rt: np.ndarray, sigmas: tuple[float, ...]) -> list[flo
         for k, s in enumerate(part):
             if not s:
                 smooth[k] = x
+        # All widths of a part at once: sums and counts of each side are products with the sides' masks.
         inside = smooth < np.median(smooth, axis=1)[:, None]
-        for low in inside:
-            means = [rt[part & some] for part in (low, ~low)]
-            out.append(float(means[0].mean() - means[1].mean()) if all(map(len, means)) else None)
+        sums, counts = inside @ times, inside @ some.astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = sums / counts - (times.sum() - sums) / (some.sum() - counts)
+        out.extend(None if np.isnan(v) else float(v) for v in np.where((counts > 0) & (counts < some.sum()), d, np.nan))
     return out
 
 
