@@ -7,11 +7,12 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tessera.functions import kernels as K
 from tessera.functions.stats import p_f, p_greater, p_two_sided
@@ -176,7 +177,11 @@ def drift_design(samples: DataFrame, keys: list[str], order: int, kind: str = "p
     return x.select(*keys, "t", *[c.alias(f"drift{k}") for k, c in enumerate(cols)])
 
 
-MODELS = "models array<struct<design: string, rank: int, rss: double>>, tests array<struct<design: string, tested: string, df1: int, df2: int, f: double, total: double, se: double>>"
+#: Numbers that the matrices of the keys solved together hold at most, for all designs.
+SOLVED = 500_000
+#: What the solver gives per key: lists over the designs (rank, rss) and over the tests.
+NUMBERS = {"rank": IntegerType(), "rss": DoubleType(), "df1": IntegerType(), "df2": IntegerType(), "f": DoubleType(), "total": DoubleType(), "se": DoubleType()}
+TESTS = "array<struct<design: string, tested: string, df1: int, df2: int, f: double, total: double, se: double>>"
 
 
 def _swept(m: np.ndarray, column: int, size: np.ndarray) -> np.ndarray:
@@ -207,49 +212,73 @@ def nested_models(df: DataFrame, y: str, base: dict[str, Column], groups: dict[s
     """
     terms = base | {n: c for g in groups.values() for n, c in g.items()}
     names = [*terms, "__y"]
-    at = {n: i for i, n in enumerate(names)}
     x = df.select(*keys, *[c.cast("double").alias(f"__t{i}") for i, c in enumerate(terms.values())], F.col(y).cast("double").alias(f"__t{len(terms)}"))
     x = x.dropna(subset=[f"__t{i}" for i in range(len(names))])
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     g = x.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(f"__t{i}") * F.col(f"__t{j}")) for i, j in pairs]).alias("__m"))
     chosen = [tuple(n for k, n in enumerate(groups) if bits >> k & 1) for bits in range(1 << len(groups))]
+    tested = [(c, t) for c in chosen[1:] for t in chosen[1:] if set(t) <= set(c)]
     label = lambda c: "+".join(c) or "base"
-    last = len(names) - 1
-    base_terms, group_terms = list(base), {k: list(v) for k, v in groups.items()}
-
-    @pandas_udf(MODELS)
-    def solve(n: pd.Series, m: pd.Series) -> pd.DataFrame:
-        full = np.zeros((len(m), len(names), len(names)))
-        rows, cols = zip(*pairs, strict=True)
-        full[:, rows, cols] = full[:, cols, rows] = np.stack([np.asarray(v, float) for v in m]) if len(m) else 0
-        count = n.to_numpy()
-        size = full[:, range(len(names)), range(len(names))]
+    at = {n: i for i, n in enumerate(names)}
+    solve = _nested_solver(len(names), [at[n] for n in base], {k: [at[n] for n in v] for k, v in groups.items()}, chosen, tested)
+    # Spark does not look into this step, so a filter on its result does not run it once more, in workers of its own.
+    s = g.mapInArrow(solve, StructType([*g.drop("__m").schema, *[StructField(f"__{c}", ArrayType(t)) for c, t in NUMBERS.items()]]))
+    pick = lambda i, *cols: [F.col(f"__{c}")[i].alias(c) for c in cols]
+    models = [F.struct(F.lit(label(c)).alias("design"), *pick(i, "rank", "rss")) for i, c in enumerate(chosen)]
+    tests = [F.struct(F.lit(label(c)).alias("design"), F.lit(label(t)).alias("tested"), *pick(i, "df1", "df2", "f", "total", "se")) for i, (c, t) in enumerate(tested)]
+    return s.select(*keys, "n", F.array(*models).alias("models"), (F.array(*tests) if tests else F.array().cast(TESTS)).alias("tests"))
+
+
+def _nested_solver(size: int, base: list[int], groups: dict[str, list[int]], chosen: list[tuple], tested: list[tuple]):
+    """The step of `nested_models` in Python: from batches with `n` and packed sums `__m` to batches with the numbers of all designs
+    and tests in their order. Numbers stay in arrays, and a batch is taken in parts of a bounded size, so a worker needs no more for more
+    keys."""
+    rows, cols = np.triu_indices(size)
+    last = size - 1
+    step = max(1, SOLVED // (size * size * len(chosen)))
+
+    def packed(columns: list[np.ndarray], keys: int, kind: type) -> pa.Array:
+        """One list a key; what is not a number is null."""
+        flat = np.array(columns, kind).reshape(len(columns), keys).T.ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(keys + 1, dtype=np.int32) * len(columns)), pa.array(flat, mask=np.isnan(flat)))
+
+    def solved(count: np.ndarray, m: np.ndarray) -> list[list[np.ndarray]]:
+        full = np.zeros((len(m), size, size))
+        full[:, rows, cols] = full[:, cols, rows] = m
         state: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for c in chosen:
             # A design goes on from the one without its last group.
             mat, inside = (full.copy(), np.zeros((len(m), last), bool)) if not c else (state[c[:-1]][0].copy(), state[c[:-1]][1].copy())
-            for term in base_terms if not c else group_terms[c[-1]]:
-                inside[:, at[term]] = _swept(mat, at[term], size[:, at[term]])
+            for term in base if not c else groups[c[-1]]:
+                inside[:, term] = _swept(mat, term, full[:, term, term])
             state[c] = mat, inside, np.maximum(mat[:, last, last], 0.0)
-        models = [[(label(c), int(state[c][1][i].sum()), float(state[c][2][i])) for c in chosen] for i in range(len(m))]
+        rank = {c: state[c][1].sum(axis=1) for c in chosen}
         tests = []
-        for i in range(len(m)):
-            own = []
-            for c in chosen[1:]:
-                mat, inside, rss = state[c]
-                for t in chosen[1:]:
-                    if set(t) <= set(c):
-                        less = state[tuple(g for g in c if g not in t)]
-                        df1, df2 = int(inside[i].sum() - less[1][i].sum()), int(count[i] - inside[i].sum())
-                        scale = rss[i] / df2 if df2 > 0 else np.nan
-                        f = max(less[2][i] - rss[i], 0.0) / df1 / scale if df1 > 0 and df2 > 0 and scale > 0 else None
-                        own_terms = [at[n] for g in t for n in group_terms[g] if inside[i, at[n]]]
-                        spread = mat[i][np.ix_(own_terms, own_terms)].sum() * scale
-                        own.append((label(c), label(t), df1, df2, f, float(mat[i, own_terms, last].sum()), float(np.sqrt(spread)) if spread > 0 else None))
-            tests.append(own)
-        return pd.DataFrame({"models": models, "tests": tests})
-
-    return g.select(*keys, "n", solve("n", "__m").alias("__s")).select(*keys, "n", "__s.*")
+        for c, t in tested:
+            mat, inside, rss = state[c]
+            less = tuple(g for g in c if g not in t)
+            df1, df2 = rank[c] - rank[less], count - rank[c]
+            scale = np.where(df2 > 0, rss / df2, np.nan)
+            f = np.where((df1 > 0) & (scale > 0), np.maximum(state[less][2] - rss, 0.0) / df1 / scale, np.nan)
+            # The tested coefficients; those of terms that are left out are no part of the sums.
+            own = [i for g in t for i in groups[g]]
+            used = inside[:, own]
+            spread = np.where(used[:, :, None] & used[:, None, :], mat[:, own][:, :, own], 0.0).reshape(len(m), -1).sum(axis=1) * scale
+            tests.append((df1, df2, f, np.where(used, mat[:, own, last], 0.0).sum(axis=1), np.sqrt(np.where(spread > 0, spread, np.nan))))
+        return [[rank[c] for c in chosen], [state[c][2] for c in chosen], *[[x[k] for x in tests] for k in range(5)]]
+
+    def solve(batches):
+        for batch in batches:
+            kept = [n for n in batch.schema.names if n != "__m"]
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                m = part.column("__m").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    made = solved(part.column("n").to_numpy(), m)
+                made = [packed(v, part.num_rows, np.int32 if t == IntegerType() else float) for v, t in zip(made, NUMBERS.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], *made], [*kept, *[f"__{n}" for n in NUMBERS]])
+
+    return solve
 
 
 def design_fits(models: DataFrame, keys: list[str]) -> DataFrame:
